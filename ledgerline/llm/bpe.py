@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pieces kept in one Python worker before the dictionary starts afresh (about 100 MB).
-MAX_PIECES = 450_000
-#: Pieces that end so are the ids of the word and then those of the mark.
-MARKS = ".,!"
+#: Pieces kept in one Python worker before the dictionary starts afresh (about 150 MB).
+MAX_PIECES = 700_000
+#: A word before a run of these is encoded apart from the run (all ASCII marks but the apostrophe).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path() -> str:
@@ -25,7 +25,7 @@ def default_path() -> str:
 
 
 def _visible(c: str) -> bool:
-    return "!" <= c <= "~" or c.isalnum()
+    return bool(c) and ("!" <= c <= "~" or c.isalnum())
 
 
 class Encoder:
@@ -35,59 +35,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}  # ids of a blank and the piece
-        self._first: dict[str, bytes] = {}  # ids of the piece where a line starts
-        self._mark = {m: self._whole(m) for m in MARKS}
         self._line_end = self._whole("\n")
+        self._known: dict[str, bytes] = {}  # ids of a piece after a blank, or of a line end and a piece
+        self._marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _alone(self, piece: str) -> bytes:
+        return self._line_end + self._whole(piece[1:]) if piece[0] == "\n" else self._whole(" " + piece)
+
+    def _words(self, words: list[str], text: str, each: int) -> None:
+        """Encode plain words as one text, in which each is `each` pieces of the pre-tokenizer."""
+        e = self._tokenizer.encode(text, add_special_tokens=False)
+        starts = (np.flatnonzero(np.diff(np.asarray(e.word_ids), prepend=-1)) * 4).tolist()
+        if len(starts) == len(words) * each:
+            ids = np.asarray(e.ids, dtype="<u4").tobytes()
+            starts = [*starts[::each], len(ids)]
+            self._known.update((w, ids[a:b]) for w, a, b in zip(words, starts, starts[1:], strict=False))
+        else:
+            self._known.update((w, self._alone(w)) for w in words)
+
     def _learn(self, new: set[str]) -> bool:
         """Put the ids of new pieces into the dictionary; False if a piece can't stand alone."""
-        if not all(p and _visible(p[0]) for p in new):
-            return False
         known = self._known
-        marked = [p for p in new if p[-1] in self._mark and p[:-1].isalpha()]
-        words = {p for p in new if p.isalpha()} | {p[:-1] for p in marked if p[:-1] not in known}
-        rest = new.difference(words, marked)
-        if words:
-            words = list(words)
-            e = self._tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-            at = np.asarray(e.word_ids)
-            starts = np.flatnonzero(np.diff(at, prepend=-1)) * 4
-            if len(starts) == len(words):
-                ids = np.asarray(e.ids, dtype="<u4").tobytes()
-                ends = [*starts[1:].tolist(), len(ids)]
-                known.update((w, ids[a:b]) for w, a, b in zip(words, starts.tolist(), ends, strict=True))
-            else:
-                known.update((w, self._whole(" " + w)) for w in words)
-        known.update((p, known[p[:-1]] + self._mark[p[-1]]) for p in marked)
-        known.update((p, self._whole(" " + p)) for p in rest)
+        inner, first, marked = set(), set(), []
+        for p in new:
+            word = p.rstrip(MARKS)
+            start = word[:1] == "\n"
+            if not (word[1:] if start else word).isalpha():
+                if not p or not _visible(p[p[0] == "\n" :][:1]):
+                    return False
+                known[p] = self._alone(p)
+                continue
+            if word is not p and word != p:
+                marked.append((p, word))
+            if word not in known:
+                (first if start else inner).add(word)
+        if inner:
+            inner = list(inner)
+            self._words(inner, " " + " ".join(inner), 1)
+        if first:
+            first = list(first)
+            self._words(first, "".join(first), 2)
+        for p, word in marked:
+            run = p[len(word) :]
+            if run not in self._marks:
+                self._marks[run] = self._whole(run)
+            known[p] = known[word] + self._marks[run]
         return True
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         known = self._known
-        lines = [line.split(" ") for line in text.split("\n")]
-        firsts = [line[0] for line in lines]
-        if not all(first and _visible(first[0]) for first in firsts):
-            return self._whole(text)
-        pieces = set().union(*lines)
-        new = pieces.difference(known)
-        if new:
+        pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        found = list(map(known.get, pieces))
+        if None in found:
             if len(known) > MAX_PIECES:
                 known.clear()
-                new = pieces
-            if not self._learn(new):
+                found = [None] * len(pieces)
+            if not self._learn({p for p, ids in zip(pieces, found, strict=True) if ids is None}):
                 return self._whole(text)
-        if not self._first.keys() >= set(firsts):
-            if len(self._first) > MAX_PIECES:
-                self._first.clear()
-            self._first.update((p, self._whole(p)) for p in set(firsts).difference(self._first))
-        first = self._first
-        return self._line_end.join(first[line[0]] + b"".join(map(known.__getitem__, line[1:])) for line in lines)
+            found = list(map(known.__getitem__, pieces))
+        return b"".join(found)[len(self._line_end) :]
 
 
 _encoders: dict[str, Encoder] = {}
