@@ -55,3 +55,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+
+
+def repeats(table: DataFrame, key: str) -> bool:
+    """Whether some key stands in several rows."""
+    return bool(table.groupBy(key).count().filter("count > 1").limit(1).count())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, repeats, save
 
 #: Hash buckets of the corpus-wide token counts (2^bits); more for larger corpora.
 SKETCH_BITS = 20
@@ -183,7 +183,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "h", "g", "head"])
 
     found = save(docs.mapInArrow(describe, "doc_id long, n long, h long, g long, head array<long>"), "sets")
-    found = found.groupBy("doc_id").agg(F.min(F.struct("n", "h", "g", "head")).alias("s")).select("doc_id", "s.*") if _repeats(found) else found
+    found = found.groupBy("doc_id").agg(F.min(F.struct("n", "h", "g", "head")).alias("s")).select("doc_id", "s.*") if repeats(found, "doc_id") else found
     same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = found.drop("head").join(same.filter("copies > 1"), ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
     copies = save(copies, "copies")
@@ -199,7 +199,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
             blobs = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
 
-    text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else docs
+    text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, "doc_id") else docs
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return text.join(ids, "doc_id", "left_semi").mapInArrow(full, "doc_id long, tokens binary")
@@ -227,7 +227,3 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     out = found.select("doc_id", "n").join(settled, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-
-def _repeats(table: DataFrame) -> bool:
-    """Whether some doc_id stands in several rows."""
-    return bool(table.groupBy("doc_id").count().filter("count > 1").limit(1).count())

@@ -173,3 +173,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield pa.record_batch(made, names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score() predicts 1, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, line_dedup, packing, quality, sql, token_files
+from . import decontaminate, jaccard, language, licenses, line_dedup, packing, quality, sql, token_files, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs.filter(~fold())))
@@ -41,6 +45,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold().alias("held_out"), "score", "predicted")
 
 
+def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -49,13 +57,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_pack_sequences, op4_language_id, op5_quality_classifier, op7_jaccard_join,
-    op8_token_files, op10_line_dedup,
+    op1_decontaminate, op2_pack_sequences, op3_url_filter, op4_language_id, op5_quality_classifier,
+    op6_embedding_near_dup, op7_jaccard_join, op8_token_files, op9_license_scan, op10_line_dedup,
 )}
 ORACLE_SQL = {k: v for k, v in sql.ORACLE_SQL.items() if k in QUERIES}
