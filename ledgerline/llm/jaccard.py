@@ -1,11 +1,11 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
 Documents are sets of hashed word shingles.  Two sets of Jaccard similarity t share a token among
-the first n - ceil(t n) + 1 of each, whatever global order the tokens stand in.  All orders put tokens of
-crowded hash buckets last (bucket counts over the whole corpus, about one count a bucket), so that
-passages that many documents share don't lead; ties are broken by different hashes.  Candidates meet
-on a prefix token of the first order, must meet under the other orders too, and are verified on
-their full sets.
+the first n - ceil(t n) + 1 of each, whatever global order the tokens stand in.  The orders go from rare
+to frequent by counts of hash buckets over the whole corpus, each by hashes of its own, so that
+passages that many documents share seldom lead, and seldom under several orders.  Candidates meet on a
+prefix token of the first order, must meet under the second before their sets are fetched and
+under the third before they are verified on the full sets.
 
 Equal sets are one class from the start.  A first round verifies the links of each prefix token's
 class with the smallest id only, which joins groups of near copies at linear cost; a second round
@@ -19,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, repeats, save
 
-#: Hash buckets of the corpus-wide token counts (2^bits); more for larger corpora.
-SKETCH_BITS = 20
+#: Hash buckets of the corpus-wide token counts (2^bits for either of two hashes); more for larger corpora.
+SKETCH_BITS = 21
 BLOCKS = 64
+#: Ids of copies or of documents with candidates, up to which they are broadcast; beyond, texts are shuffled by id.
+MAX_BROADCAST_IDS = 500_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(7)
@@ -77,18 +80,31 @@ def shingles(text: str | None, size: int = 4) -> np.ndarray:
     return np.unique(h)
 
 
+def buckets(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The buckets of each token under the two hashes, in one array of 2^(bits + 1) counts."""
+    one = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    two = (mix(tokens, 30) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+    return np.stack([one, two])
+
+
 class Order:
-    """Global token orders: crowded buckets last, then a hash that differs from order to order."""
+    """Global token orders by bucket counts.
+
+    Orders 0 and 1 go by the counts under the first and the second hash, order 2 by powers of two of the first and
+    then by another hash.
+    """
 
     def __init__(self, counts: np.ndarray, bits: int):
-        self.shift = np.uint64(64 - bits)
-        self.level = np.minimum(np.log2(np.maximum(counts, 1)) * 2, 127).astype(np.uint8)
+        self.bits, self.counts = bits, counts
 
     def prefix(self, tokens: np.ndarray, length: int, which: int) -> np.ndarray:
         """The first `length` tokens in the order `which`."""
-        rank = mix(tokens, 10 + which) >> np.uint64(7) | self.level[tokens >> self.shift].astype(np.uint64) << np.uint64(57)
         if length >= len(tokens):
             return tokens
+        count = np.minimum(self.counts[buckets(tokens, self.bits)[which % 2]], (1 << 23) - 1).astype(np.uint64)
+        if which == 2:
+            count = np.log2(np.maximum(count, 1)).astype(np.uint64)
+        rank = mix(tokens, 10 + which) >> np.uint64(23) | count << np.uint64(41)
         return tokens[np.argpartition(rank, length - 1)[:length]]
 
 
@@ -97,21 +113,29 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """How often each hash bucket's tokens occur over all documents: one array of 2^bits counts."""
-    width = (1 << bits) // BLOCKS
+    """How often each hash bucket's tokens occur over all documents: one array of 2^(bits + 1) counts."""
+    whole = 2 << bits
+    width = whole // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
+        counts = np.zeros(whole, np.int32)
+        held, waiting = [], 0
+
+        def put() -> None:
+            nonlocal counts, waiting
+            at = buckets(np.concatenate(held), bits).ravel()
+            counts = (counts + np.bincount(at, minlength=whole)).astype(np.int32)
+            held.clear()
+            waiting = 0
+
         for batch in batches:
-            held, waiting = [], 0
             for text in batch.column(0).to_pylist():
-                held.append((shingles(text, size) >> np.uint64(64 - bits)).astype(np.int64))
+                held.append(shingles(text, size))
                 waiting += len(held[-1])
-                if waiting > 1 << 19:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
-                    held, waiting = [], 0
-            if waiting:
-                counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
+                if waiting > 1 << 20:
+                    put()
+        if waiting:
+            put()
         blocks = [counts[i * width : (i + 1) * width] for i in range(BLOCKS)]
         some = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
         yield pa.record_batch([pa.array([i for i, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["block", "counts"])
@@ -127,31 +151,53 @@ def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     partial = docs.select("text").mapInArrow(count, schema)
-    out = np.zeros(1 << bits, np.int32)
-    for block, blob in partial.repartition(BLOCKS, "block").mapInArrow(add, schema).collect():  # 2^bits counts in all
+    out = np.zeros(whole, np.int32)
+    for block, blob in partial.repartition(BLOCKS, "block").mapInArrow(add, schema).toLocalIterator():  # 2^(bits + 1) counts in all
         out[block * width : (block + 1) * width] = np.frombuffer(blob, np.int32)
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, order: Order, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets agree, checked under the further orders first and then in full."""
+def _few(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, marked for broadcast if its measured count is within the bound."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def _verified(pairs: DataFrame, text: DataFrame, level: Broadcast, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets agree."""
+
+    def described(pairs: DataFrame, kind: str) -> DataFrame:
+        """Of each document in pairs the prefix under order 1, or the whole set, once on either side."""
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingles(t, size) for t in batch.column(1).to_pylist()]
+                if kind == "binary":
+                    values = pa.array([s.tobytes() for s in found], pa.binary())
+                else:
+                    order = level.value
+                    heads = [order.prefix(s, prefix_length(len(s), percent), 1).view(np.int64) for s in found]
+                    values = pa.array(heads, pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), values], names=["doc_id", "s"])
+
+        ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        some = text.join(_few(ids), "doc_id", "left_semi").mapInArrow(describe, f"doc_id long, s {kind}")
+        some = save(some, "described")
+        x, y = some.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), some.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = level.value
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                near = all(
-                    len(np.intersect1d(order.prefix(x, prefix_length(len(x), percent), k), order.prefix(y, prefix_length(len(y), percent), k), True))
-                    for k in (1, 2)
-                )
-                both = len(np.intersect1d(x, y, True)) if near else 0
+                heads = [order.prefix(s, prefix_length(len(s), percent), 2) for s in (x, y)]
+                both = len(np.intersect1d(x, y, True)) if len(np.intersect1d(*heads, True)) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    met = save(described(pairs, "array<long>").filter(F.arrays_overlap("x", "y")).select("a", "b"), "met")
+    return save(described(met, "binary").mapInArrow(check, "a long, b long"), "links")
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -166,7 +212,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     """
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
     order = Order(bucket_counts(docs, size, sketch_bits), sketch_bits)
-    level = docs.sparkSession.sparkContext.broadcast(order)  # 2^bits bytes
+    level = docs.sparkSession.sparkContext.broadcast(order)  # 2^(bits + 1) counts of four bytes
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each document the set's size, its hash, and its prefix under the first order."""
@@ -187,29 +233,20 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = found.drop("head").join(same.filter("copies > 1"), ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
     copies = save(copies, "copies")
-    tokens = found.filter("n > 0").join(copies, "doc_id", "left_anti").select("doc_id", "n", F.explode("head").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")).filter("docs > 1")
+    tokens = found.filter("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("head").alias("token"))
+    shared = tokens.groupBy("token").count().filter("count > 1").select("token")
     tokens = save(tokens.join(shared, "token"), "tokens")
 
     def near(a: str, b: str) -> F.Column:
         return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "tokens"])
-
     text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, "doc_id") else docs
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return text.join(ids, "doc_id", "left_semi").mapInArrow(full, "doc_id long, tokens binary")
-
     # round 1: every document with the first one of each of its tokens
-    firsts = tokens.groupBy("token").agg(F.min_by("n", "doc_id").alias("m"))
-    stars = tokens.join(firsts, "token").filter("doc_id <> least").filter(near("n", "m"))
-    stars = save(stars.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    sets = save(sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "shingles")
-    links = save(_verified(stars, sets, order, percent), "links")
+    firsts = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"))
+    stars = tokens.join(firsts, "token").select(F.col("first.doc_id").alias("a"), F.col("first.n").alias("m"), F.col("doc_id").alias("b"), "n")
+    stars = save(stars.filter("a <> b").filter(near("n", "m")).select("a", "b").distinct(), "pairs")
+    links = _verified(stars, text, level, size, percent)
     joined = components(links)
 
     # round 2: documents of different components under one token
@@ -220,8 +257,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     left = rest.select("token", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
     more = left.join(rest, "token").filter("a < doc_id and c <> d").filter(near("n", "m")).select("a", F.col("doc_id").alias("b")).distinct()
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
-    again = save(sets_of(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "shingles2")
-    late = save(_verified(more, again, order, percent), "links2")
+    late = _verified(more, text, level, size, percent)
     edges = links.unionByName(late).unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     settled = components(edges).withColumnRenamed("id", "doc_id")
     out = found.select("doc_id", "n").join(settled, "doc_id", "left")

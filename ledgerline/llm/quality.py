@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the sample that the model is fitted on: trusted positives, unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
+#: Standardised features are clipped there.
+CLIP = 12
 SYMBOLS = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"
 N_FEATURES = 16 + len(SYMBOLS)
 
@@ -82,12 +84,16 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of the positive class."""
-        z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias
+        z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4):
-    """Adam on the non-negative risk with logistic loss; gradients turn back where the bound is met."""
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05):
+    """Adam on the non-negative risk with logistic loss; gradients turn back where the bound is met.
+
+    Weights decay the more, the fewer positives there are.
+    """
+    decay = 0.25 / max(1, len(p))
     w, m, v = np.zeros(p.shape[1] + 1), 0.0, 0.0
     p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -102,17 +108,17 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, share: float = 0.2) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, share: float = 0.4) -> float:
     """Least ratio of unlabelled to positive documents scored above a threshold, as an upper bound.
 
-    Every true ratio is at least the prior.  Each measured one is raised by two standard errors:
+    Every true ratio is at least the prior.  Each measured one is raised by one and a half standard errors:
     of too low a prior trusted documents would pay, of too high a one little changes.
     """
     best = 0.98
     for cut in np.quantile(positive, np.linspace(0, 1 - share, 100)):
         u, p = (unlabelled >= cut).sum(), (positive >= cut).sum()
         if u and p:
-            best = min(best, (u / len(unlabelled)) / (p / len(positive)) * (1 + 2 * np.sqrt(1 / u + 1 / p)))
+            best = min(best, (u / len(unlabelled)) / (p / len(positive)) * (1 + 1.5 * np.sqrt(1 / u + 1 / p)))
     return float(max(best, 0.05))
 
 
@@ -121,7 +127,7 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
     mean, scale = unlabelled.mean(axis=0), np.maximum(unlabelled.std(axis=0), 1e-6)
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
+    p, u = (np.clip((x - mean) / scale, -CLIP, CLIP) for x in (positive, unlabelled))
     first = _descend(p, u, 0.5)
     score = lambda w, x: np.c_[x, np.ones(len(x))] @ w
     prior = estimate_prior(score(first, p), score(first, u))
