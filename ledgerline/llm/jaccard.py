@@ -7,10 +7,10 @@ passages that many documents share seldom lead, and seldom under several orders.
 prefix token of the first order, must meet under the second before their sets are fetched and
 under the third before they are verified on the full sets.
 
-Equal sets are one class from the start.  A first round verifies the links of each prefix token's
-class with the smallest id only, which joins groups of near copies at linear cost; a second round
-takes what remains, pairs of different components under one token, so that no link between
-components is lost.
+Equal sets are one class from the start.  A first round verifies each document with the most
+connected one under each of its prefix tokens only, which joins groups of near copies around the
+text they are edits of, at linear cost; a second round takes what remains, pairs of different
+components under one token, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, repeats, save
@@ -98,14 +98,13 @@ class Order:
         self.bits, self.counts = bits, counts
 
     def prefix(self, tokens: np.ndarray, length: int, which: int) -> np.ndarray:
-        """The first `length` tokens in the order `which`."""
-        if length >= len(tokens):
-            return tokens
+        """The first `length` tokens in the order `which`, in that order."""
         count = np.minimum(self.counts[buckets(tokens, self.bits)[which % 2]], (1 << 23) - 1).astype(np.uint64)
         if which == 2:
             count = np.log2(np.maximum(count, 1)).astype(np.uint64)
         rank = mix(tokens, 10 + which) >> np.uint64(23) | count << np.uint64(41)
-        return tokens[np.argpartition(rank, length - 1)[:length]]
+        first = np.argpartition(rank, length - 1)[:length] if length < len(tokens) else np.arange(len(tokens))
+        return tokens[first[np.lexsort((tokens[first], rank[first]))]]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -233,29 +232,40 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = found.drop("head").join(same.filter("copies > 1"), ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
     copies = save(copies, "copies")
-    tokens = found.filter("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("head").alias("token"))
+    tokens = found.filter("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
     shared = tokens.groupBy("token").count().filter("count > 1").select("token")
-    tokens = save(tokens.join(shared, "token"), "tokens")
+    # a token's place in its document's prefix, and how many of the tokens before it others share
+    before = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    tokens = save(tokens.join(shared, "token").withColumn("before", before), "tokens")
 
-    def near(a: str, b: str) -> F.Column:
-        return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+    def near(a: Column, b: Column) -> Column:
+        """Whether documents with a common token can still agree enough.
+
+        Of what stands before the token only shared tokens can be common, since both prefixes reach it.
+        """
+        most = F.least(a["before"], b["before"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
+        return 100 * most >= percent * (a["n"] + b["n"] - most)
 
     text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, "doc_id") else docs
 
-    # round 1: every document with the first one of each of its tokens
-    firsts = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"))
-    stars = tokens.join(firsts, "token").select(F.col("first.doc_id").alias("a"), F.col("first.n").alias("m"), F.col("doc_id").alias("b"), "n")
-    stars = save(stars.filter("a <> b").filter(near("n", "m")).select("a", "b").distinct(), "pairs")
+    # round 1: every document with the one of each of its tokens that shares most tokens: the text that others are edits of
+    degree = tokens.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    own = F.struct("doc_id", "n", "pos", "before")
+    ranked = tokens.join(degree, "doc_id").select("token", F.struct("degree", (-F.col("doc_id")).alias("key"), own.alias("own")).alias("r"))
+    middle = ranked.groupBy("token").agg(F.max("r").alias("r")).select("token", F.col("r.own").alias("x"))
+    stars = tokens.select("token", own.alias("y")).join(middle, "token").filter("x.doc_id <> y.doc_id").filter(near(F.col("x"), F.col("y")))
+    stars = save(stars.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
     links = _verified(stars, text, level, size, percent)
     joined = components(links)
 
     # round 2: documents of different components under one token
     rest = tokens.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rest = rest.select("token", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+    rest = rest.select("token", own.alias("x"), F.coalesce("component_id", "doc_id").alias("c"))
     mixed = rest.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
     rest = save(rest.join(mixed, "token"), "rest")
-    left = rest.select("token", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-    more = left.join(rest, "token").filter("a < doc_id and c <> d").filter(near("n", "m")).select("a", F.col("doc_id").alias("b")).distinct()
+    other = rest.select("token", F.col("x").alias("y"), F.col("c").alias("d"))
+    more = rest.join(other, "token").filter("x.doc_id < y.doc_id and c <> d").filter(near(F.col("x"), F.col("y")))
+    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
     late = _verified(more, text, level, size, percent)
     edges = links.unionByName(late).unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
