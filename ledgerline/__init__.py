@@ -1,0 +1 @@
+"""Feature tables from prices, news and fundamentals, as Spark DataFrames."""
