@@ -199,7 +199,9 @@ def report(df: DataFrame, profile: Profile | str, by: tuple[str, ...] = ("asset_
     """(by..., section, name, value): all metrics of a profile."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
     by = [c for c in by if c in df.columns]
-    parts = [counts(df, p, by), summary(df, by), duplicates(df, p.keys, by)]
+    parts = [counts(df, p, by), duplicates(df, p.keys, by)]
+    if set(numeric_columns(df)) - set(by):
+        parts.append(summary(df, by))
     if p.date in df.columns:
         parts.append(calendar(df, p.date, by, p.business_days))
     _, absent = _rule_columns(df, p)

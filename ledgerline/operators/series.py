@@ -64,6 +64,10 @@ class Ema:
         return Ema(name, value, length, 2 / (length + 1), first)
 
 
+def _decaying(by: float):
+    return lambda carry, z: carry * by + z
+
+
 def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
     """All recurrences in one blocked scan; df keeps its rows and columns.
 
@@ -92,7 +96,7 @@ def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
         back = max(1, math.ceil(40 / -math.log(decay)))
         before = Window.partitionBy(ASSET).orderBy("__block").rowsBetween(-back, -1)
         past = F.collect_list(f"__z_{s.name}").over(before)
-        carries.append(F.aggregate(past, F.lit(0.0), lambda a, z, d=decay: a * d + z).alias(f"__c_{s.name}"))
+        carries.append(F.aggregate(past, F.lit(0.0), _decaying(decay)).alias(f"__c_{s.name}"))
     out = rows.join(ends.select(ASSET, "__block", *carries), [ASSET, "__block"])
     for s in specs:
         value = F.pow(F.lit(1 - s.alpha), F.col("__j") + 1) * F.col(f"__c_{s.name}") + F.col(f"__z_{s.name}")

@@ -11,7 +11,7 @@ from ..functions import texts
 
 def missing(c: str) -> Column:
     """Null, or NaN on floating columns."""
-    return F.col(c).isNull() | F.isnan(F.col(c).try_cast("double"))
+    return F.col(c).isNull() | (F.typeof(F.col(c)).isin("float", "double") & (F.col(c).cast("string") == "NaN"))
 
 
 def blank(c: str) -> Column:

@@ -21,11 +21,14 @@ START, END = date(1996, 1, 1), date(2000, 12, 31)
 MID = datetime(1999, 1, 16)
 
 
-def register(oracle: str | None = None):
+def register(oracle: str | None = None, days: tuple[str, ...] = ()):
+    """Add a query and its SQL; date columns are given as text on both sides."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, sf_dir).withColumns({d: F.col(d).cast("string") for d in days})
         if oracle:
-            ORACLE_SQL[f.__name__] = oracle
+            cast = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in days)
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({cast}) FROM ({oracle})" if days else oracle
         return f
 
     return add
@@ -112,7 +115,7 @@ def q4_scored_news(spark, sf_dir):
     return sentiment.score_news(n, views.scored_news(spark, sf_dir).filter("sentiment_score > 0.5"))
 
 
-@register(sql.with_views(f"SELECT asset_id, day, n_articles, {sql.rounded('sentiment_score', 'sentiment_std')} FROM daily"))
+@register(sql.with_views(f"SELECT asset_id, day, n_articles, {sql.rounded('sentiment_score', 'sentiment_std')} FROM daily"), days=("day",))
 def q5_daily_sentiment(spark, sf_dir):
     """Daily sentiment upserted into an older state."""
     scored = views.scored_news(spark, sf_dir).filter("sentiment_score between -1 and 1")
@@ -154,7 +157,7 @@ def _payloads(spark, sf_dir) -> DataFrame:
 _PAYLOAD_MEASURES = "revenue, net_income, operating_cash_flow, CASE WHEN month(fiscal_date_end) % 4 <> 1 THEN total_shareholder_equity END AS total_shareholder_equity, CASE WHEN month(fiscal_date_end) % 4 <> 1 THEN total_liabilities END AS total_liabilities"
 
 
-@register(sql.with_views(f"SELECT asset_id, report_type, fiscal_date_end, reported_date, {_PAYLOAD_MEASURES} FROM fundamentals WHERE report_type = 'quarterly' AND fiscal_date_end BETWEEN DATE '{START}' AND DATE '{END}'"))
+@register(sql.with_views(f"SELECT asset_id, report_type, fiscal_date_end, reported_date, {_PAYLOAD_MEASURES} FROM fundamentals WHERE report_type = 'quarterly' AND fiscal_date_end BETWEEN DATE '{START}' AND DATE '{END}'"), days=("fiscal_date_end", "reported_date",))
 def q7_fundamentals_load(spark, sf_dir):
     """Four JSON payloads merged, then selected by type and date."""
     found = files.fundamentals(_payloads(spark, sf_dir)).drop("source")
@@ -248,7 +251,7 @@ _TRAIN_NUMERIC = [*_PRICES, *sql.NAMES, "sentiment_score", "news_volume", "senti
     _report_sql(
         "training", "ts", ["ts"], _TRAIN_NUMERIC, ["ts", *_TRAIN_NUMERIC],
         {k: _BELOW[k] for k in ("range:close", "range:volume")} | _SCORE | {"nonnegative:time_idx": "coalesce(time_idx < 0, false)", "nonnegative:news_volume": "coalesce(news_volume < 0, false)"},
-        True, 28, [], indicators=True, more=_TRAINING_SQL,
+        True, 29, [], indicators=True, more=_TRAINING_SQL,
     )
 )
 def q9_quality_training(spark, sf_dir):
@@ -281,7 +284,7 @@ def a3_scored_news_scan(spark, sf_dir):
     return df.select("asset_id", "article_id", "published_at", "sentiment_score", "model_name")
 
 
-@register(sql.with_views(f"SELECT asset_id, day, n_articles, {sql.rounded('sentiment_score')} FROM daily WHERE asset_id = 'A1' AND day BETWEEN DATE '1999-01-05' AND DATE '1999-01-16'"))
+@register(sql.with_views(f"SELECT asset_id, day, n_articles, {sql.rounded('sentiment_score')} FROM daily WHERE asset_id = 'A1' AND day BETWEEN DATE '1999-01-05' AND DATE '1999-01-16'"), days=("day",))
 def a4_daily_sentiment_scan(spark, sf_dir):
     """A4: bounds count by their day, one asset's partition."""
     path = scratch(spark, "daily")
@@ -291,7 +294,7 @@ def a4_daily_sentiment_scan(spark, sf_dir):
     return rounded(df, "sentiment_score").select("asset_id", "day", "n_articles", "sentiment_score")
 
 
-@register(sql.with_views(f"SELECT asset_id, fiscal_date_end, reported_date, revenue FROM fundamentals WHERE report_type = 'annual' AND fiscal_date_end BETWEEN DATE '{START}' AND DATE '{END}'"))
+@register(sql.with_views(f"SELECT asset_id, fiscal_date_end, reported_date, revenue FROM fundamentals WHERE report_type = 'annual' AND fiscal_date_end BETWEEN DATE '{START}' AND DATE '{END}'"), days=("fiscal_date_end", "reported_date",))
 def a5_fundamentals_scan(spark, sf_dir):
     """A5 S2."""
     path = scratch(spark, "fundamentals")
@@ -378,7 +381,7 @@ def k2_news_upsert(spark, sf_dir):
     return keys.upsert(old, n, ["asset_id", "article_id"], "o")
 
 
-@register(sql.with_views("SELECT asset_id, report_type, fiscal_date_end, revenue * 2 AS revenue FROM fundamentals"))
+@register(sql.with_views("SELECT asset_id, report_type, fiscal_date_end, revenue * 2 AS revenue FROM fundamentals"), days=("fiscal_date_end",))
 def k5_fundamentals_merge(spark, sf_dir):
     """K5: two-column key; a stored table merged in place, only the batch's assets rewritten."""
     path, staging = scratch(spark, "reports"), scratch(spark, "staging")
@@ -482,19 +485,19 @@ def c4_coalescing_update(spark, sf_dir):
 
 @register(sql.with_views("""
     SELECT asset_id, d FROM (SELECT b.asset_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS d FROM (SELECT asset_id, min(ts)::DATE AS lo, max(ts)::DATE AS hi FROM candles GROUP BY 1) b)
-    WHERE isodow(d) < 6 AND (asset_id, d) NOT IN (SELECT (asset_id, ts::DATE) FROM candles)"""))
+    WHERE isodow(d) < 6 AND (asset_id, d) NOT IN (SELECT (asset_id, ts::DATE) FROM candles)"""), days=("d",))
 def c9_missing_days(spark, sf_dir):
     """Business days without a bar."""
     return quality.missing_days(views.candles(spark, sf_dir), "ts", ["asset_id"], True)
 
 
-@register(sql.with_views("SELECT asset_id, d, gap FROM (SELECT asset_id, ts::DATE AS d, ts::DATE - lag(ts::DATE) OVER (PARTITION BY asset_id ORDER BY ts) AS gap FROM candles) WHERE gap > 1"))
+@register(sql.with_views("SELECT asset_id, d, gap FROM (SELECT asset_id, ts::DATE AS d, ts::DATE - lag(ts::DATE) OVER (PARTITION BY asset_id ORDER BY ts) AS gap FROM candles) WHERE gap > 1"), days=("d",))
 def w11_gaps(spark, sf_dir):
     """Gaps between observed days, weekends counted."""
     return quality.gap_sizes(views.candles(spark, sf_dir), "ts", ["asset_id"])
 
 
-@register(sql.with_views(f"SELECT asset_id, min(ts)::DATE AS first_day, max(ts)::DATE AS last_day, max(ts)::DATE >= DATE '{END}' AND min(ts)::DATE <= DATE '{START}' AS covered FROM candles GROUP BY 1"))
+@register(sql.with_views(f"SELECT asset_id, min(ts)::DATE AS first_day, max(ts)::DATE AS last_day, max(ts)::DATE >= DATE '{END}' AND min(ts)::DATE <= DATE '{START}' AS covered FROM candles GROUP BY 1"), days=("first_day", "last_day",))
 def d5_coverage(spark, sf_dir):
     """D5."""
     return tables.coverage(views.candles(spark, sf_dir), "ts", START, END)
@@ -534,7 +537,7 @@ def h8_sentiment_of_logits(spark, sf_dir):
 
 @register("""
     SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts - to_minutes(event_id % 50) WHEN 1 THEN ts - to_hours(event_id % 30) WHEN 2 THEN ts - to_days(CAST(event_id % 9 AS INT)) ELSE ts::DATE::TIMESTAMP END AS t,
-      CASE WHEN event_id % 6 = 0 THEN NULL ELSE date_trunc('second', ts) END AS compact, value AS number, ts::DATE AS day FROM events""")
+      CASE WHEN event_id % 6 = 0 THEN NULL ELSE date_trunc('second', ts) END AS compact, value AS number, ts::DATE AS day FROM events""", days=("day",))
 def h17_parsed_times(spark, sf_dir):
     """Relative, compact, ISO and strict forms read back."""
     e = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

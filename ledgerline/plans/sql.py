@@ -98,13 +98,13 @@ def with_views(body: str, indicators: bool = False, more: str = "") -> str:
 
 def long_report(view: str, by: str, date: str, keys: list[str], numeric: list[str], data: list[str], rules: dict[str, str], business: bool, n_columns: int, absent: list[str]) -> str:
     """A quality report as (by, section, name, value); rules: violation by metric name."""
-    null = lambda c: f"({c} IS NULL OR isnan(try_cast({c} AS DOUBLE)))"
+    null = lambda c: f"({c} IS NULL OR isnan(CAST({c} AS DOUBLE)))" if c in numeric else f"({c} IS NULL)"
     any_of = lambda xs: "(" + " OR ".join([*xs, "false"]) + ")"
     metrics = [("size", "rows", "count(*)"), ("size", "rows_with_nulls", f"count_if({any_of(map(null, data))})")]
-    metrics += [("nulls", c, f"count_if({null(c)})") for c in data]
-    metrics += [("zeros", c, f"count_if({c} = 0)") for c in numeric]
+    metrics += [("nulls", c, f"count_if(coalesce({null(c)}, false))") for c in data]
+    metrics += [("zeros", c, f"count_if(coalesce({c} = 0, false))") for c in numeric]
     metrics += [("size", "rows_with_zeros", f"count_if({any_of(f'coalesce({c} = 0, false)' for c in numeric)})")]
-    metrics += [("nonfinite", c, f"count_if({null(c)} OR isinf(CAST({c} AS DOUBLE)))") for c in numeric]
+    metrics += [("nonfinite", c, f"count_if({null(c)} OR coalesce(isinf(CAST({c} AS DOUBLE)), false))") for c in numeric]
     metrics += [("rules", n, f"count_if({v})") for n, v in rules.items()]
     null_key = any_of(map(null, [by, *keys]))
     metrics += [("keys", "null_key_rows", f"count_if({null_key})")]
