@@ -30,6 +30,8 @@ SKETCH_BITS = 21
 BLOCKS = 64
 #: Ids of copies or of documents with candidates, up to which they are broadcast; beyond, texts are shuffled by id.
 MAX_BROADCAST_IDS = 500_000
+#: Tokens before a token that its row carries; where there are more, a pair may be taken several times before it is made distinct.
+MAX_AHEAD = 64
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(7)
@@ -262,9 +264,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     rest = tokens.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rest = rest.select("token", own.alias("x"), F.coalesce("component_id", "doc_id").alias("c"))
     mixed = rest.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    rest = save(rest.join(mixed, "token"), "rest")
-    other = rest.select("token", F.col("x").alias("y"), F.col("c").alias("d"))
-    more = rest.join(other, "token").filter("x.doc_id < y.doc_id and c <> d").filter(near(F.col("x"), F.col("y")))
+    # a pair is taken at its first common token: with each token goes what its document has before it, while that is short
+    held = rest.join(mixed, "token").groupBy(F.col("x.doc_id").alias("doc_id"), "c")
+    held = held.agg(F.sort_array(F.collect_list(F.struct("x.pos", "token", "x"))).alias("held"))
+    one = held.select("c", F.col("held.token").alias("all"), F.posexplode("held").alias("at", "h"))
+    ahead = F.when(F.col("at") <= MAX_AHEAD, F.slice("all", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<long>"))
+    rest = save(one.select("h.token", "h.x", "c", ahead.alias("ahead")), "rest")
+    other = rest.select("token", F.col("x").alias("y"), F.col("c").alias("d"), F.col("ahead").alias("behind"))
+    fresh = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("c") != F.col("d")) & ~F.arrays_overlap("ahead", "behind")
+    more = rest.join(other, "token").filter(fresh & near(F.col("x"), F.col("y")))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
     late = _verified(more, text, level, size, percent)
