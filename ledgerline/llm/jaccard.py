@@ -212,6 +212,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     are compared by 64-bit hash.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    if repeats(docs, "doc_id"):
+        docs = save(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "docs")
     order = Order(bucket_counts(docs, size, sketch_bits), sketch_bits)
     level = docs.sparkSession.sparkContext.broadcast(order)  # 2^(bits + 1) counts of four bytes
 
@@ -230,7 +232,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "h", "g", "head"])
 
     found = save(docs.mapInArrow(describe, "doc_id long, n long, h long, g long, head array<long>"), "sets")
-    found = found.groupBy("doc_id").agg(F.min(F.struct("n", "h", "g", "head")).alias("s")).select("doc_id", "s.*") if repeats(found, "doc_id") else found
     same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = found.drop("head").join(same.filter("copies > 1"), ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
     copies = save(copies, "copies")
@@ -248,8 +249,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
         most = F.least(a["before"], b["before"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
         return 100 * most >= percent * (a["n"] + b["n"] - most)
 
-    text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats(docs, "doc_id") else docs
-
     # round 1: every document with the one of each of its tokens that shares most tokens: the text that others are edits of
     degree = tokens.groupBy("doc_id").agg(F.count("*").alias("degree"))
     own = F.struct("doc_id", "n", "pos", "before")
@@ -257,7 +256,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     middle = ranked.groupBy("token").agg(F.max("r").alias("r")).select("token", F.col("r.own").alias("x"))
     stars = tokens.select("token", own.alias("y")).join(middle, "token").filter("x.doc_id <> y.doc_id").filter(near(F.col("x"), F.col("y")))
     stars = save(stars.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
-    links = _verified(stars, text, level, size, percent)
+    links = _verified(stars, docs, level, size, percent)
     joined = components(links)
 
     # round 2: documents of different components under one token
@@ -275,7 +274,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     more = rest.join(other, "token").filter(fresh & near(F.col("x"), F.col("y")))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
-    late = _verified(more, text, level, size, percent)
+    late = _verified(more, docs, level, size, percent)
     edges = links.unionByName(late).unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     settled = components(edges).withColumnRenamed("id", "doc_id")
     out = found.select("doc_id", "n").join(settled, "doc_id", "left")

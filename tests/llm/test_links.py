@@ -106,7 +106,7 @@ def test_jaccard_against_all_pairs(spark):
     sets = {i: plain_shingles(t) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = groups(sets, links)
-    got = jaccard.join(docs_of(spark, [*rows, rows[0], (None, "x y")]), sketch_bits=10)
+    got = jaccard.join(docs_of(spark, [*rows, rows[0], (0, None), (0, "~ a later text"), (None, "x y")]), sketch_bits=10)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (len(s), want[i]) for i, s in sets.items()}
     assert got.count() == len(rows)
     assert jaccard.join(docs_of(spark, [])).count() == 0
