@@ -213,8 +213,11 @@ def report(df: DataFrame, profile: Profile | str, by: tuple[str, ...] = ("asset_
 
 def report_json(rows: DataFrame, by: tuple[str, ...] = ("asset_id",)) -> DataFrame:
     """One JSON text a group: section to name to value, from a report without its per-day counts."""
-    sections = rows.filter("section <> 'per_day'").groupBy(*by, "section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("m"))
-    return sections.groupBy(*by).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "m"))))).alias("report"))
+    entries = F.sort_array(F.collect_list(F.struct("name", "value"))).alias("entries")
+    sections = rows.filter("section <> 'per_day'").groupBy(*by, "section").agg(entries)
+    ordered = F.sort_array(F.collect_list(F.struct("section", "entries")))
+    nested = F.transform(ordered, lambda x: F.struct(x["section"], F.map_from_entries(x["entries"])))
+    return sections.groupBy(*by).agg(F.to_json(F.map_from_entries(nested)).alias("report"))
 
 
 def audit(tables: dict[str, DataFrame | None], by: tuple[str, ...] = ("asset_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import texts, times
-from ledgerline.operators import datasets, keys, quality, sentiment, series, validate
+from ledgerline.operators import counters, datasets, keys, quality, sentiment, series, validate
 from ledgerline.plans import pipelines
 from ledgerline.sources import files, tables
 from ledgerline.streaming import ingest
@@ -246,6 +246,12 @@ def test_daily_sentiment_and_scoring(spark):
         sentiment.score_text(n.select("headline"), lambda: lambda batch: [], "headline").collect()
 
 
+def test_counters(spark, tmp_path):
+    df, seen = counters.counted(spark.range(10).withColumnRenamed("id", "k"), "read", skipped=F.col("k") < 3)
+    df.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"read": 10, "skipped": 3}
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(texts.symbol(F.lit("petr4.SA"))) == "PETR4"
