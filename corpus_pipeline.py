@@ -28,8 +28,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = jaccard.join(docs).filter("doc_id <> component_id").select("doc_id")
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    gone = jaccard.join(docs, size=5, percent=80).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -55,3 +55,19 @@ def test_whole_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() and out.agg(F.max("sequence_tokens")).first()[0] <= 2048
     assert decontaminate.MASKS  # the stage's operator is the library's own
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(300)]
+    scattered = [f"x{i}" if i in (120, 140, 160) else w for i, w in enumerate(words)][100:230]
+    rows = [
+        (1, words[:100]), (2, words[:50] + [f"y{i}" for i in range(16)] + words[50:100]),  # a block of more text: 92 of 116
+        (3, [f"a{i}" for i in range(100)]), (4, [f"a{i}" for i in range(120)]),  # 96 of 116 shingles
+        (5, words[100:230]), (6, scattered),  # 111 of 141
+        (7, [f"b{i}" for i in range(100)]), (8, [f"b{i}" for i in range(120)][:100] + ["c"] * 9),
+    ]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert got == {i for i, root in groups(sets, links).items() if root == i} and 4 not in got and 2 in got
