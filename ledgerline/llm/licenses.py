@@ -8,7 +8,7 @@ are aligned the same way.  Coverage is the share of the template's words that ar
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -82,6 +82,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], share: float):
         self.share = share
         self.templates = {name: words_of(text) for name, text in templates.items()}
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
         self.keys: dict[str, dict[str, int]] = {}
         for name, words in self.templates.items():
             # a covered template lacks at most n - ceil(share n) of its words: among one word more, one is there
@@ -99,9 +100,9 @@ class Scanner:
         return "|".join(sorted({re.escape(w) for keys in self.keys.values() for w in keys}))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word) of the best stretch for each covered template.
+        """(license, coverage, first word, last word) of every stretch that covers a template.
 
-        Where stretches overlap, the template with most words aligned stands for them.
+        Where stretches overlap, the one with most words aligned stands for them, the shortest of equals.
         """
         words = words_of(text)
         at: dict[str, list[int]] = {}
@@ -109,10 +110,10 @@ class Scanner:
         for i, w in enumerate(words):
             if w in every:
                 at.setdefault(w, []).append(i)
-        out = []
+        out: set[tuple[int, float, int, str, int, int]] = set()
         for name, template in self.templates.items():
-            slack = 2 + len(template) // 2
-            best = (0, 0, 0)
+            n = len(template)
+            slack = 2 + n // 2
             done: set[int] = set()
             for key, place in self.keys[name].items():
                 for i in at.get(key, ()):
@@ -120,23 +121,32 @@ class Scanner:
                     if start in done:
                         continue
                     done.add(start)
-                    found = align(template, words[start : i - place + len(template) + slack], 0, start)
-                    if len(found) > best[0]:
-                        best = (len(found), found[0][1], found[-1][1])
-            if best[0] >= self._least(len(template)):
-                out.append((-best[0], -best[0] / len(template), name, best[1], best[2]))
-        kept: list[tuple[str, float, int, int]] = []
-        for _, coverage, name, first, last in sorted(out):
-            if all(last < k[2] or first > k[3] for k in kept):
-                kept.append((name, -coverage, first, last))
-        return sorted(kept)
+                    if sum((Counter(words[start : i - place + n + slack]) & self.counts[name]).values()) < self._least(n):
+                        continue
+                    # words of a neighbouring notice are no longer unique: less slack on either side keeps them out
+                    for before, after in ((0, 0), (0, slack), (slack, 0), (slack, slack)):
+                        start = max(0, i - place - before)
+                        found = align(template, words[start : i - place + n + after], 0, start)
+                        if len(found) >= self._least(n):
+                            first, last = found[0][1], found[-1][1]
+                            out.add((-len(found), -len(found) / n, last - first, name, first, last))
+                        if len(found) == n == found[-1][1] - found[0][1] + 1:
+                            break
+        firsts: list[int] = []  # of the kept stretches, which are disjoint
+        kept: list[tuple[int, int, str, float]] = []
+        for _, coverage, _, name, first, last in sorted(out):
+            k = bisect_right(firsts, last)
+            if not k or kept[k - 1][1] < first:
+                firsts.insert(k, first)
+                kept.insert(k, (first, last, name, -coverage))
+        return sorted((name, coverage, first, last) for first, last, name, coverage in kept)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, share: float = 0.9) -> DataFrame:
-    """(doc_id, license, coverage, first_word, last_word): covered templates of whole texts.
+    """(doc_id, license, coverage, first_word, last_word): one row for each notice in whole texts.
 
-    The best stretch of each template with at least `share` of its words aligned, the first of
-    equals, unless a template with more words aligned overlaps it; words are runs of letters and digits in lower case.  Null and empty texts have none; rows
+    Every stretch with at least `share` of a template's words aligned, unless one with more words
+    aligned overlaps it; a template may be found several times in a text; words are runs of letters and digits in lower case.  Null and empty texts have none; rows
     with equal or null doc_id are scanned one by one; other columns are ignored.
     """
     scanner = Scanner(templates, share)

@@ -169,6 +169,28 @@ def test_every_template_is_found_and_little_else(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_every_stretch_of_a_license_is_found():
+    scanner, of = licenses.Scanner(licenses.TEMPLATES, 0.9), licenses.TEMPLATES
+    rng = random.Random(9)
+    pad = " ".join(text_of(rng, 60))
+
+    def found(*parts):
+        return [hit[0] for hit in sorted(scanner.scan(" ".join(parts)), key=lambda hit: hit[2])]
+
+    for longer in ("LGPL-3.0", "AGPL-3.0"):
+        for between in ("", "end", pad):
+            assert found(pad, of[longer], between, of["GPL-3.0"], pad) == [longer, "GPL-3.0"]
+    for longer in ("CC-BY-SA-4.0", "CC-BY-NC-4.0"):
+        assert found(of[longer], pad, of["CC-BY-4.0"]) == [longer, "CC-BY-4.0"]
+    for name, text in of.items():
+        for between in ("", "x", pad):
+            assert found(text, between, text, between, text) == [name] * 3
+    changed = of["GPL-3.0"].replace("GNU", "other")
+    assert found(changed, pad, changed, of["MIT"]) == ["GPL-3.0", "GPL-3.0", "MIT"]
+    spaced = of["MIT-notice"].replace("charge", "charge x y z")
+    assert scanner.scan(f"{pad} {spaced} {spaced}") == [("MIT-notice", 1.0, 60, 91), ("MIT-notice", 1.0, 92, 123)]
+
+
 # urls
 
 
