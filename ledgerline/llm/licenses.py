@@ -117,11 +117,10 @@ class Scanner:
             done: set[int] = set()
             for key, place in self.keys[name].items():
                 for i in at.get(key, ()):
-                    start = max(0, i - place - slack)
-                    if start in done:
+                    if i - place in done:
                         continue
-                    done.add(start)
-                    if sum((Counter(words[start : i - place + n + slack]) & self.counts[name]).values()) < self._least(n):
+                    done.add(i - place)
+                    if sum((Counter(words[max(0, i - place - slack) : i - place + n + slack]) & self.counts[name]).values()) < self._least(n):
                         continue
                     # words of a neighbouring notice are no longer unique: less slack on either side keeps them out
                     for before, after in ((0, 0), (0, slack), (slack, 0), (slack, slack)):

@@ -191,6 +191,17 @@ def test_every_stretch_of_a_license_is_found():
     assert scanner.scan(f"{pad} {spaced} {spaced}") == [("MIT-notice", 1.0, 60, 91), ("MIT-notice", 1.0, 92, 123)]
 
 
+def test_a_notice_after_an_earlier_key_word_is_found():
+    scanner, of = licenses.Scanner(licenses.TEMPLATES, 0.9), licenses.TEMPLATES
+    text = "Documentation for Foo, copyright 2020 by the Foo authors. " + of["MIT-notice"]
+    assert scanner.scan(text) == [("MIT-notice", 1.0, 9, 37)]
+    for name, notice in of.items():
+        for word in scanner.keys[name]:
+            for gap in range(12):
+                hits = scanner.scan(" ".join([word, *["foo"] * gap, notice.replace(" ", " foo ", 1)]))
+                assert name in [hit[0] for hit in hits], (name, word, gap)
+
+
 # urls
 
 
