@@ -241,6 +241,20 @@ def test_names_are_segmented_and_topics_blocked(spark):
     assert {got[i] for i in range(200)} == {"allow"} and {got[1000 + i] for i in range(40)} == {"block"}
 
 
+def test_rare_words_count_beyond_those_that_tasks_hold(spark):
+    titles = ["the garden roses", "cheap offer", "orchid"]
+    pages = [(i, f"http://garden{i % 7}.example.com/roses/slug{chr(97 + i % 26)}{chr(97 + i % 17)}", f"<title>{titles[0]} word{chr(97 + i % 26)}</title>") for i in range(150)]
+    pages += [(1000 + i, f"http://{'casinowin' if i % 2 else 'cheappills'}.example.com/offer/{i}", f"<title>{titles[1]}</title>") for i in range(20)]
+    pages += [(2000, "http://rareorchidporn.example.com/roses", f"<title>{titles[2]}</title>"), (2001, "http://lottery.net", None), (2001, None, None), (None, "http://orchidgarden.example.com/x", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    plain = lambda rows: sorted((str(r.page_id), r.host, r.path, r.verdict, round(r.score, 9)) for r in rows)
+    want = plain(urls.judge(table).collect())
+    assert {r[3] for r in want if r[0] == "2001"} == {"block", "allow"} and len(want) == len(pages)
+    assert plain(urls.judge(table, max_features=3).collect()) == want
+    assert plain(urls.judge(table, max_features=3, max_words=2).collect()) == want
+    assert plain(urls.judge(table, max_features=10_000, max_words=0).collect()) == want
+
+
 # line dedup
 
 
