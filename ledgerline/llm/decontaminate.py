@@ -3,17 +3,23 @@
 Each fixed mask picks some token positions of a window and ignores the others; the hash of the
 picked tokens is joined between the training texts and the benchmark items.  A hit aligns the item with
 the text, and the alignment counts if some window of `window` item tokens agrees in at least
-`share` of its tokens: substitutions are tolerated, wherever a mask's ignored positions or the
-place of the window let a hit arise.  DataFrame expressions only.
+`share` of its tokens.  The masks of an item are chosen by its length so that every placement of
+the substitutions that this leaves room for has a hit.  DataFrame expressions only.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache, reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the token counts, 0: it is ignored.
-MASKS = ("1110111", "11011011", "1011001101")
+#: 1: the token counts, 0: it is ignored.  For windows where they have a hit for every placement of substitutions.
+MASKS = ("1110111", "11011011", "1011001101", "10010000111")
+#: Placements up to which that is tried out.
+MAX_PLACEMENTS = 20_000
 #: Seeds of the benchmark up to which they are broadcast; each is a hash, an id and a position.
 MAX_BROADCAST_SEEDS = 300_000
 
@@ -23,16 +29,35 @@ def tokens(text: str) -> Column:
     return F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
 
 
-def _key(words: str, pos: Column, mask: int) -> Column:
-    picked = [F.get(F.col(words), pos + i) for i, bit in enumerate(MASKS[mask]) if bit == "1"]
-    inside = pos + len(MASKS[mask]) <= F.size(words)
+def covers(masks: tuple[str, ...], length: int, changed: int) -> bool:
+    """Whether some mask has a hit in a window of `length` tokens wherever `changed` of them are substituted."""
+    places = [{p + i for i, bit in enumerate(m) if bit == "1"} for m in masks for p in range(length - len(m) + 1)]
+    return all(any(picked.isdisjoint(c) for picked in places) for c in combinations(range(length), changed))
+
+
+@cache
+def masks_of(length: int, share: float) -> tuple[str, ...]:
+    """Masks with a hit in every window of `length` tokens of which at least `share` agree."""
+    changed = length - max(1, next(m for m in range(length + 1) if m >= share * length or m == length))
+    if math.comb(length, changed) <= MAX_PLACEMENTS and covers(MASKS, length, changed):
+        return MASKS
+    # of two parts more than there are substitutions, two agree at least
+    parts = min(length, changed + 2)
+    part = [i * parts // length for i in range(length)]
+    left = combinations(range(parts), parts - changed)
+    return tuple(sorted({"".join("1" if p in kept else "0" for p in part).strip("0") for kept in left}))
+
+
+def _key(words: str, pos: Column, mask: str) -> Column:
+    picked = [F.get(F.col(words), pos + i) for i, bit in enumerate(mask) if bit == "1"]
+    inside = pos + len(mask) <= F.size(words)
     return F.when(inside, F.xxhash64(F.lit(mask), *picked))
 
 
-def _seeds(table: DataFrame, *keep: str) -> DataFrame:
+def _seeds(table: DataFrame, masks: list[str], *keep: str) -> DataFrame:
     """One row a position and mask of table(words): keep..., pos, key."""
     at = table.select(*keep, "words", F.posexplode("words").alias("pos", "__w"))
-    keys = F.array(*(_key("words", F.col("pos"), m) for m in range(len(MASKS))))
+    keys = F.array(*(_key("words", F.col("pos"), m) for m in masks))
     return at.select(*keep, *(["words"] if "words" not in keep else []), "pos", F.explode(keys).alias("key")).filter("key is not null")
 
 
@@ -62,26 +87,32 @@ def _best(window: int) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 20, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, matches, of, item_start): the best window of each contaminated pair.
 
-    `of` is the window's size: `window` tokens, or all of a shorter item.  Items of fewer than
-    seven tokens, null texts and empty tables match nothing.  Rows with equal doc_id (or
+    `of` is the window's size: `window` tokens, or all of a shorter item.  Items without
+    tokens, null texts and empty tables match nothing.  Rows with equal doc_id (or
     item_id) count as one document (item) found by its best window; null ids pass like others.
     Seeds are broadcast only while the benchmark's measured count is at most MAX_BROADCAST_SEEDS;
     beyond, both sides are shuffled by hash and texts are fetched again for the hits alone.
     """
     items = benchmark.filter("text is not null").select("item_id", F.filter(tokens("text"), lambda w: w != "").alias("words"))
-    items = items.filter(F.size("words") >= min(map(len, MASKS))).withColumn("item", F.xxhash64("item_id", "words")).distinct()
-    seeds = _seeds(items, "item").select("item", F.col("pos").alias("item_pos"), "key")
+    items = items.filter(F.size("words") > 0).withColumn("item", F.xxhash64("item_id", "words")).distinct()
+    size = F.least(F.size("words"), F.lit(window))
+    of_size: dict[tuple[str, ...], list[int]] = {}
+    for row in items.select(size.alias("n")).distinct().collect():  # `window` numbers at most
+        of_size.setdefault(masks_of(row["n"], share), []).append(row["n"])
+    masks = sorted({m for some in of_size for m in some})
+    kinds = [_seeds(items.filter(size.isin(ns)), some, "item") for some, ns in of_size.items()] or [_seeds(items, ["1"], "item")]
+    seeds = reduce(DataFrame.unionByName, kinds).select("item", F.col("pos").alias("item_pos"), "key")
     whole = items.select("item", "item_id", F.col("words").alias("item_words"))
     small = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    small = small * len(MASKS) <= MAX_BROADCAST_SEEDS
+    small = small * len(masks) <= MAX_BROADCAST_SEEDS
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     texts = docs.filter("text is not null").select("doc_id", tokens("text").alias("words"))
     if small:
-        hits = _seeds(texts, "doc_id").join(F.broadcast(seeds), "key").select("doc_id", "words", "item", shift)
+        hits = _seeds(texts, masks or ["1"], "doc_id").join(F.broadcast(seeds), "key").select("doc_id", "words", "item", shift)
         hits = hits.join(F.broadcast(whole), "item")
     else:
         texts = texts.withColumn("text_key", F.xxhash64("doc_id", "words"))
-        hits = _seeds(texts, "text_key").drop("words").join(seeds, "key").select("text_key", "item", shift).distinct()
+        hits = _seeds(texts, masks or ["1"], "text_key").drop("words").join(seeds, "key").select("text_key", "item", shift).distinct()
         hits = hits.join(texts, "text_key").join(whole, "item")
     found = hits.select("doc_id", "item_id", F.size("item_words").alias("n"), _best(window).alias("best"))
     of = F.least(F.col("n"), F.lit(window))

@@ -83,6 +83,35 @@ def test_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     assert sorted(small) == sorted(decontaminate.overlaps(docs, bench).collect()) and small
 
 
+def test_every_placement_of_substitutions_has_a_hit():
+    for length in range(1, 21):
+        changed = length - next(m for m in range(length + 1) if m >= 0.8 * length)
+        assert decontaminate.covers(decontaminate.masks_of(length, 0.8), length, changed), length
+        assert not changed or not decontaminate.covers(("1" * length,), length, changed)
+    assert all(decontaminate.masks_of(n, 0.8) == decontaminate.MASKS for n in (15, 16, 17, 18, 19, 20))
+    assert decontaminate.covers(decontaminate.masks_of(12, 0.5), 12, 6)
+
+
+def test_short_items_and_unlucky_placements_are_found(spark, monkeypatch):
+    rng = random.Random(11)
+    bench, rows, want = [], [], set()
+    for n in (1, 3, 5, 6, 7, 8, 10, 14, 15, 16, 20, 25):
+        item = [f"i{n}x{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        of = min(n, 20)
+        changed = of - next(m for m in range(of + 1) if m >= 0.8 * of)
+        places = list(itertools.combinations(range(of), changed))
+        for c in places if len(places) < 60 else rng.sample(places, 60):
+            for more in (0, 1):
+                gone = {*c, *range(of, n)} | ({next(i for i in range(of) if i not in c)} if more else set())
+                rows.append((len(rows), " ".join(["pad", *("other" if i in gone else w for i, w in enumerate(item)), "pad"])))
+                want |= set() if more else {(rows[-1][0], n, of - changed, of)}
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matches, r["of"]) for r in decontaminate.overlaps(docs, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
+    assert {(r.doc_id, r.item_id, r.matches, r["of"]) for r in decontaminate.overlaps(docs, bench).collect()} == want
+
+
 # Jaccard join
 
 
