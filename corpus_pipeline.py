@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, jaccard, line_dedup, packing, quality
-from ledgerline.llm.common import save
+from ledgerline.llm.common import repeats, save
 from ledgerline.llm.queries import fold
 
 
@@ -28,7 +28,16 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Rows with equal or null doc_id are documents of their own, those without id after all others.
+    """
+    if repeats(docs, "doc_id") or docs.filter("doc_id is null").limit(1).count():
+        rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+        rows = save(rows, "rows")
+        found = jaccard.join(rows.select(F.col("__row").alias("doc_id"), "text"), size=5, percent=80)
+        gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__row"))
+        return rows.join(gone, "__row", "left_anti").select(*docs.columns)
     gone = jaccard.join(docs, size=5, percent=80).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -71,3 +71,12 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     assert got == {i for i, root in groups(sets, links).items() if root == i} and 4 not in got and 2 in got
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c + " more"), (None, c), (None, "no copy of any other text"), (3, None), (3, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    want = [(1, a), (1, b), (2, c + " more"), (None, "no copy of any other text"), (3, None), (3, None), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
