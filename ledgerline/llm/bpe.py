@@ -4,15 +4,21 @@ The byte-level pre-tokenizer ends a piece before a blank that stands before a vi
 character, and around a single line end between visible characters.  So lines and then blanks
 cut a text into pieces that can be encoded alone.  Natural text repeats its words: each
 piece's ids are kept in a bounded dictionary and the tokenizer itself runs on new pieces only.
-Texts with other white space go through the tokenizer whole; both ways give the same ids.
+A plain word is one piece of the pre-tokenizer, so it goes to the tokenizer's model at once.
+Texts with other white space go through the tokenizer whole; all ways give the same ids.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pieces kept in one Python worker before the dictionary starts afresh (about 150 MB).
+#: Pieces learned in one Python worker before the older ones go, but for those met again since (two times about 150 MB).
 MAX_PIECES = 700_000
+#: Letters below this are letters in every Unicode version at hand; words of them alone need no pre-tokenizer.
+LETTERS_BELOW = "\u0500"
+#: The character that stands for each byte in the vocabulary: printable ones of Latin-1 for themselves, others from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: A word before a run of these is encoded apart from the run (all ASCII marks but the apostrophe).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -31,59 +37,52 @@ def _visible(c: str) -> bool:
 class Encoder:
     """ids(text) -> little-endian unsigned 32-bit ids as bytes; None and "" give b""."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._model._resize_cache(0)  # the dictionary holds what the model's own cache would
+        self._four = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._line_end = self._whole("\n")
+        self._max = max_pieces
         self._known: dict[str, bytes] = {}  # ids of a piece after a blank, or of a line end and a piece
+        self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _alone(self, piece: str) -> bytes:
-        return self._line_end + self._whole(piece[1:]) if piece[0] == "\n" else self._whole(" " + piece)
-
-    def _words(self, words: list[str], text: str, each: int) -> None:
-        """Encode plain words as one text, in which each is `each` pieces of the pre-tokenizer."""
-        e = self._tokenizer.encode(text, add_special_tokens=False)
-        starts = (np.flatnonzero(np.diff(np.asarray(e.word_ids), prepend=-1)) * 4).tolist()
-        if len(starts) == len(words) * each:
-            ids = np.asarray(e.ids, dtype="<u4").tobytes()
-            starts = [*starts[::each], len(ids)]
-            self._known.update((w, ids[a:b]) for w, a, b in zip(words, starts, starts[1:], strict=False))
+    def _word(self, word: str) -> bytes:
+        """Ids of letters alone, with or without a blank before them: one piece, which the model takes by its bytes."""
+        if word.isascii():
+            text = word.replace(" ", "\u0120")
+        elif max(word) < LETTERS_BELOW:
+            text = word.encode().decode("latin-1").translate(_BYTE_CHARS)
         else:
-            self._known.update((w, self._alone(w)) for w in words)
-
-    def _learn(self, new: set[str]) -> bool:
-        """Put the ids of new pieces into the dictionary; False if a piece can't stand alone."""
-        known = self._known
-        inner, first, marked = set(), set(), []
-        for p in new:
-            word = p.rstrip(MARKS)
-            start = word[:1] == "\n"
-            if not (word[1:] if start else word).isalpha():
-                if not p or not _visible(p[p[0] == "\n" :][:1]):
-                    return False
-                known[p] = self._alone(p)
-                continue
-            if word is not p and word != p:
-                marked.append((p, word))
-            if word not in known:
-                (first if start else inner).add(word)
-        if inner:
-            inner = list(inner)
-            self._words(inner, " " + " ".join(inner), 1)
-        if first:
-            first = list(first)
-            self._words(first, "".join(first), 2)
-        for p, word in marked:
-            run = p[len(word) :]
-            if run not in self._marks:
-                self._marks[run] = self._whole(run)
-            known[p] = known[word] + self._marks[run]
-        return True
+            return self._whole(word)
+        four = self._four
+        return b"".join([four[t.id] for t in self._model.tokenize(text)])
+
+    def _piece(self, p: str) -> bytes | None:
+        """Ids of a new piece; None if it can't stand alone."""
+        start = p[:1] == "\n"
+        word = p.rstrip(MARKS)
+        letters = word[1:] if start else word
+        if not letters.isalpha():
+            if not p or not _visible(p[start : start + 1]):
+                return None
+            return self._line_end + self._whole(p[1:]) if start else self._whole(" " + p)
+        if len(word) == len(p):
+            return self._line_end + self._word(letters) if start else self._word(" " + p)
+        run = p[len(word) :]
+        marks = self._marks.get(run)
+        if marks is None:
+            marks = self._marks[run] = self._whole(run)
+        ids = self._known.get(word) or self._older.get(word)
+        if ids is None:
+            ids = self._known[word] = self._line_end + self._word(letters) if start else self._word(" " + word)
+        return ids + marks
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -92,12 +91,18 @@ class Encoder:
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         found = list(map(known.get, pieces))
         if None in found:
-            if len(known) > MAX_PIECES:
-                known.clear()
-                found = [None] * len(pieces)
-            if not self._learn({p for p, ids in zip(pieces, found, strict=True) if ids is None}):
-                return self._whole(text)
-            found = list(map(known.__getitem__, pieces))
+            if len(known) > self._max:
+                self._older, known = known, {}
+                self._known = known
+                self._marks = {} if len(self._marks) > self._max else self._marks
+            older = self._older
+            for i, ids in enumerate(found):
+                if ids is None:
+                    p = pieces[i]
+                    ids = known.get(p) or older.get(p) or self._piece(p)
+                    if ids is None:
+                        return self._whole(text)
+                    found[i] = known[p] = ids
         return b"".join(found)[len(self._line_end) :]
 
 
