@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ PROFILES = {
     "candles": Profile(
         "ts", ["ts"], {c: (0.0, None) for c in ("open", "high", "low", "close", "volume")},
         comparisons=[("high", ">=", "low"), ("high", ">=", "open"), ("high", ">=", "close"), ("low", "<=", "open"), ("low", "<=", "close")],
+        dtypes={"ts": "timestamp", "close": "double", "volume": "bigint"},
     ),
     "news_raw": Profile("published_at", ["article_id"], rules=[{"rule": "not_null", "column": "url"}, {"rule": "not_null", "column": "source"}], business_days=False),
     "scored_news": Profile(
@@ -98,64 +99,89 @@ def _rule_columns(df: DataFrame, p: Profile) -> tuple[dict[str, Column], list[st
 
 
 def counts(df: DataFrame, p: Profile, by: list[str]) -> DataFrame:
-    """Metrics of one aggregation: sizes, nulls, zeros, non-finite values, rules, key nulls."""
+    """Metrics of one aggregation: sizes, nulls, zeros, non-finite values, rules, key nulls, moments."""
     numeric = [c for c in numeric_columns(df) if c not in by]
     data = [c for c in df.columns if c not in by]
     rules, _ = _rule_columns(df, p)
-    keys = [k for k in [*by, *p.keys] if k in df.columns]
-    any_of = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
-    zero = lambda c: F.coalesce(F.col(c) == 0, F.lit(False))
-    infinite = lambda c: missing(c) | (F.abs(F.col(c).cast("double")) == float("inf"))
-    null_key = any_of([missing(k) for k in keys])
-    exprs = {("size", "rows"): F.count("*"), ("size", "rows_with_nulls"): F.count_if(any_of([missing(c) for c in data]))}
-    exprs |= {("nulls", c): F.count_if(missing(c)) for c in data}
-    exprs |= {("zeros", c): F.count_if(zero(c)) for c in numeric}
-    exprs |= {("size", "rows_with_zeros"): F.count_if(any_of([zero(c) for c in numeric]))}
-    exprs |= {("nonfinite", c): F.count_if(infinite(c)) for c in numeric}
-    exprs |= {("rules", name): F.count_if(v) for name, v in rules.items()}
-    exprs |= {("keys", "null_key_rows"): F.count_if(null_key)}
-    exprs |= {("rules", "rows_with_violations"): F.count_if(any_of([null_key, *rules.values()]))}
-    return _long(df, exprs, by)
-
-
-def _long(df: DataFrame, exprs: dict[tuple[str, str], Column], by: list[str]) -> DataFrame:
-    """One aggregation, its values as rows."""
-    agg = df.groupBy(*by).agg(*(e.cast("double").alias(f"m{i}") for i, e in enumerate(exprs.values())))
-    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.col(f"m{i}").alias("value")) for i, (s, n) in enumerate(exprs))))
-    return agg.select(*by, rows.alias("r")).select(*by, "r.*")
-
-
-def summary(df: DataFrame, by: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns."""
-    exprs = {}
-    for c in (c for c in numeric_columns(df) if c not in by):
-        x = F.when(~missing(c), F.col(c).cast("double"))
-        exprs |= {(f"summary:{c}", n): f(x) for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))}
-        exprs |= {(f"summary:{c}", f"{q:g}%"): F.percentile(x, q / 100) for q in (25, 50, 75)}
-    return _long(df, exprs, by)
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    # as SQL texts, since a wide table has hundreds of them
+    null = lambda c: f"(`{c}` is null or isnan(`{c}`))" if c in floating else f"(`{c}` is null)"
+    any_of = lambda xs: " or ".join([*xs, "false"])
+    zero = lambda c: f"coalesce(`{c}` = 0, false)"
+    infinite = lambda c: f"({null(c)} or abs(cast(`{c}` as double)) = double('infinity'))"
+    null_key = any_of(null(k) for k in [*by, *p.keys] if k in df.columns)
+    marked = df.withColumns({f"__r{i}": v for i, v in enumerate(rules.values())})
+    exprs = {("size", "rows"): "count(*)", ("size", "rows_with_nulls"): f"count_if({any_of(map(null, data))})"}
+    exprs |= {("nulls", c): f"count_if({null(c)})" for c in data}
+    exprs |= {("zeros", c): f"count_if({zero(c)})" for c in numeric}
+    exprs |= {("size", "rows_with_zeros"): f"count_if({any_of(map(zero, numeric))})"}
+    exprs |= {("nonfinite", c): f"count_if({infinite(c)})" for c in numeric}
+    exprs |= {("rules", name): f"count_if(__r{i})" for i, name in enumerate(rules)}
+    exprs |= {("keys", "null_key_rows"): f"count_if({null_key})"}
+    exprs |= {("rules", "rows_with_violations"): f"count_if({any_of([null_key, *(f'__r{i}' for i in range(len(rules)))])})"}
+    kinds = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    exprs |= {(f"summary:{c}", n): f"{f}(case when not {null(c)} then cast(`{c}` as double) end)" for c in numeric for n, f in kinds.items()}
+    return _long(marked, exprs, by)
+
+
+def _long(df: DataFrame, exprs: dict[tuple[str, str], str], by: list[str]) -> DataFrame:
+    """One aggregation of SQL texts, its values as rows."""
+    agg = df.groupBy(*by).agg(*(F.expr(f"cast({e} as double) as m{i}") for i, e in enumerate(exprs.values())))
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"{quoted(s)}, {quoted(n)}, m{i}" for i, (s, n) in enumerate(exprs))
+    return agg.select(*by, F.expr(f"stack({len(exprs)}, {rows}) as (section, name, value)"))
+
+
+def quartiles(df: DataFrame, by: list[str]) -> DataFrame:
+    """Exact quartiles of numeric columns, between neighbours where a rank falls between them.
+
+    Equal values are counted first, and ranks are running sums of the counts: nothing is held in memory.
+    """
+    numeric = [c for c in numeric_columns(df) if c not in by]
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    value = lambda c: f"cast(nanvl(`{c}`, null) as double)" if c in floating else f"cast(`{c}` as double)"
+    cells = F.expr(f"stack({len(numeric)}, " + ", ".join(f"'{c}', {value(c)}" for c in numeric) + ") as (c, x)")
+    values = df.select(*by, cells).filter("x is not null").groupBy(*by, "c", "x").count()
+    column = Window.partitionBy(*by, "c")
+    values = values.withColumn("upto", F.sum("count").over(column.orderBy("x"))).withColumn("n", F.sum("count").over(column))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
+    rank = {q: (F.col("n") - 1) * (q / 100) for q in (25, 50, 75)}
+    ends = [x for q, r in rank.items() for x in (at(F.floor(r)).alias(f"lo{q}"), at(F.ceil(r)).alias(f"hi{q}"), F.max(r - F.floor(r)).alias(f"part{q}"))]
+    found = values.groupBy(*by, "c").agg(*ends)
+    between = lambda q: F.col(f"lo{q}") + (F.col(f"hi{q}") - F.col(f"lo{q}")) * F.col(f"part{q}")
+    rows = F.explode(F.array(*(F.struct(F.lit(f"{q}%").alias("name"), between(q).alias("value")) for q in rank)))
+    return found.select(*by, F.concat(F.lit("summary:"), "c").alias("section"), rows.alias("r")).select(*by, "section", "r.*")
 
 
 def duplicates(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Rows after the first of each key (of equal rows, without keys); nulls are equal."""
     keys = [k for k in keys if k in df.columns and k not in by] or [c for c in df.columns if c not in by]
     sizes = df.groupBy(*by, *keys).count()
-    return _long(sizes, {("keys", "duplicate_rows"): F.sum(F.col("count") - 1)}, by)
+    return _long(sizes, {("keys", "duplicate_rows"): "sum(`count` - 1)"}, by)
 
 
 def calendar(df: DataFrame, date: str, by: list[str], business_days: bool) -> DataFrame:
-    """Per day, weekday and year counts, first and last day, unread dates, missing days, gaps."""
-    rows = df.select(*by, F.col(date).cast("string").alias("__raw"), F.to_date(date).alias("d"))
-    days = rows.filter("d is not null").groupBy(*by, "d").count()
-    unread = _long(rows, {("dates", "unparseable"): F.count_if(F.col("d").isNull())}, by)
-
-    def grouped(section: str, name: Column) -> DataFrame:
-        return days.groupBy(*by, name.cast("string").alias("name")).agg(F.sum("count").cast("double").alias("value")).select(*by, F.lit(section).alias("section"), "name", "value")
-
-    gap = F.datediff("d", F.lag("d").over(Window.partitionBy(*by).orderBy("d")))
-    gap_count = _long(days.withColumn("gap", gap), {("dates", "gaps"): F.count_if(F.col("gap") > 1), ("dates", "largest_gap"): F.max(F.when(F.col("gap") > 1, F.col("gap")))}, by)
-    epoch = lambda f: F.datediff(f("d"), F.lit("1970-01-01").cast("date"))
-    bounds = _long(days, {("dates", "first_day"): epoch(F.min), ("dates", "last_day"): epoch(F.max), ("dates", "missing_days"): _missing(business_days)}, by)
-    return reduce(DataFrame.unionByName, [unread, grouped("per_day", F.col("d")), grouped("per_weekday", F.weekday("d")), grouped("per_year", F.year("d")), gap_count, bounds])
+    """Per day, weekday and year counts, first and last day, unread dates, missing days, gaps.
+
+    One table of days: what concerns a whole group stands at its first day.
+    """
+    days = df.groupBy(*by, F.to_date(date).alias("d")).count()
+    order, whole = Window.partitionBy(*by).orderBy(F.col("d").asc_nulls_last()), Window.partitionBy(*by)
+    days = days.withColumns({"gap": F.datediff("d", F.lag("d").over(order)), "k": F.row_number().over(order)})
+    over = F.when(F.col("gap") > 1, F.col("gap"))
+    group = {"gaps": F.count(over), "largest_gap": F.max(over), "first_day": F.min("d"), "last_day": F.max("d"), "seen": F.count_if((F.weekday("d") < 5) | F.lit(not business_days) & F.col("d").isNotNull())}
+    days = days.withColumns({f"g_{n}": x.over(whole) for n, x in group.items()})
+    epoch = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    lo, hi = F.col("g_first_day"), F.col("g_last_day")
+    expected = _business(F.date_add(hi, 1)) - _business(lo) if business_days else F.datediff(hi, lo) + 1
+    once = {"gaps": F.col("g_gaps"), "largest_gap": F.col("g_largest_gap"), "first_day": epoch(lo), "last_day": epoch(hi), "missing_days": expected - F.col("g_seen")}
+    entry = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).cast("string").alias("name"), value.cast("double").alias("value"))
+    unread = entry("dates", "unparseable", F.when(F.col("d").isNull(), F.col("count")).otherwise(0))
+    known = [entry("per_day", F.col("d"), F.col("count")), entry("per_weekday", F.weekday("d"), F.col("count")), entry("per_year", F.year("d"), F.col("count"))]
+    first = F.array(*(entry("dates", n, x) for n, x in once.items()))
+    entries = F.when(F.col("d").isNull(), F.array(unread)).when(F.col("k") == 1, F.concat(F.array(unread, *known), first)).otherwise(F.array(unread, *known))
+    rows = days.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
+    return rows.groupBy(*by, "section", "name").agg(F.sum("value").alias("value"))
 
 
 def _business(day: Column) -> Column:
@@ -164,14 +190,6 @@ def _business(day: Column) -> Column:
     return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
 
 
-def _missing(business_days: bool) -> Column:
-    """Days between the first and the last that are absent, counted without listing them."""
-    if not business_days:
-        return F.datediff(F.max("d"), F.min("d")) + 1 - F.count("*")
-    expected = _business(F.date_add(F.max("d"), 1)) - _business(F.min("d"))
-    return expected - F.count_if(F.weekday("d") < 5)
-
-
 def missing_days(df: DataFrame, date: str, by: list[str], business_days: bool) -> DataFrame:
     """The absent days themselves, one row a day: the calendar between the bounds without the observed days."""
     days = df.select(*by, F.to_date(date).alias("d")).filter("d is not null").distinct()
@@ -196,17 +214,25 @@ def dtype_mismatches(df: DataFrame, expected: dict[str, str]) -> dict[str, tuple
 
 
 def report(df: DataFrame, profile: Profile | str, by: tuple[str, ...] = ("asset_id",)) -> DataFrame:
-    """(by..., section, name, value): all metrics of a profile."""
+    """(by..., section, name, value): all metrics of a profile.
+
+    Sections: schema (number of columns, place of each), dtype (1 for a mismatch with the profile, else 0), and those
+    of counts, quartiles, duplicates and calendar, each one scan of df; save df first if it is costly.
+    """
     p = PROFILES[profile] if isinstance(profile, str) else profile
     by = [c for c in by if c in df.columns]
     parts = [counts(df, p, by), duplicates(df, p.keys, by)]
     if set(numeric_columns(df)) - set(by):
-        parts.append(summary(df, by))
+        parts.append(quartiles(df, by))
     if p.date in df.columns:
         parts.append(calendar(df, p.date, by, p.business_days))
     _, absent = _rule_columns(df, p)
     absent += [k for k in p.keys if k not in df.columns]
-    head = df.sparkSession.createDataFrame([("schema", "columns", float(len(df.columns)))] + [("missing_columns", c, 1.0) for c in absent], "section string, name string, value double")
+    head = [("schema", "columns", float(len(df.columns)))] + [("column", c, float(i)) for i, c in enumerate(df.columns)]
+    head += [("missing_columns", c, 1.0) for c in sorted(set(absent))]
+    wrong = dtype_mismatches(df, p.dtypes)
+    head += [("dtype", f"{c} {p.dtypes[c]}", float(c in wrong)) for c in p.dtypes if c in df.columns]
+    head = df.sparkSession.createDataFrame(head, "section string, name string, value double")
     none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by]
     return reduce(DataFrame.unionByName, [*parts, head.select(*none, "*")])
 
@@ -226,11 +252,11 @@ def audit(tables: dict[str, DataFrame | None], by: tuple[str, ...] = ("asset_id"
     for name, df in tables.items():
         if df is not None:
             parts.append(report(df, name, by).withColumn("table", F.lit(name)))
-    some = next(df for df in tables.values() if df is not None)
     absent = [(n, "table", "missing", 1.0) for n, df in tables.items() if df is None]
     if absent:
-        rows = some.sparkSession.createDataFrame(absent, "table string, section string, name string, value double")
-        parts.append(rows.select(*(F.lit(None).cast(parts[0].schema[c].dataType).alias(c) for c in by), "section", "name", "value", "table"))
+        kind = parts[0].schema if parts else {c: T.StructField(c, T.StringType()) for c in by}
+        rows = SparkSession.active().createDataFrame(absent, "table string, section string, name string, value double")
+        parts.append(rows.select(*(F.lit(None).cast(kind[c].dataType).alias(c) for c in by), "section", "name", "value", "table"))
+    if not parts:
+        raise ValueError("no tables")
     return reduce(DataFrame.unionByName, parts)
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,44 +65,42 @@ class Ema:
         return Ema(name, value, length, 2 / (length + 1), first)
 
 
-def _decaying(by: float):
-    return lambda carry, z: carry * by + z
-
-
 def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
     """All recurrences in one blocked scan; df keeps its rows and columns.
 
     Within a block the recurrence from zero is a windowed weighted sum.  Across blocks the carry
     is the weighted sum of earlier blocks' last values, of as many as can matter in double
-    precision.  Values are null before their seed's row.
+    precision: at a block's first row they stand at fixed distances.  All windows are by asset, so
+    the rows are shuffled once and joined with nothing.  Values are null before their seed's row,
+    and from the first null value on, as in the recurrence itself.  With alpha 1 the value stands for itself.
     """
+    order = Window.partitionBy(ASSET).orderBy("__rn")
     rows = df.withColumn("__rn", F.row_number().over(by_time()) - 1)
-    for s in specs:
-        seed = s.first + s.length - 1
-        mean = F.avg(s.value).over(by_time().rowsBetween(1 - s.length, 0))
-        put = F.when(F.col("__rn") < seed, 0.0).when(F.col("__rn") == seed, mean)
-        rows = rows.withColumn(f"__b_{s.name}", put.otherwise(s.alpha * F.col(s.value)))
     rows = rows.withColumn("__block", F.floor(F.col("__rn") / BLOCK)).withColumn("__j", F.col("__rn") % BLOCK)
+    put, z, first, carry, out = {}, {}, {}, {}, {}
     inner = Window.partitionBy(ASSET, "__block").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
-    zs = {}
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     for s in specs:
-        r = 1 - s.alpha
+        seed, r = s.first + s.length - 1, 1 - s.alpha
+        absent = F.count_if(F.col(s.value).isNull() & (F.col("__rn") >= s.first)).over(upto)
+        fine = (F.col("__rn") >= seed) & (F.col(f"__a_{s.name}") == 0)
+        put[f"__a_{s.name}"] = absent
+        if not r:
+            out[s.name] = F.when(fine, F.col(s.value).cast("double"))
+            continue
+        mean = F.avg(s.value).over(order.rowsBetween(1 - s.length, 0))
+        put[f"__b_{s.name}"] = F.when(F.col("__rn") < seed, 0.0).when(F.col("__rn") == seed, mean).otherwise(s.alpha * F.col(s.value))
         scaled = F.col(f"__b_{s.name}") * F.pow(F.lit(r), -F.col("__j"))
-        zs[f"__z_{s.name}"] = F.pow(F.lit(r), F.col("__j")) * F.sum(scaled).over(inner)
-    rows = rows.withColumns(zs)
-    ends = rows.groupBy(ASSET, "__block").agg(*(F.max_by(z, "__j").alias(z) for z in zs))
-    carries = []
-    for s in specs:
-        decay = (1 - s.alpha) ** BLOCK
+        z[f"__z_{s.name}"] = F.pow(F.lit(r), F.col("__j")) * F.coalesce(F.sum(scaled).over(inner), F.lit(0.0))
+        decay = r**BLOCK
         back = max(1, math.ceil(40 / -math.log(decay)))
-        before = Window.partitionBy(ASSET).orderBy("__block").rowsBetween(-back, -1)
-        past = F.collect_list(f"__z_{s.name}").over(before)
-        carries.append(F.aggregate(past, F.lit(0.0), _decaying(decay)).alias(f"__c_{s.name}"))
-    out = rows.join(ends.select(ASSET, "__block", *carries), [ASSET, "__block"])
-    for s in specs:
-        value = F.pow(F.lit(1 - s.alpha), F.col("__j") + 1) * F.col(f"__c_{s.name}") + F.col(f"__z_{s.name}")
-        out = out.withColumn(s.name, F.when(F.col("__rn") >= s.first + s.length - 1, value))
-    return out.select(*df.columns, *(s.name for s in specs))
+        ends = [F.coalesce(F.lag(f"__z_{s.name}", 1 + k * BLOCK).over(order), F.lit(0.0)) * decay**k for k in range(back)]
+        first[f"__f_{s.name}"] = F.when(F.col("__j") == 0, reduce(lambda a, b: a + b, ends))
+        carry[f"__c_{s.name}"] = F.first(f"__f_{s.name}", ignorenulls=True).over(inner)
+        out[s.name] = F.when(fine, F.pow(F.lit(r), F.col("__j") + 1) * F.col(f"__c_{s.name}") + F.col(f"__z_{s.name}"))
+    for columns in (put, z, first, carry, out):
+        rows = rows.withColumns(columns) if columns else rows
+    return rows.select(*df.columns, *(s.name for s in specs))
 
 
 def indicators(candles: DataFrame) -> DataFrame:
@@ -148,6 +147,20 @@ def scale(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
+def standardised(df: DataFrame, features: list[str], fit_until=None) -> DataFrame:
+    """z-scores as by fit_scaler() and scale(), in one pass: the parameters are windows over the asset's rows."""
+    whole = Window.partitionBy(ASSET)
+    seen = F.lit(True) if fit_until is None else F.col(TS) <= fit_until
+    for f in features:
+        x = F.col(f).cast("double")
+        mean, std = F.avg(F.when(seen, x)).over(whole), F.stddev_pop(F.when(seen, x)).over(whole)
+        df = df.withColumns({f"__m_{f}": mean, f"__s_{f}": std})
+    z = lambda f: (F.col(f) - F.col(f"__m_{f}")) / F.when(F.col(f"__s_{f}") == 0, 1.0).otherwise(F.col(f"__s_{f}"))
+    known = lambda f: F.col(f"__m_{f}").isNotNull()
+    out = {f: F.when(known(f), z(f)).otherwise(F.col(f).cast("double")) for f in features}
+    return df.select(*(out[c].alias(c) if c in out else c for c in df.columns if not c.startswith(("__m_", "__s_"))))
+
+
 def asof_backward(left: DataFrame, right: DataFrame, on: str, right_on: str, payload: list[str], ties: list[str]) -> DataFrame:
     """Left rows with the payload of the latest right row at or before them; equal times count.
 

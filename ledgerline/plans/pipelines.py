@@ -42,7 +42,7 @@ def checked_training_table(candles: DataFrame, *args, **options) -> DataFrame:
         raise ValueError("an asset has several bars at one time")
     out = training_table(candles, *args, **options)
     if out.isEmpty():
-        raise ValueError("Not enough rows to compute target_return")
+        raise ValueError("no asset has two bars in the range, so there is no target")
     return out
 
 
@@ -51,8 +51,7 @@ def indicator_table(candles: DataFrame, normalise: bool = True, fit_until=None)
     table = series.indicators(candles)
     if not normalise:
         return table
-    features = list(schemas.INDICATORS)
-    return series.scale(table, series.fit_scaler(table, features, fit_until), features)
+    return series.standardised(table, list(schemas.INDICATORS), fit_until)
 
 
 def incremental_news(stored: DataFrame, landing: DataFrame, window_days: int = 1) -> DataFrame:

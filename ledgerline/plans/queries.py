@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import texts, times
-from ..operators import datasets, keys, quality, sentiment, series, validate
+from ..operators import counters, datasets, keys, quality, sentiment, series, validate
 from ..sources import files, tables
 from . import pipelines, sql, views
 
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 START, END = date(1996, 1, 1), date(2000, 12, 31)
 MID = datetime(1999, 1, 16)
+#: Ordinals that one JSON payload spans: payloads grow in number, not in size.
+PAYLOAD = 50
 
 
 def register(oracle: str | None = None, days: tuple[str, ...] = ()):
@@ -90,10 +92,22 @@ def q2_indicators(spark, sf_dir):
     )
 )
 def q3_normalised_indicators(spark, sf_dir):
-    """D20 W13 F3."""
+    """W13 F3."""
     return rounded(pipelines.indicator_table(views.candles(spark, sf_dir)), *sql.NAMES)
 
 
+@register(
+    sql.with_views(f"""
+    SELECT c.asset_id, ts, round((c."close" - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS "close", round((volume - vm) / CASE WHEN vs = 0 THEN 1 ELSE vs END, 6) AS volume
+    FROM candles c JOIN (SELECT asset_id, avg("close") AS m, stddev_pop("close") AS s, avg(volume) AS vm, stddev_pop(volume) AS vs FROM candles WHERE ts <= TIMESTAMP '{MID}' GROUP BY 1) USING (asset_id)""")
+)
+def d20_scaled_prices(spark, sf_dir):
+    """Parameters fitted up to a time, saved as rows, applied to all bars."""
+    c = views.candles(spark, sf_dir).select("asset_id", "ts", F.col("close").cast("double"), F.col("volume").cast("double"))
+    scaler = series.fit_scaler(c, ["close", "volume"], MID)
+    return rounded(series.scale(c, scaler, ["close", "volume"]), "close", "volume")
+
+
 @register(
     sql.with_views("""
     SELECT n.asset_id, 'n' || ordinal AS article_id, n.published_at, t AS text FROM (
@@ -108,9 +122,15 @@ def q4_unscored_news(spark, sf_dir):
     return sentiment.unscored(n, done).select("asset_id", "article_id", "published_at", "text")
 
 
-@register()
+@register(
+    sql.with_views("""
+    SELECT asset_id, 'n' || ordinal AS article_id, published_at, v AS sentiment_score, abs(v) AS confidence, 'checksum' AS model_name FROM (
+      SELECT n.*, CAST('0x' || left(md5(CASE WHEN trim(headline) = '' AND trim(summary) = '' THEN ' '
+        ELSE concat_ws(' ', nullif(trim(headline), ''), nullif(trim(summary), '')) END), 6) AS BIGINT) % 2001 / 1000.0::DOUBLE - 1 AS v FROM news n)
+    WHERE 'n' || ordinal NOT IN (SELECT article_id FROM scored_news WHERE sentiment_score > 0.5)""")
+)
 def q4_scored_news(spark, sf_dir):
-    """Scored by a Python model in bounded batches (tests compare it with the column form)."""
+    """What has no score yet, scored by a Python model in bounded batches."""
     n = views.news(spark, sf_dir).withColumn("article_id", F.concat(F.lit("n"), F.col("ordinal").cast("string")))
     return sentiment.score_news(n, views.scored_news(spark, sf_dir).filter("sentiment_score > 0.5"))
 
@@ -176,12 +196,23 @@ def q8_candle_load(spark, sf_dir):
     return df.filter((F.col("ts") >= F.lit(START)) & times.before_day_end(F.col("ts"), F.lit(END)))
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read again, for what reads it several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _report(df: DataFrame, profile: str) -> DataFrame:
-    return rounded(quality.report(df, profile), "value")
+    return rounded(quality.report(saved(df, "profiled"), profile), "value")
+
 
+_REPORTS: dict[str, str] = {}
 
-def _report_sql(view: str, *args, indicators: bool = False, more: str = "") -> str:
-    return sql.with_views(f"SELECT asset_id, section, name, round(value, 6) AS value FROM ({sql.long_report(view, 'asset_id', *args)})", indicators, more)
+
+def _report_sql(profile: str, view: str, *args, indicators: bool = False, more: str = "") -> str:
+    _REPORTS[profile] = f"SELECT asset_id, section, name, round(value, 6) AS value FROM ({sql.long_report(view, 'asset_id', *args)})"
+    return sql.with_views(_REPORTS[profile], indicators, more)
 
 
 _PRICES = ["open", "high", "low", "close", "volume"]
@@ -190,79 +221,96 @@ _COMPARE = {f"compare:{a}{op}{b}": f"NOT coalesce({a} {op} {b}, false)" for a, o
 _SCORE = {"range:sentiment_score": "coalesce(sentiment_score NOT BETWEEN -1 AND 1, false)"}
 
 
-@register(_report_sql("candles", "ts", ["ts"], _PRICES, ["ts", *_PRICES], _BELOW | _COMPARE, True, 7, []))
-def q9_quality_candles(spark, sf_dir):
-    """D7-D13 D15-D18 W11 B6."""
-    return _report(views.candles(spark, sf_dir), "candles")
+_CANDLE_COLUMNS = ["ts", *_PRICES]
+_NEWS = ["article_id", "published_at", "headline", "summary", "source", "url", "language"]
+_SCORED = ["article_id", "published_at", "sentiment_score", "confidence", "model_name"]
+_DAILY = ["day", "sentiment_score", "n_articles", "sentiment_std"]
+_REPORT_COLUMNS = ["report_type", "fiscal_date_end", "reported_date", *sql.MEASURES, "source"]
+_TRAIN = ["ts", *_PRICES, *sql.NAMES, "sentiment_score", "news_volume", "sentiment_std", *sql.MEASURES, "day_of_week", "month", "target_return", "time_idx"]
 
 
-_NEWS = ["article_id", "published_at", "headline", "summary", "source", "url", "language"]
+def _profiled(spark, sf_dir) -> dict[str, DataFrame]:
+    """The seven tables that have profiles."""
+    scored = views.scored_news(spark, sf_dir)
+    return {
+        "candles": views.candles(spark, sf_dir),
+        "news_raw": views.news(spark, sf_dir).select("asset_id", *_NEWS),
+        "scored_news": scored,
+        "sentiment_daily": sentiment.daily_sentiment(scored.filter("sentiment_score between -1 and 1")),
+        "technical_indicators": series.indicators(views.candles(spark, sf_dir)),
+        "fundamentals": views.fundamentals(spark, sf_dir),
+        "dataset_tft": _training(spark, sf_dir),
+    }
+
+
+@register(_report_sql("candles", "candles", "ts", ["ts"], _PRICES, _CANDLE_COLUMNS, _BELOW | _COMPARE, True, _CANDLE_COLUMNS, ("ts timestamp", "close double", "volume bigint")))
+def q9_quality_candles(spark, sf_dir):
+    """D7-D13 D15-D19 W11 B6."""
+    return _report(_profiled(spark, sf_dir)["candles"], "candles")
 
 
-@register(_report_sql("news", "published_at", ["article_id"], [], _NEWS, {"not_null:url": "url IS NULL", "not_null:source": "source IS NULL"}, False, 8, []))
+@register(_report_sql("news_raw", "news", "published_at", ["article_id"], [], _NEWS, {"not_null:url": "url IS NULL", "not_null:source": "source IS NULL"}, False, _NEWS))
 def q9_quality_news(spark, sf_dir):
     """D11 D12 D14 D17 D18 on all days."""
-    return _report(views.news(spark, sf_dir).select("asset_id", *_NEWS), "news_raw")
+    return _report(_profiled(spark, sf_dir)["news_raw"], "news_raw")
 
 
-@register(
-    _report_sql(
-        "scored_news", "published_at", ["article_id"], ["sentiment_score", "confidence"], ["article_id", "published_at", "sentiment_score", "confidence", "model_name"],
-        _SCORE | {"between:confidence": "coalesce(confidence NOT BETWEEN 0 AND 1, false)", "not_null:model_name": "model_name IS NULL"}, False, 6, [],
-    )
-)
+_CONFIDENT = {"between:confidence": "coalesce(confidence NOT BETWEEN 0 AND 1, false)", "not_null:model_name": "model_name IS NULL"}
+
+
+@register(_report_sql("scored_news", "scored_news", "published_at", ["article_id"], ["sentiment_score", "confidence"], _SCORED, _SCORE | _CONFIDENT, False, _SCORED))
 def q9_quality_scored_news(spark, sf_dir):
     """D14 between, not_null."""
-    return _report(views.scored_news(spark, sf_dir), "scored_news")
+    return _report(_profiled(spark, sf_dir)["scored_news"], "scored_news")
 
 
-@register(
-    _report_sql(
-        "daily", "day", ["day"], ["sentiment_score", "n_articles", "sentiment_std"], ["day", "sentiment_score", "n_articles", "sentiment_std"],
-        _SCORE | {"nonnegative:n_articles": "coalesce(n_articles < 0, false)", "nonnegative:sentiment_std": "coalesce(sentiment_std < 0, false)"}, True, 5, [],
-    )
-)
+_COUNTED = {"nonnegative:n_articles": "coalesce(n_articles < 0, false)", "nonnegative:sentiment_std": "coalesce(sentiment_std < 0, false)"}
+
+
+@register(_report_sql("sentiment_daily", "daily", "day", ["day"], _DAILY[1:], _DAILY, _SCORE | _COUNTED, True, _DAILY))
 def q9_quality_daily_sentiment(spark, sf_dir):
     """D14 nonnegative, business days."""
-    scored = views.scored_news(spark, sf_dir).filter("sentiment_score between -1 and 1")
-    return _report(sentiment.daily_sentiment(scored), "sentiment_daily")
+    return _report(_profiled(spark, sf_dir)["sentiment_daily"], "sentiment_daily")
 
 
-@register(
-    _report_sql(
-        "fundamentals", "fiscal_date_end", ["report_type", "fiscal_date_end"], sql.MEASURES, ["report_type", "fiscal_date_end", "reported_date", *sql.MEASURES, "source"],
-        {"in:report_type": "NOT coalesce(report_type IN ('annual', 'quarterly'), false)"}, False, 10, [],
-    )
-)
+_TYPED = {"in:report_type": "NOT coalesce(report_type IN ('annual', 'quarterly'), false)"}
+
+
+@register(_report_sql("fundamentals", "fundamentals", "fiscal_date_end", ["report_type", "fiscal_date_end"], sql.MEASURES, _REPORT_COLUMNS, _TYPED, False, _REPORT_COLUMNS))
 def q9_quality_fundamentals(spark, sf_dir):
     """D14 in, two-column key."""
-    return _report(views.fundamentals(spark, sf_dir), "fundamentals")
+    return _report(_profiled(spark, sf_dir)["fundamentals"], "fundamentals")
 
 
-@register(_report_sql("indicators", "ts", ["ts"], sql.NAMES, ["ts", *sql.NAMES], {}, True, 12, [], indicators=True))
+@register(_report_sql("technical_indicators", "indicators", "ts", ["ts"], sql.NAMES, ["ts", *sql.NAMES], {}, True, ["ts", *sql.NAMES], indicators=True))
 def q9_quality_indicators(spark, sf_dir):
-    return _report(series.indicators(views.candles(spark, sf_dir)), "technical_indicators")
+    return _report(_profiled(spark, sf_dir)["technical_indicators"], "technical_indicators")
 
 
-_TRAIN_NUMERIC = [*_PRICES, *sql.NAMES, "sentiment_score", "news_volume", "sentiment_std", *sql.MEASURES, "day_of_week", "month", "target_return", "time_idx"]
+_TRAIN_RULES = {k: _BELOW[k] for k in ("range:close", "range:volume")} | _SCORE
+_TRAIN_RULES |= {"nonnegative:time_idx": "coalesce(time_idx < 0, false)", "nonnegative:news_volume": "coalesce(news_volume < 0, false)"}
 
 
-@register(
-    _report_sql(
-        "training", "ts", ["ts"], _TRAIN_NUMERIC, ["ts", *_TRAIN_NUMERIC],
-        {k: _BELOW[k] for k in ("range:close", "range:volume")} | _SCORE | {"nonnegative:time_idx": "coalesce(time_idx < 0, false)", "nonnegative:news_volume": "coalesce(news_volume < 0, false)"},
-        True, 29, [], indicators=True, more=_TRAINING_SQL,
-    )
-)
+@register(_report_sql("dataset_tft", "training", "ts", ["ts"], _TRAIN[1:], _TRAIN, _TRAIN_RULES, True, _TRAIN, indicators=True, more=_TRAINING_SQL))
 def q9_quality_training(spark, sf_dir):
-    return _report(_training(spark, sf_dir), "dataset_tft")
+    return _report(_profiled(spark, sf_dir)["dataset_tft"].select("asset_id", *_TRAIN), "dataset_tft")
+
+
+_AUDIT_SQL = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", * FROM ({body})" for name, body in _REPORTS.items())
+_FOUND = " UNION ALL ".join(f"SELECT '{n}', NULL, 'report', 'exists', {v}" for n, v in (("audit", 1.0), ("other", 0.0)))
 
 
-@register()
+@register(sql.with_views(f"{_AUDIT_SQL} UNION ALL {_FOUND}", True, _TRAINING_SQL))
 def q11_audit(spark, sf_dir):
-    """Reports of several tables, one of them absent, as JSON texts."""
-    found = {"candles": views.candles(spark, sf_dir), "fundamentals": views.fundamentals(spark, sf_dir), "news_raw": None}
-    return quality.report_json(quality.audit(found), ("asset_id", "table"))
+    """Reports of all seven tables, written as a report of one run, looked up by prefix and read back."""
+    found = _profiled(spark, sf_dir)
+    found = {n: saved(df.select("asset_id", *_TRAIN) if n == "dataset_tft" else df, n) for n, df in found.items()}
+    rows, path = quality.audit(found), scratch(spark, "reports")
+    files.write_report(rows, path, "audit", F.lit("20240101_000000"))
+    there = [(p, None, "report", "exists", float(files.report_exists(spark, path, p))) for p in ("audit", "other")]
+    columns = "table string, asset_id string, section string, name string, value double"
+    back = files.reports(spark, path, rows.schema).select("table", "asset_id", "section", "name", "value")
+    return rounded(back.unionByName(spark.createDataFrame(there, columns)), "value")
 
 
 # scans
@@ -270,9 +318,10 @@ def q11_audit(spark, sf_dir):
 
 @register(sql.with_views("SELECT asset_id, article_id, published_at, coalesce(headline, '') AS headline, coalesce(source, '') AS source, language FROM news WHERE published_at BETWEEN TIMESTAMP '1999-01-05' AND TIMESTAMP '1999-01-16'"))
 def a2_news_scan(spark, sf_dir):
-    """A2 B1: inclusive range, defaults for null texts."""
-    df = tables.between(views.news(spark, sf_dir), "published_at", datetime(1999, 1, 5), MID)
-    return tables.news_defaults(df).select("asset_id", "article_id", "published_at", "headline", "source", "language")
+    """A2 B1: written by asset and scanned over an inclusive range, defaults for null texts."""
+    path = scratch(spark, "news")
+    tables.write(views.news(spark, sf_dir), path, schemas.NEWS, ("published_at",))
+    return tables.news(spark, path, None, datetime(1999, 1, 5), MID).select("asset_id", "article_id", "published_at", "headline", "source", "language")
 
 
 @register(sql.with_views("SELECT asset_id, article_id, published_at, sentiment_score, nullif(model_name, '') AS model_name FROM scored_news WHERE published_at BETWEEN TIMESTAMP '1999-01-05' AND TIMESTAMP '1999-01-16'"))
@@ -304,7 +353,7 @@ def a5_fundamentals_scan(spark, sf_dir):
 
 @register(sql.with_views(" UNION ALL ".join(f"SELECT asset_id, ts, '{n}' AS name, round(CAST(CAST(\"{n}\" AS FLOAT) AS DOUBLE), 3) AS value FROM indicators WHERE asset_id = 'A2'" for n in ("rsi_14", "macd_signal")), True))
 def a6_indicator_maps(spark, sf_dir):
-    """Wide table written once, read as maps, an asset's entries."""
+    """Wide table written once, read as maps, an asset's entries."""
     path = scratch(spark, "indicators")
     table = series.indicators(views.candles(spark, sf_dir)).select("asset_id", "ts", "rsi_14", "macd_signal")
     tables.write(table.withColumns({c: F.col(c).cast("float") for c in ("rsi_14", "macd_signal")}), path, None, ("ts",), "error")
@@ -313,6 +362,14 @@ def a6_indicator_maps(spark, sf_dir):
 
 
 
+@register(sql.with_views(f"SELECT asset_id, ts, time_idx, day_of_week, month, {sql.rounded('target_return', 'close', 'ema_200', 'revenue')}, 'A' AS run FROM training", True, _TRAINING_SQL))
+def a7_training_scan(spark, sf_dir):
+    """The training table written by asset with a further column, and scanned."""
+    path = scratch(spark, "training")
+    tables.write_training(_training(spark, sf_dir).withColumn("run", F.lit("A")), path)
+    df = tables.training(spark, path).select("asset_id", "ts", "time_idx", "day_of_week", "month", "target_return", "close", "ema_200", "revenue", "run")
+    return rounded(df, "target_return", "close", "ema_200", "revenue")
+
 
 @register(
     sql.with_views("""
@@ -326,7 +383,7 @@ def a8_news_feed(spark, sf_dir):
     n = views.news(spark, sf_dir)
     time = F.when(F.col("ordinal") % 10 != 3, F.date_format("published_at", "yyyyMMdd'T'HHmmss")).otherwise("soon")
     item = F.struct(time.alias("time_published"), F.col("headline").alias("title"), "summary", "source", "url")
-    feeds = n.groupBy("asset_id", (F.col("ordinal") % 97).alias("feed_no")).agg(F.collect_list(item).alias("feed"))
+    feeds = n.groupBy("asset_id", F.floor(F.col("ordinal") / PAYLOAD).alias("feed_no")).agg(F.collect_list(item).alias("feed"))
     found = files.news_feed(feeds.select("asset_id", F.to_json(F.struct("feed")).alias("payload")))
     return found.select("asset_id", "published_at", "headline", "source", "article_id")
 
@@ -334,13 +391,13 @@ def a8_news_feed(spark, sf_dir):
 @register(
     sql.with_views("""
     SELECT asset_id, to_timestamp(epoch(date_trunc('second', published_at)))::TIMESTAMP AS published_at, coalesce(url, CAST(CAST(epoch(date_trunc('second', published_at)) AS BIGINT) AS VARCHAR)) AS article_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, ordinal % 97 ORDER BY ordinal) AS k FROM news) WHERE k <= 5""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, ordinal // 50 ORDER BY ordinal) AS k FROM news) WHERE k <= 5""")
 )
 def a9_news_items(spark, sf_dir):
     """JSON arrays with epoch seconds, the first five of each."""
     n = views.news(spark, sf_dir)
     item = F.struct("ordinal", F.unix_timestamp("published_at").alias("datetime"), "headline", "summary", "source", "url")
-    lists = n.groupBy("asset_id", (F.col("ordinal") % 97).alias("no")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    lists = n.groupBy("asset_id", F.floor(F.col("ordinal") / PAYLOAD).alias("no")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     found = files.news_items(lists.select("asset_id", F.to_json("items").alias("payload")), limit=5)
     return found.select("asset_id", "published_at", "article_id")
 
@@ -358,10 +415,14 @@ def a12_csv_set(spark, sf_dir):
     return files.csv_set(spark, paths, ["c_custkey", "c_name"])
 
 
-@register()
+@register("SELECT c_nationkey AS nation, strlen(t) AS length, sha256(t) AS sha256 FROM (SELECT c_nationkey, string_agg(c_custkey || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY 1)")
 def a14_provenance(spark, sf_dir):
-    """Size and checksum of the orders' files."""
-    return files.provenance(spark, f"{sf_dir}/orders.parquet").select("length", "sha256")
+    """Size and checksum of text files, one a nation, that hold all customers."""
+    path = scratch(spark, "lines")
+    c = views.table(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", F.concat_ws("|", "c_custkey", "c_name").alias("line")).write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("nation")
+    return files.provenance(spark, path).filter(F.col("path").endswith(".txt")).select(nation, "length", "sha256")
 
 
 # keys and sinks
@@ -369,16 +430,18 @@ def a14_provenance(spark, sf_dir):
 
 @register(
     sql.with_views("""
-    SELECT asset_id, id AS article_id, ordinal, headline FROM (
-      SELECT *, row_number() OVER (PARTITION BY asset_id, id ORDER BY ordinal DESC) AS k
-      FROM (SELECT *, coalesce(nullif(article_id, ''), nullif(url, '')) AS id FROM news) WHERE id IS NOT NULL) WHERE k = 1""")
+    SELECT asset_id, id AS article_id, ordinal, CASE WHEN renewed THEN headline ELSE 'old ' || headline END AS headline FROM (
+      SELECT *, row_number() OVER (PARTITION BY asset_id, id ORDER BY renewed DESC, ordinal DESC) AS k
+      FROM (SELECT *, coalesce(nullif(article_id, ''), nullif(url, '')) AS id, published_at >= TIMESTAMP '1999-01-16' OR ordinal % 4 = 0 AS renewed FROM news) WHERE id IS NOT NULL) WHERE k = 1""")
 )
 def k2_news_upsert(spark, sf_dir):
-    """A batch upserted into stored news by id, the last kept."""
+    """All older news stored, later news and a part of the older upserted by id, the last kept."""
     n = views.news(spark, sf_dir).withColumn("article_id", texts.article_id(F.col("article_id"), F.col("url"))).filter("article_id is not null")
-    n = n.select("asset_id", "article_id", "ordinal", "headline", F.col("ordinal").alias("o"))
-    old = keys.keep_last(n.filter(F.col("ordinal") % 4 != 0).filter("o < 5000"), ["asset_id", "article_id"], ["o"]).drop("o")
-    return keys.upsert(old, n, ["asset_id", "article_id"], "o")
+    n = n.select("asset_id", "article_id", "published_at", "ordinal", "headline", F.col("ordinal").alias("o"))
+    before = F.col("published_at") < F.lit(MID)
+    old = n.filter(before).withColumn("headline", F.concat(F.lit("old "), "headline"))
+    old = keys.keep_last(old, ["asset_id", "article_id"], ["o"]).drop("o", "published_at")
+    return keys.upsert(old, n.filter(~before | (F.col("ordinal") % 4 == 0)).drop("published_at"), ["asset_id", "article_id"], "o")
 
 
 @register(sql.with_views("SELECT asset_id, report_type, fiscal_date_end, revenue * 2 AS revenue FROM fundamentals"), days=("fiscal_date_end",))
@@ -405,6 +468,21 @@ def k6_partial_upsert(spark, sf_dir):
     return keys.upsert_columns(p.filter("p_partkey % 3 <> 0"), batch, "p_partkey", ["p_size"])
 
 
+@register(
+    sql.with_views("""
+    SELECT url, CASE WHEN o.url IS NULL THEN n.headline ELSE o.headline END AS headline, round(CASE WHEN n.url IS NULL THEN o.value ELSE n.value + 1 END, 6) AS sentiment
+    FROM (SELECT url, headline, value FROM kept WHERE ordinal % 3 <> 0) o FULL JOIN (SELECT url, 'new' AS headline, value FROM kept WHERE ordinal % 2 = 0) n USING (url)""",
+    more="kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS k FROM news WHERE url IS NOT NULL) WHERE k = 1)")
+)
+def k6_score_updates(spark, sf_dir):
+    """K6: scores of stored news updated by url; an unknown url comes whole."""
+    n = keys.keep_first_by_url(views.news(spark, sf_dir)).filter("url is not null")
+    n = n.select("url", "headline", F.col("value").alias("sentiment"), F.abs("value").alias("confidence"), "ordinal")
+    batch = n.filter("ordinal % 2 = 0").withColumns({"headline": F.lit("new"), "sentiment": F.col("sentiment") + 1})
+    found = tables.update_scores(n.filter("ordinal % 3 <> 0").drop("ordinal"), batch)
+    return rounded(found.select("url", "headline", "sentiment"), "sentiment")
+
+
 # validators, filters and scalar functions
 
 
@@ -428,7 +506,8 @@ def b5_news_violations(spark, sf_dir):
     sql.with_views("""
     SELECT 'scored_news' AS t, count_if(sentiment_score NOT BETWEEN -1 AND 1 OR model_name = '') AS bad, count(*) AS n FROM scored_news
     UNION ALL SELECT 'candles', count_if("close" <= 0 OR volume < 0), count(*) FROM candles
-    UNION ALL SELECT 'fundamentals', 0, count(*) FROM fundamentals UNION ALL SELECT 'daily_sentiment', 0, count(*) FROM daily""")
+    UNION ALL SELECT 'fundamentals', count_if(fiscal_date_end > DATE '1997-06-01' AND report_type = 'annual'), count(*) FROM fundamentals
+    UNION ALL SELECT 'daily_sentiment', count_if(n_articles < 4 OR sentiment_std > 0.2), count(*) FROM daily""")
 )
 def b5_split_valid(spark, sf_dir):
     """Valid and quarantined rows of four tables."""
@@ -436,8 +515,8 @@ def b5_split_valid(spark, sf_dir):
     found = {
         "scored_news": scored,
         "candles": views.candles(spark, sf_dir),
-        "fundamentals": views.fundamentals(spark, sf_dir),
-        "daily_sentiment": sentiment.daily_sentiment(scored.filter("sentiment_score between -1 and 1")),
+        "fundamentals": views.fundamentals(spark, sf_dir).withColumn("report_type", F.when((F.col("fiscal_date_end") > "1997-06-01") & (F.col("report_type") == "annual"), "draft").otherwise(F.col("report_type"))),
+        "daily_sentiment": sentiment.daily_sentiment(scored.filter("sentiment_score between -1 and 1")).withColumns({"n_articles": F.col("n_articles") - 3, "sentiment_std": F.when(F.col("sentiment_std") > 0.2, -F.col("sentiment_std")).otherwise(F.col("sentiment_std"))}),
     }
     marked = [validate.violations(df, t).select(F.lit(t).alias("t"), (F.size("violations") > 0).alias("bad")) for t, df in found.items()]
     return keys.union_all(*marked).groupBy("t").agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"))
@@ -555,12 +634,19 @@ def h17_parsed_times(spark, sf_dir):
 
 
 @register("""
-    SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<article>(.*?)</h1>', 1)), '') IS NOT NULL AS has_title,
-      trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages""")
+    SELECT page_id, regexp_extract(html, '(?s)<li>.*?href="([^"]*)"', 1) AS link, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,
+      trim(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)) AS description, TIMESTAMP '2024-03-01' - to_days(CAST(page_id % 9 AS INT)) AS published_at FROM pages""")
 def h18_page_records(spark, sf_dir):
-    """Fields between marks."""
-    found = files.page_record(views.table(spark, sf_dir, "pages"), "html", {"title": ("<head>", 1, "<title>", "</title>"), "h": ("<article>", 1, "<h1>", "</h1>")})
-    return found.select("page_id", F.col("h").isNotNull().alias("has_title"), "title")
+    """Link, title, description and date of each page, all between marks."""
+    said = F.concat(F.lit("<i>"), (F.col("page_id") % 9).cast("string"), F.lit(" days ago</i>"), "html")
+    rules = {
+        "link": ("<li>", 1, 'href="', '"'), "title": ("<head>", 1, "<title>", "</title>"),
+        "description": ("<article>", 1, "<h1>", "</h1>"), "said": ("<i>", 1, "", "</i>"),
+    }
+    found = files.page_record(views.table(spark, sf_dir, "pages").withColumn("item", said), "item", rules)
+    now = F.lit(datetime(2024, 3, 1))
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("link", "title", "description")}
+    return found.withColumns(filled).select("page_id", *filled, times.relative_time(F.col("said"), now).alias("published_at"))
 
 
 @register("""
@@ -584,11 +670,31 @@ def w14_line_blocks(spark, sf_dir):
 
 @register(sql.with_views("SELECT asset_id, ts, round(volatility_20d, 6) AS volatility_20d, round(ln(lead(\"close\") OVER (PARTITION BY asset_id ORDER BY ts) / \"close\"), 6) AS target_return FROM seeds", True))
 def w3_volatility(spark, sf_dir):
-    """W1 W2 W3 W12."""
+    """W1 W2 W3."""
     c = series.rolling_std(series.percent_change(views.candles(spark, sf_dir)), "change", "volatility_20d")
     return rounded(series.next_log_return(c).select("asset_id", "ts", "volatility_20d", "target_return"), "volatility_20d", "target_return")
 
 
+@register("SELECT 'A' || (CAST(left(o_orderpriority, 1) AS INT) - 1) AS asset_id, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, count(*) AS count FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def w12_duplicate_times(spark, sf_dir):
+    """Days that an asset's raw orders have several times."""
+    asset = F.concat(F.lit("A"), (F.left("o_orderpriority", F.lit(1)).cast("int") - 1).cast("string")).alias("asset_id")
+    return series.duplicate_times(views.table(spark, sf_dir, "orders").select(asset, F.date_trunc("DAY", F.col("o_orderdate").cast("timestamp")).alias("ts")))
+
+
+@register(sql.with_views("""
+    SELECT 'read' AS name, count(*) AS n FROM news UNION ALL SELECT 'without_url', count_if(url IS NULL) FROM news
+    UNION ALL SELECT 'saved', count(*) FROM news WHERE ordinal % 3 <> 1 UNION ALL SELECT 'with_text', count_if(trim(headline) <> '' OR trim(summary) <> '') FROM news WHERE ordinal % 3 <> 1"""))
+def d21_scoring_counters(spark, sf_dir):
+    """Rows read, skipped and saved by one scoring run, counted while it runs."""
+    n = views.news(spark, sf_dir).withColumn("article_id", F.concat(F.lit("n"), F.col("ordinal").cast("string")))
+    done = views.scored_news(spark, sf_dir).filter(F.substring("article_id", 2, 20).cast("long") % 3 == 1)
+    n, read = counters.counted(n, "read", without_url=F.col("url").isNull())
+    todo, fresh = counters.counted(sentiment.unscored(n, done), "saved", with_text=F.trim("text") != "")
+    todo.write.parquet(scratch(spark, "unscored"))
+    return spark.createDataFrame([(k, int(v)) for seen in (read, fresh) for k, v in seen.get.items()], "name string, n long")
+
+
 @register(sql.with_views("SELECT ordinal, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ordinal) AS k FROM news) WHERE url IS NULL OR k = 1"))
 def w10_first_by_url(spark, sf_dir):
     """W10."""
@@ -609,7 +715,7 @@ def p2_split(spark, sf_dir):
     return datasets.split(views.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.8, 7)
 
 
-@register()
+@register("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'ERRO' WHEN length(text) > 1000 THEN 'long' ELSE 'short' END AS label FROM documents")
 def p3_classified_texts(spark, sf_dir):
     """A Python classifier with row errors as labels."""
     classify = lambda: lambda t: "long" if len(t) > 1000 else "short" if t else 1 / 0

@@ -96,7 +96,7 @@ def with_views(body: str, indicators: bool = False, more: str = "") -> str:
     return f"WITH RECURSIVE {', '.join(p.strip() for p in parts)}\n{body}"
 
 
-def long_report(view: str, by: str, date: str, keys: list[str], numeric: list[str], data: list[str], rules: dict[str, str], business: bool, n_columns: int, absent: list[str]) -> str:
+def long_report(view: str, by: str, date: str, keys: list[str], numeric: list[str], data: list[str], rules: dict[str, str], business: bool, columns: list[str], dtypes: tuple[str, ...] = ()) -> str:
     """A quality report as (by, section, name, value); rules: violation by metric name."""
     null = lambda c: f"({c} IS NULL OR isnan(CAST({c} AS DOUBLE)))" if c in numeric else f"({c} IS NULL)"
     any_of = lambda xs: "(" + " OR ".join([*xs, "false"]) + ")"
@@ -113,6 +113,7 @@ def long_report(view: str, by: str, date: str, keys: list[str], numeric: list[st
         x = f"CAST({c} AS DOUBLE)"
         metrics += [(f"summary:{c}", n, f"{f}({x})") for n, f in (("count", "count"), ("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))]
         metrics += [(f"summary:{c}", f"{q}%", f"quantile_cont({x}, {q / 100})") for q in (25, 50, 75)]
+    n_columns = len(columns) + 1
     rows = " UNION ALL ".join(f"SELECT {by} AS asset_id, '{s}' AS section, '{n}' AS name, CAST({e} AS DOUBLE) AS value FROM {view} GROUP BY 1" for s, n, e in metrics)
     key = ", ".join(k for k in keys if k != by)
     weekdays = "(isodow(d) < 6)" if business else "true"
@@ -131,4 +132,4 @@ def long_report(view: str, by: str, date: str, keys: list[str], numeric: list[st
       FROM (SELECT {by} AS asset_id, min({date}::DATE) lo, max({date}::DATE) hi FROM {view} GROUP BY 1) b, LATERAL (SELECT unnest(generate_series(b.lo, b.hi, INTERVAL 1 DAY)) AS d) x)
       WHERE {weekdays} GROUP BY 1
     UNION ALL SELECT NULL, 'schema', 'columns', {float(n_columns)}
-    """ + "".join(f" UNION ALL SELECT NULL, 'missing_columns', '{c}', 1.0" for c in absent)
+    """ + "".join(f" UNION ALL SELECT NULL, 'column', '{c}', {float(i)}" for i, c in enumerate([by, *columns])) + "".join(f" UNION ALL SELECT NULL, 'dtype', '{c}', 0.0" for c in dtypes)

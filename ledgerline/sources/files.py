@@ -29,9 +29,21 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_report(df: DataFrame, path: str, run: Column) -> None:
-    """Append a report, its rows marked with the run's time."""
-    df.withColumn("run_ts", run).write.mode("append").partitionBy("run_ts").json(path)
+def write_report(df: DataFrame, path: str, prefix: str, run: Column) -> None:
+    """Append a report under its prefix, its rows marked with the run's time: a version of its own each run."""
+    marked = df.withColumn("prefix", F.lit(prefix)).withColumn("run_ts", run)
+    marked.write.mode("append").partitionBy("prefix", "run_ts").json(path)
+
+
+def report_exists(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Whether some run has written a report under this prefix."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/prefix={prefix}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All reports written to a path, with prefix and run_ts."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("prefix", T.StringType()), T.StructField("run_ts", T.StringType())])).json(path)
 
 
 def provenance(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +115,7 @@ def _statement(payloads: DataFrame, kind: str, array: str, report_type: str, fie
         for name, f in fields.items()
     ]
     out = rows.select("asset_id", F.lit(report_type).alias("report_type"), times.parse_day(F.col("i.fiscalDateEnding")).alias("fiscal_date_end"), *values, "ordinal")
-    out = out.filter("fiscal_date_end is not null")
-    return out.filter("reported_date is not null or ordinal >= 0") if "reported_date" in fields else out
+    return out.filter("fiscal_date_end is not null")
 
 
 def fundamentals(payloads: DataFrame) -> DataFrame:

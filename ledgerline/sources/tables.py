@@ -14,6 +14,10 @@ from ..functions import texts
 from ..operators import keys, validate
 
 
+#: Tasks, and files at most, that one asset's rows are written by.
+FILES_AN_ASSET = 8
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType, assets: list[str] | None = None) -> DataFrame:
     """Declared columns of a table; missing ones are an error.  Assets prune partitions."""
     df = spark.read.parquet(path)
@@ -58,8 +62,7 @@ def daily_sentiment(spark: SparkSession, path: str, assets=None, start: datetime
 def fundamentals(spark: SparkSession, path: str, assets=None, start=None, end=None, report_type: str | None = None) -> DataFrame:
     day = lambda b: b.date() if isinstance(b, datetime) else b
     df = between(scan(spark, path, schemas.FUNDAMENTALS, assets), "fiscal_date_end", day(start), day(end))
-    df = df.filter(F.col("report_type") == report_type) if report_type else df
-    return df.orderBy("asset_id", "report_type", "fiscal_date_end")
+    return df.filter(F.col("report_type") == report_type) if report_type else df
 
 
 def indicator_maps(spark: SparkSession, path: str, assets=None) -> DataFrame:
@@ -69,20 +72,28 @@ def indicator_maps(spark: SparkSession, path: str, assets=None) -> DataFrame:
     return keys.wide_to_map(df, [c for c in df.columns if c not in ("asset_id", "ts")], "indicators")
 
 
+def write_training(df: DataFrame, path: str) -> None:
+    """Replace the training rows of the assets in df: base columns required and cast, further ones kept."""
+    write(df, path, schemas.TRAINING_BASE, ("ts",), extras=True)
+
+
 def training(spark: SparkSession, path: str, assets=None) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = validate.require_columns(spark.read.parquet(path), schemas.TRAINING_BASE.fieldNames())
     return df.filter(F.col("asset_id").isin(assets)) if assets else df
 
 
 def write(df: DataFrame, path: str, schema: T.StructType | None = None, order: tuple[str, ...] = (), mode: str = "overwrite", extras: bool = False) -> None:
     """Replace the partitions of the assets in df (mode overwrite), or fail if the table exists (error).
 
-    Empty input is an error.  Rows are sorted within files.
+    Empty input is an error.  An asset's rows are dealt to FILES_AN_ASSET tasks, by years where the order is in time, so that no
+    task holds all of an asset with very many rows, and sorted within files.
     """
     df = validate.conform(df, schema, extras) if schema else df
     if df.isEmpty():
         raise ValueError("nothing to write")
-    out = df.repartition("asset_id").sortWithinPartitions("asset_id", *order).write.partitionBy("asset_id").mode(mode)
+    in_time = bool(order) and dict(df.dtypes)[order[0]] in ("timestamp", "date")
+    deal = F.pmod(F.year(order[0]) if in_time else F.xxhash64(*df.columns), F.lit(FILES_AN_ASSET))
+    out = df.repartition("asset_id", deal).sortWithinPartitions("asset_id", *order).write.partitionBy("asset_id").mode(mode)
     if mode == "overwrite":
         out = out.option("partitionOverwriteMode", "dynamic")
     out.parquet(path)
@@ -96,12 +107,9 @@ def merge(spark: SparkSession, path: str, batch: DataFrame, schema: T.StructType
     assets = [r[0] for r in batch.select("asset_id").distinct().collect()]
     if not assets:
         return batch.drop("ordinal")
-    try:
-        stored = scan(spark, path, schema, assets)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = spark.createDataFrame([], schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    stored = scan(spark, path, schema, assets) if exists else spark.createDataFrame([], schema)
     merged = validate.conform(keys.upsert(stored, batch, key), schema)
     at = f"{staging}/{uuid.uuid4().hex}"
     merged.write.parquet(at)

@@ -55,12 +55,49 @@ def test_assembly(spark, bars, daily, reports):
     assert [r.revenue for r in cut] == [None, None]
     none = pipelines.training_table(bars, wide, daily.limit(0), reports.limit(0), date(2024, 1, 1), date(2024, 1, 2)).collect()
     assert len(none) == 1 and none[0].sentiment_score is None and none[0].revenue is None
-    with pytest.raises(ValueError, match="Not enough rows"):
+    with pytest.raises(ValueError, match="no asset has two bars"):
         pipelines.checked_training_table(bars, wide, daily, reports, date(2024, 1, 1), date(2024, 1, 1))
     with pytest.raises(ValueError, match="several bars"):
         pipelines.checked_training_table(bars.union(bars), wide, daily, reports, date(2024, 1, 1), date(2024, 1, 3))
 
 
+def test_recurrences_of_length_one_with_nulls_and_over_blocks(spark):
+    rows = [("A", at(1) + timedelta(days=i), float(i % 7)) for i in range(900)] + [("B", at(1) + timedelta(days=i), None if i == 4 else 1.0 * i) for i in range(6)]
+    specs = [series.Ema.of("one", "x", 1), series.Ema.of("three", "x", 3), series.Ema.of("many", "x", 400)]
+    got = series.ema_family(spark.createDataFrame(rows, "asset_id string, ts timestamp, x double"), specs).orderBy("asset_id", "ts").collect()
+    a, b = got[:900], got[900:]
+    assert [r.one for r in a] == [r.x for r in a] and [r.one for r in b] == [0, 1, 2, 3, None, None]
+    for name, n in (("three", 3), ("many", 400)):
+        v, want = None, []
+        for i, r in enumerate(a):
+            v = sum(q.x for q in a[: i + 1]) / n if i == n - 1 else v + 2 / (n + 1) * (r.x - v) if i >= n else None
+            want.append(v)
+        assert [r[name] for r in a] == pytest.approx(want)
+    assert [r.three for r in b] == [None, None, 1.0, 2.0, None, None] and {r.many for r in b} == {None}
+
+
+def test_audit_of_absent_tables_and_dtypes(spark, bars, tmp_path):
+    rows = quality.audit({"candles": bars, "news_raw": None}).collect()
+    found = {(r.table, r.section, r.name): r.value for r in rows}
+    assert found["news_raw", "table", "missing"] == 1 and found["candles", "size", "rows"] == bars.count()
+    assert found["candles", "dtype", "close double"] == float(dict(bars.dtypes)["close"] != "double") and found["candles", "column", "asset_id"] == 0
+    assert [tuple(r) for r in quality.audit({"candles": None}).select("table", "name").collect()] == [("candles", "missing")]
+    with pytest.raises(ValueError, match="no tables"):
+        quality.audit({})
+    assert not files.report_exists(spark, str(tmp_path / "reports"), "candles")
+
+
+def test_training_sink(spark, bars, daily, reports, tmp_path):
+    path = str(tmp_path / "training")
+    out = pipelines.training_table(bars, spark.createDataFrame([], "asset_id string, ts timestamp, rsi_14 double"), daily, reports, date(2024, 1, 1), date(2024, 1, 3))
+    tables.write_training(out, path)
+    assert tables.training(spark, path, ["A"]).count() == out.count() and "rsi_14" in tables.training(spark, path).columns
+    with pytest.raises(ValueError, match="missing columns: target_return"):
+        tables.write_training(out.drop("target_return"), path)
+    with pytest.raises(ValueError, match="nothing to write"):
+        tables.write_training(out.limit(0), path)
+
+
 def test_asof_ties_and_nulls(spark):
     left = spark.createDataFrame([("A", date(2024, 1, d)) for d in (1, 5, 9)] + [("B", date(2024, 1, 5))], "asset_id string, d date")
     right = spark.createDataFrame(
@@ -294,5 +331,5 @@ def test_datasets(spark, tmp_path):
     labelled = sentiment.classify_text(spark.createDataFrame([("ab",), ("",)], "text string"), lambda: lambda x: x[0])
     assert sorted(r.label for r in labelled.collect()) == ["ERRO", "a"]
     quality_rows = quality.report(t, quality.Profile("d", ["h"]), ())
-    files.write_report(quality_rows, str(tmp_path / "r"), F.lit("2024"))
+    files.write_report(quality_rows, str(tmp_path / "r"), "candles", F.lit("2024"))
     assert spark.read.json(str(tmp_path / "r")).count() == quality_rows.count()
