@@ -41,7 +41,10 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerline"
+    """A new folder where driver and executors both see it: a local temporary one for a local master only."""
+    local = spark.sparkContext.master.startswith("local")
+    own = "/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{own}/ledgerline"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
