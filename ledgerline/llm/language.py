@@ -47,11 +47,15 @@ def _text_windows(texts: list[str | None]) -> np.ndarray:
 
 
 class _Lookup:
-    """Row numbers of keys by hashing into a few tables, each without collisions of its own."""
+    """Row numbers of rising keys by hashing into a few tables, each without collisions of its own.
+
+    The tables grow with the keys; keys for which no table has a place are searched for in order.
+    """
 
     def __init__(self, keys: np.ndarray, bits: int = 20):
         self.tables, left = [], np.arange(len(keys))
-        self.keys, self.bits = keys.astype(np.uint32), bits
+        self.keys, self.bits = keys.astype(np.uint32), min(28, max(bits, (2 * len(keys)).bit_length()))
+        bits = self.bits
         for salt in (2654435761, 2246822519, 3266489917, 668265263, 374761393, 2654435789, 1597334677, 3812015801):
             if not len(left):
                 break
@@ -61,8 +65,7 @@ class _Lookup:
             row[slot[first]] = left[first]
             self.tables.append((salt, row))
             left = np.delete(left, first)
-        if len(left):
-            raise ValueError("too many keys for the lookup tables")
+        self.rest = np.sort(left)
 
     def _slot(self, keys: np.ndarray, salt: int) -> np.ndarray:
         return (keys * np.uint32(salt)) >> np.uint32(32 - self.bits)
@@ -82,6 +85,12 @@ class _Lookup:
             left = left[~good & (at >= 0)]
             if not len(left):
                 break
+        if len(self.rest):
+            left = np.arange(len(keys))[left]
+            some = self.keys[self.rest]
+            at = np.minimum(np.searchsorted(some, keys[left]), len(some) - 1)
+            good = some[at] == keys[left]
+            out[left[good]] = self.rest[at[good]]
         return out
 
 

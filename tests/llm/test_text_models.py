@@ -192,6 +192,19 @@ def test_code_lengths_equal_a_plain_context_tree(spark):
         language.CHUNK = old
 
 
+def test_lookup_of_any_number_of_keys():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 32, 50_000, dtype=np.uint64)).astype(np.uint32)
+    asked = np.concatenate([keys, rng.integers(0, 1 << 32, 50_000, dtype=np.uint64).astype(np.uint32)])
+    at = np.searchsorted(keys, asked)
+    want = np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, -1)
+    found = language._Lookup(keys)
+    assert (found(asked) == want).all()
+    small = language._Lookup(keys)
+    small.tables, small.rest = small.tables[:0], np.arange(len(keys))  # no table has a place
+    assert (small(asked) == np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, -1)).all()
+
+
 def test_language_of_odd_texts(spark, odd_docs):
     model = language.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "die Katze", "de")], "doc_id long, text string, lang string"))
     rows = {r.doc_id: r for r in language.predict(odd_docs, model).collect() if r.doc_id not in (5, None)}
