@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and naive Bayes on segmented names.
 
 Host names are cut into words by Viterbi search under a unigram model of the pages' title words.
-Pages whose words hold a listed topic word teach multinomial naive Bayes the blocked class, all
-others the allowed one; it judges the urls that no rule fits by all their host and path words.
+Pages that a rule blocks, or whose words hold a listed topic word, teach multinomial naive Bayes the
+blocked class, all others the allowed one, but for pages with a topic word that a rule allows, which
+teach nothing; it judges the urls that no rule fits by all their host and path words.
 All words count: the most frequent ones are looked up in the tasks, the rest, if any, by joins.
 """
 
@@ -32,6 +33,8 @@ TOPICS = (
 ).split()
 #: Title words, and url words of naive Bayes, that each task holds, the most frequent ones; the others are joined.
 MAX_WORDS, MAX_FEATURES = 50_000, 50_000
+#: Added to each word's count in each class.
+SMOOTH = 0.1
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -118,12 +121,13 @@ def _host_words(hosts: DataFrame, words: DataFrame, lengths: list[int]) -> DataF
     return held.groupBy("host").agg(F.collect_list(F.struct("w", "count")).alias("others"))
 
 
-def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_words: int = MAX_WORDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_words: int = MAX_WORDS, teach: Column | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages(page_id, url, html).
 
     score is the probability of the blocked class by naive Bayes, which decides where no rule fits
     (block from 0.5).  Urls that are null or lack :// have empty host and path and no words: their score is the
     prior's.  Rows with equal or null page_id are judged one by one; an empty table gives no rows.
+    Only pages that meet `teach` (a condition on host and path; all by default) teach; all are judged.
     All words count; tasks hold the `max_words` and `max_features` most frequent ones, and further ones are
     joined, which changes no result.
     """
@@ -157,11 +161,14 @@ def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_w
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = list(words_of(batch))
-            blocked = [int(not topics.isdisjoint(w)) for w in words]
+            seen = [(w, not topics.isdisjoint(w), v) for w, v in zip(words_of(batch), batch.column("verdict").to_pylist(), strict=True)]
+            words = [w for w, topic, v in seen if not (topic and v == "allow")]
+            blocked = [int(topic or v == "block") for _, topic, v in seen if not (topic and v == "allow")]
             yield pa.record_batch([pa.array(words, pa.list_(pa.string())), pa.array(blocked, pa.int64())], names=["words", "blocked"])
 
-    taught = urls.select("host", "path", "others").mapInArrow(features, "words array<string>, blocked long")
+    taught = urls if teach is None else urls.filter(teach)
+    taught = taught.select("host", "path", "others", rule_of("host", "path", rules)[1].alias("verdict"))
+    taught = taught.mapInArrow(features, "words array<string>, blocked long")
     # one pass: a row's class counts ride on an empty word
     words = taught.select("blocked", F.explode(F.array_append("words", F.lit(""))).alias("w"))
     counts = words.groupBy("w").agg(F.sum("blocked").alias("b"), F.sum(1 - F.col("blocked")).alias("a"))
@@ -177,8 +184,8 @@ def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_w
         of.pop("", None)
         allowed, blocked = counts.filter("w = ''").select("a", "b").first()
         n, *sums = counts.filter("w <> ''").agg(F.count("*"), F.sum("a"), F.sum("b")).first()
-    in_allowed, in_blocked = (max(1, x + n) for x in sums)
-    weight = {w: math.log((b + 1) / in_blocked) - math.log((a + 1) / in_allowed) for w, (a, b) in of.items()}
+    in_allowed, in_blocked = (max(1, x + SMOOTH * n) for x in sums)
+    weight = {w: math.log((b + SMOOTH) / in_blocked) - math.log((a + SMOOTH) / in_allowed) for w, (a, b) in of.items()}
     prior = math.log((blocked + 1) / (allowed + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +201,7 @@ def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_w
     if not whole:
         scored = save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         # the words held by the tasks are the most frequent ones, so none of these is in many rows
-        of_word = F.log((F.col("b") + 1) / in_blocked) - F.log((F.col("a") + 1) / in_allowed)
+        of_word = F.log((F.col("b") + SMOOTH) / in_blocked) - F.log((F.col("a") + SMOOTH) / in_allowed)
         more = scored.select("row", F.explode("others").alias("w")).join(counts.select("w", of_word.alias("more")), "w")
         more = more.groupBy("row").agg(F.sum("more").alias("more"))
         scored = scored.join(more, "row", "left").withColumn("z", F.col("z") + F.coalesce("more", F.lit(0.0)))
