@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerline").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse.
+
+    Only a local master has one machine for all, and there it is a temporary folder.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    own = "/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{own}/ledgerline").rstrip("/")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +62,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
 
 
+#: A key is hot if it holds more than one in so many of all rows; there are fewer hot keys than this.
+HOT_PARTS = 512
+#: Parts that a hot key's rows are dealt to.
+SALTS = 64
+
+
+def hot_keys(sizes: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
+    """The keys of sizes(keys..., count) that hold over 1 / HOT_PARTS of all rows: fewer than HOT_PARTS of them."""
+    total = sizes.agg(F.sum(count)).first()[0] or 0
+    return sizes.filter(F.col(count) * HOT_PARTS > total).select(*keys)
+
+
+def spread_join(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Inner join by keys in which a hot key's rows are dealt to `salts` parts, each with a copy of the others' rows."""
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))  # fewer than HOT_PARTS rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    all_salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = others.join(hot, keys, "left").withColumn("__salt", F.explode(all_salts)).drop("__hot")
+    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
+    """rows with the row of their group; no group, however large, lands in one task.
+
+    groups(keys..., count, ...) is read three times, so it should be a saved table.
+    """
+    return spread_join(rows, groups.drop(count), keys, hot_keys(groups, keys, count))
+
+
 def repeats(table: DataFrame, key: str) -> bool:
     """Whether some key stands in several rows."""
     return bool(table.groupBy(key).count().filter("count > 1").limit(1).count())

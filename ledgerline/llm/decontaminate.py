@@ -16,12 +16,18 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 #: 1: the token counts, 0: it is ignored.  For windows where they have a hit for every placement of substitutions.
 MASKS = ("1110111", "11011011", "1011001101", "10010000111")
 #: Placements up to which that is tried out.
 MAX_PLACEMENTS = 20_000
 #: Seeds of the benchmark up to which they are broadcast; each is a hash, an id and a position.
 MAX_BROADCAST_SEEDS = 300_000
+#: Alignments up to which they are broadcast to the texts; each is two hashes and a number.
+MAX_BROADCAST_HITS = 500_000
+#: Copies of each benchmark seed where both sides are shuffled.
+SALTS = 16
 
 
 def tokens(text: str) -> Column:
@@ -48,17 +54,22 @@ def masks_of(length: int, share: float) -> tuple[str, ...]:
     return tuple(sorted({"".join("1" if p in kept else "0" for p in part).strip("0") for kept in left}))
 
 
-def _key(words: str, pos: Column, mask: str) -> Column:
-    picked = [F.get(F.col(words), pos + i) for i, bit in enumerate(mask) if bit == "1"]
-    inside = pos + len(mask) <= F.size(words)
-    return F.when(inside, F.xxhash64(F.lit(mask), *picked))
+def _hashed(words: Column) -> Column:
+    """Each token as a 64-bit hash, which masks are hashed from; alignments are compared by the tokens themselves."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _key(pos: Column, mask: str, number: int) -> Column:
+    picked = [F.get(F.col("h"), pos + i) for i, bit in enumerate(mask) if bit == "1"]
+    inside = pos + len(mask) <= F.size("h")
+    return F.when(inside, F.xxhash64(F.lit(number), *picked))
 
 
-def _seeds(table: DataFrame, masks: list[str], *keep: str) -> DataFrame:
-    """One row a position and mask of table(words): keep..., pos, key."""
-    at = table.select(*keep, "words", F.posexplode("words").alias("pos", "__w"))
-    keys = F.array(*(_key("words", F.col("pos"), m) for m in masks))
-    return at.select(*keep, *(["words"] if "words" not in keep else []), "pos", F.explode(keys).alias("key")).filter("key is not null")
+def _seeds(table: DataFrame, masks: dict[str, int], *keep: str) -> DataFrame:
+    """One row a position and mask of table(h): keep..., pos, key.  Masks have numbers of their own."""
+    at = table.select(*keep, "h", F.posexplode("h").alias("pos", "__h"))
+    keys = F.array(*(_key(F.col("pos"), m, i) for m, i in masks.items()))
+    return at.select(*keep, "pos", F.explode(keys).alias("key")).filter("key is not null")
 
 
 def _best(window: int) -> Column:
@@ -91,29 +102,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 20, share: flo
     tokens, null texts and empty tables match nothing.  Rows with equal doc_id (or
     item_id) count as one document (item) found by its best window; null ids pass like others.
     Seeds are broadcast only while the benchmark's measured count is at most MAX_BROADCAST_SEEDS;
-    beyond, both sides are shuffled by hash and texts are fetched again for the hits alone.
+    beyond, both sides are shuffled by hash, each benchmark seed in SALTS copies, so that a common
+    phrase is spread.  Each alignment of a document with an item is verified once, however many
+    seeds hit it, on texts fetched again for the hits alone.
     """
     items = benchmark.filter("text is not null").select("item_id", F.filter(tokens("text"), lambda w: w != "").alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("item", F.xxhash64("item_id", "words")).distinct()
+    items = items.withColumn("h", _hashed(F.col("words")))
     size = F.least(F.size("words"), F.lit(window))
     of_size: dict[tuple[str, ...], list[int]] = {}
     for row in items.select(size.alias("n")).distinct().collect():  # `window` numbers at most
         of_size.setdefault(masks_of(row["n"], share), []).append(row["n"])
-    masks = sorted({m for some in of_size for m in some})
-    kinds = [_seeds(items.filter(size.isin(ns)), some, "item") for some, ns in of_size.items()] or [_seeds(items, ["1"], "item")]
-    seeds = reduce(DataFrame.unionByName, kinds).select("item", F.col("pos").alias("item_pos"), "key")
+    masks = {m: i for i, m in enumerate(sorted({m for some in of_size for m in some} or {"1"}))}
+    kinds = [_seeds(items.filter(size.isin(ns)), {m: masks[m] for m in some}, "item") for some, ns in of_size.items()]
+    seeds = reduce(DataFrame.unionByName, kinds or [_seeds(items, masks, "item")])
+    seeds = seeds.select("item", F.col("pos").alias("item_pos"), "key")
     whole = items.select("item", "item_id", F.col("words").alias("item_words"))
-    small = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    small = small * len(masks) <= MAX_BROADCAST_SEEDS
-    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
-    texts = docs.filter("text is not null").select("doc_id", tokens("text").alias("words"))
-    if small:
-        hits = _seeds(texts, masks or ["1"], "doc_id").join(F.broadcast(seeds), "key").select("doc_id", "words", "item", shift)
-        hits = hits.join(F.broadcast(whole), "item")
+    n_seeds = (items.agg(F.sum(F.size("words"))).first()[0] or 0) * len(masks)
+    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("text_key"))
+    own = _seeds(texts.select("text_key", _hashed(tokens("text")).alias("h")), masks, "text_key")
+    if n_seeds <= MAX_BROADCAST_SEEDS:
+        seeds, on = F.broadcast(seeds), ["key"]
+        whole = F.broadcast(whole)
     else:
-        texts = texts.withColumn("text_key", F.xxhash64("doc_id", "words"))
-        hits = _seeds(texts, masks or ["1"], "text_key").drop("words").join(seeds, "key").select("text_key", "item", shift).distinct()
-        hits = hits.join(texts, "text_key").join(whole, "item")
+        own = own.withColumn("salt", F.pmod(F.xxhash64("text_key", "pos"), F.lit(SALTS)).cast("int"))
+        seeds, on = seeds.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["key", "salt"]
+    hits = own.join(seeds, on).select("text_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = save(hits, "hits")
+    if hits.count() <= MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    hits = texts.join(hits, "text_key").join(whole, "item").withColumn("words", tokens("text"))
     found = hits.select("doc_id", "item_id", F.size("item_words").alias("n"), _best(window).alias("best"))
     of = F.least(F.col("n"), F.lit(window))
     found = found.select("doc_id", "item_id", of.alias("of"), "best").filter(F.col("best.matches") >= share * F.col("of"))

@@ -1,22 +1,18 @@
 """DuckDB SQL for the queries that SQL can express, written from the definitions, not the methods."""
 
 OP1 = r"""
-WITH masks AS (
-  SELECT * FROM (VALUES (0, [0,1,2,4,5,6], 7), (1, [0,1,3,4,6,7], 8), (2, [0,2,3,6,7,9], 10)) t(m, picks, span)),
-d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w
       FROM benchmark WHERE text IS NOT NULL),
-dp AS (SELECT doc_id, w, unnest(range(len(w))) pos FROM d),
-bp AS (SELECT item_id, w, unnest(range(len(w))) pos FROM b WHERE len(w) >= 7),
-ds AS (SELECT doc_id, pos, m, array_to_string(list_transform(picks, lambda o: w[pos + o + 1]), ' ') k
-       FROM dp, masks WHERE pos + span <= len(w)),
-bs AS (SELECT item_id, pos, m, array_to_string(list_transform(picks, lambda o: w[pos + o + 1]), ' ') k
-       FROM bp, masks WHERE pos + span <= len(w)),
-hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (m, k)),
+dp AS (SELECT doc_id, unnest(w) x, unnest(range(len(w))) pos FROM d),
+bp AS (SELECT item_id, least(20, len(w)) n_of, unnest(w) x, unnest(range(len(w))) pos FROM b),
+shifts AS (
+  SELECT doc_id, item_id, dp.pos - bp.pos AS shift FROM dp JOIN bp USING (x)
+  GROUP BY ALL HAVING count(*) >= 0.8 * any_value(n_of)),
 agree AS (
   SELECT doc_id, item_id, least(20, len(b.w)) n_of, len(b.w) n,
     list_transform(range(len(b.w)), lambda j: CASE WHEN shift + j >= 0 AND d.w[shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) a
-  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+  FROM shifts JOIN d USING (doc_id) JOIN b USING (item_id)),
 places AS (SELECT *, unnest(range(n - n_of + 1)) place FROM agree),
 best AS (SELECT doc_id, item_id, list_sum(a[place + 1 : place + n_of]) matches, n_of, place FROM places),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matches DESC, place) rn
