@@ -3,8 +3,9 @@
 The corpus is read as sequences of line ids.  Prefix doubling ranks its suffixes by their first
 1, 2, 4, ... lines: rank k+1 of a position orders the pairs of the ranks k at the position and
 2^k lines on, found by a distributed sort of the distinct pairs.  Positions whose rank is unique
-have no repeated run of that length and leave the doubling.  Two ranks that overlap name a run of
-any length, so an LCP interval (the suffixes that share a run) is a group of equal names.
+have no repeated run of that length and leave the doubling.  The suffixes that share a run are an
+interval of the suffix array, all with a common prefix of at least the run's length (an LCP interval);
+the ranks at the run's head and tail, which overlap, tell intervals apart for runs of any length.
 
 A line is deleted if it stands in a run of lines with at least `min_words` words that occurs
 before, by (doc_id, line number).  Every such maximal run is a union of its tightest sub-runs that
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import hot_keys, join_groups, save, spread_join
 
 KEY = ["doc_id", "version"]
 
@@ -36,13 +37,18 @@ def _ranked(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
+def _by_group(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose group has several, with the group's rank."""
+    groups = save(rows.groupBy(*by).count().filter("count > 1"), "groups")
+    return spread_join(rows, _ranked(groups.select(*by), by), by, hot_keys(groups, by))
+
+
 def _doubled(level: DataFrame, k: int) -> DataFrame:
     """Ranks by 2^(k+1) lines from those by 2^k: positions whose longer run is repeated."""
     step = 1 << k
     after = Window.partitionBy(*KEY).orderBy("line").rangeBetween(step, step)
     pairs = level.withColumn("next", F.max("rank").over(after)).filter("next is not null").withColumnRenamed("rank", "first")
-    groups = pairs.groupBy("first", "next").count().filter("count > 1").select("first", "next")
-    return pairs.join(_ranked(groups, ["first", "next"]), ["first", "next"]).select(*KEY, "line", "rank")
+    return _by_group(pairs, ["first", "next"]).select(*KEY, "line", "rank")
 
 
 def _tight_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -83,8 +89,7 @@ def deleted_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     no lines.  Texts are split at newlines; lines are equal if their characters are.
     """
     lines = save(_lines(docs), "lines")
-    groups = lines.groupBy("a", "b").count().filter("count > 1").select("a", "b")
-    repeated = lines.join(_ranked(groups, ["a", "b"]), ["a", "b"]).select(*KEY, "line", "words", "rank").distinct()
+    repeated = _by_group(lines, ["a", "b"]).select(*KEY, "line", "words", "rank").distinct()
     repeated = save(repeated, "repeated")
     runs = save(_tight_runs(repeated, min_words), "runs")
     longest = runs.agg(F.max(F.col("stop") - F.col("start") + 1)).first()[0] or 0
@@ -98,32 +103,37 @@ def deleted_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     runs = runs.withColumn("tail", (F.col("stop") - F.expr("shiftleft(1, level)") + 1))
     head = ranks.select(*KEY, F.col("line").alias("start"), "level", F.col("rank").alias("head_rank"))
     tail = ranks.select(*KEY, F.col("line").alias("tail"), "level", F.col("rank").alias("tail_rank"))
-    named = runs.join(head, [*KEY, "start", "level"]).join(tail, [*KEY, "tail", "level"])
-    name, at = ["length", "head_rank", "tail_rank"], F.struct(*KEY, "start")
-    named = save(named.select(*KEY, "start", "stop", *name), "named")
-    first = named.groupBy(*name).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last")
-    later = named.join(first.drop("last"), name).filter(at > F.col("first")).select(*KEY, F.col("start").alias("line"), "stop")
+    interval, at = ["length", "head_rank", "tail_rank"], F.struct(*KEY, "start")
+    members = runs.join(head, [*KEY, "start", "level"]).join(tail, [*KEY, "tail", "level"])
+    members = save(members.select(*KEY, "start", "stop", *interval), "members")
+    intervals = members.groupBy(*interval).agg(F.min(at).alias("first"), F.count("*").alias("count")).filter("count > 1")
+    later = join_groups(members, save(intervals, "intervals"), interval).filter(at > F.col("first"))
+    later = later.select(*KEY, F.col("start").alias("line"), "stop")
     marks = repeated.select(*KEY, "line", F.lit(None).cast("int").alias("stop")).unionByName(later)
     reach = F.max("stop").over(Window.partitionBy(*KEY).orderBy("line").rangeBetween(Window.unboundedPreceding, 0))
     return marks.withColumn("reach", reach).filter("stop is null and reach >= line").select(*KEY, "line")
 
 
-def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs with later copies of repeated runs cut from `text`, and n_lines and n_deleted in front.
+def dedup(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """docs with later copies of repeated runs cut from `text`, and two counts in front.
 
+    `counts` names the number of lines and of deleted ones; columns of docs with these names give way to them.
     Every row and other column stays; a text that is all later copies becomes empty.
     """
     gone = deleted_lines(docs, min_words).groupBy(*KEY).agg(F.collect_list("line").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "__gone")
     both = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    )
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    split = F.split("text", "\n")
+
+    def cut(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # as the element of an array the split lines are made once a text, not once a line
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(split), cut), F.lit(0)))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
     return both.select(
-        n_lines.alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted"),
-        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        n_lines.alias(counts[0]),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(counts[1]),
+        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts),
     )
