@@ -23,15 +23,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, repeats, save
+from .common import components, hot_keys, join_groups, repeats, save, spread_join
 
 #: Hash buckets of the corpus-wide token counts (2^bits for either of two hashes); more for larger corpora.
 SKETCH_BITS = 21
 BLOCKS = 64
+#: Bytes of text that are hashed at a time (longer texts alone).
+CHUNK = 1 << 18
 #: Ids of copies or of documents with candidates, up to which they are broadcast; beyond, texts are shuffled by id.
 MAX_BROADCAST_IDS = 500_000
 #: Tokens before a token that its row carries; where there are more, a pair may be taken several times before it is made distinct.
 MAX_AHEAD = 64
+#: Parts that one side of a hot token's pairs is dealt to, each with a copy of the other side.
+PAIR_SALTS = 16
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(7)
@@ -48,14 +52,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, runs of bytes other than white space, A-Z lower-cased."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 bytes (runs other than white space, A-Z lower-cased), and its first byte's place."""
     inside = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), start
     # each byte is hashed with its place in the word, then the word's bytes are added up
     first = np.zeros(len(data), np.int64)
     first[start[1:]] = start[1:] - start[:-1]
@@ -64,22 +67,46 @@ def word_hashes(text: str) -> np.ndarray:
     h = mix(_BYTE[data] + place * np.uint64(_MULTIPLIER))
     h[~inside] = 0
     total = np.cumsum(h)
-    return mix(total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0)), 1)
+    return mix(total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0)), 1), start
 
 
-def shingles(text: str | None, size: int = 4) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text; see join()."""
-    words = word_hashes(text) if text else np.zeros(0, np.uint64)
-    if not len(words):
-        return words
-    if len(words) < size:
-        size = len(words)
-    n = len(words) - size + 1
+def _chained(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words."""
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.full(n, size, np.uint64)
         for i in range(size):
             h = mix(h + words[i : i + n], 2)
-    return np.unique(h)
+    return h
+
+
+def raw_shingles(texts: list[str | None], size: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle hashes of whole texts, some texts at a time: all of them, and each text's end among them."""
+    at = 0
+    while at < len(texts):
+        blobs, held = [], 0
+        while at < len(texts) and (not blobs or held < CHUNK):
+            blobs.append((texts[at] or "").encode("utf-8", "replace"))
+            held += len(blobs[-1])
+            at += 1
+        words, start = word_hashes(np.frombuffer(b" ".join(blobs), np.uint8))
+        ends = np.searchsorted(start, np.cumsum([len(b) + 1 for b in blobs]))
+        counts = np.diff(ends, prepend=0)
+        made = _chained(words, size)
+        doc = np.repeat(np.arange(len(blobs)), counts)
+        whole = doc[: len(made)] == doc[len(doc) - len(made) :]
+        made, n = made[whole], np.maximum(counts - size + 1, 0)
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        if len(short):  # texts of fewer words have one shingle, the whole sequence
+            own = [_chained(words[ends[i] - counts[i] : ends[i]], int(counts[i]))[0] for i in short]
+            made = np.insert(made, np.cumsum(n)[short], own)
+            n[short] = 1
+        yield made, np.cumsum(n)
+
+
+def shingle_sets(texts: list[str | None], size: int = 4) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each whole text; see join()."""
+    return [np.unique(some) for made, ends in raw_shingles(texts, size) for some in np.split(made, ends[:-1])]
 
 
 def buckets(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -99,14 +126,23 @@ class Order:
     def __init__(self, counts: np.ndarray, bits: int):
         self.bits, self.counts = bits, counts
 
-    def prefix(self, tokens: np.ndarray, length: int, which: int) -> np.ndarray:
-        """The first `length` tokens in the order `which`, in that order."""
+    def rank(self, tokens: np.ndarray, which: int) -> np.ndarray:
+        """The place of each token in the order `which`; of equal ones the smaller token is first."""
         count = np.minimum(self.counts[buckets(tokens, self.bits)[which % 2]], (1 << 23) - 1).astype(np.uint64)
         if which == 2:
             count = np.log2(np.maximum(count, 1)).astype(np.uint64)
-        rank = mix(tokens, 10 + which) >> np.uint64(23) | count << np.uint64(41)
-        first = np.argpartition(rank, length - 1)[:length] if length < len(tokens) else np.arange(len(tokens))
-        return tokens[first[np.lexsort((tokens[first], rank[first]))]]
+        return mix(tokens, 10 + which) >> np.uint64(23) | count << np.uint64(41)
+
+    def prefixes(self, sets: list[np.ndarray], percent: int, which: int) -> list[np.ndarray]:
+        """The tokens of each set's prefix, in the order `which`."""
+        rank = self.rank(np.concatenate([*sets, np.zeros(0, np.uint64)]), which)
+        out, at = [], 0
+        for tokens in sets:
+            own, at = rank[at : at + len(tokens)], at + len(tokens)
+            length = prefix_length(len(tokens), percent) if len(tokens) else 0
+            first = np.argpartition(own, length - 1)[:length] if length < len(tokens) else np.arange(len(tokens))
+            out.append(tokens[first[np.lexsort((tokens[first], own[first]))]])
+        return out
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -114,29 +150,22 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """How often each hash bucket's tokens occur over all documents: one array of 2^(bits + 1) counts."""
+    """How often each hash bucket's shingles occur in all documents: one array of 2^(bits + 1) counts."""
     whole = 2 << bits
     width = whole // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(whole, np.int32)
-        held, waiting = [], 0
-
-        def put() -> None:
-            nonlocal counts, waiting
-            at = buckets(np.concatenate(held), bits).ravel()
-            counts = (counts + np.bincount(at, minlength=whole)).astype(np.int32)
-            held.clear()
-            waiting = 0
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, size))
-                waiting += len(held[-1])
+            held, waiting = [], 0
+            for made, _ in raw_shingles(batch.column(0).to_pylist(), size):
+                held.append(made)
+                waiting += len(made)
                 if waiting > 1 << 20:
-                    put()
-        if waiting:
-            put()
+                    counts += np.bincount(buckets(np.concatenate(held), bits).ravel(), minlength=whole).astype(np.int32)
+                    held, waiting = [], 0
+            if held:
+                counts += np.bincount(buckets(np.concatenate(held), bits).ravel(), minlength=whole).astype(np.int32)
         blocks = [counts[i * width : (i + 1) * width] for i in range(BLOCKS)]
         some = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
         yield pa.record_batch([pa.array([i for i, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["block", "counts"])
@@ -164,27 +193,15 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, text: DataFrame, level: Broadcast, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets agree."""
-
-    def described(pairs: DataFrame, kind: str) -> DataFrame:
-        """Of each document in pairs the prefix under order 1, or the whole set, once on either side."""
-
-        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shingles(t, size) for t in batch.column(1).to_pylist()]
-                if kind == "binary":
-                    values = pa.array([s.tobytes() for s in found], pa.binary())
-                else:
-                    order = level.value
-                    heads = [order.prefix(s, prefix_length(len(s), percent), 1).view(np.int64) for s in found]
-                    values = pa.array(heads, pa.list_(pa.int64()))
-                yield pa.record_batch([batch.column(0), values], names=["doc_id", "s"])
-
-        ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        some = text.join(_few(ids), "doc_id", "left_semi").mapInArrow(describe, f"doc_id long, s {kind}")
-        some = save(some, "described")
-        x, y = some.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), some.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    """The pairs (a, b) of doc_ids whose sets agree: those that meet under order 1, then under order 2, then by their whole sets."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each document the prefix under order 1, and the whole set."""
+        order = level.value
+        for batch in batches:
+            found = shingle_sets(batch.column(1).to_pylist(), size)
+            heads = pa.array([h.view(np.int64) for h in order.prefixes(found, percent, 1)], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), heads, pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "head", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = level.value
@@ -192,13 +209,22 @@ def _verified(pairs: DataFrame, text: DataFrame, level: Broadcast, size: int, pe
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                heads = [order.prefix(s, prefix_length(len(s), percent), 2) for s in (x, y)]
+                heads = order.prefixes([x, y], percent, 2)
                 both = len(np.intersect1d(x, y, True)) if len(np.intersect1d(*heads, True)) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = save(described(pairs, "array<long>").filter(F.arrays_overlap("x", "y")).select("a", "b"), "met")
-    return save(described(met, "binary").mapInArrow(check, "a long, b long"), "links")
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs with this column of either side."""
+        x = sets.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = text.join(_few(ids), "doc_id", "left_semi").mapInArrow(describe, "doc_id long, head array<long>, s binary")
+    sets = save(sets, "described")
+    met = save(both(pairs, "head").filter(F.arrays_overlap("x", "y")).select("a", "b"), "met")
+    return save(both(met, "s").mapInArrow(check, "a long, b long"), "links")
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -221,25 +247,29 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
         """Of each document the set's size, its hash, and its prefix under the first order."""
         order = level.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, size)
-                h = [int(x) for x in np.array([mix(s, 20).sum(dtype=np.uint64), mix(s, 21).sum(dtype=np.uint64)]).view(np.int64)]
-                head = order.prefix(s, prefix_length(len(s), percent), 0).view(np.int64) if len(s) else []
-                rows.append((doc_id, len(s), *h, head))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n", "h", "g", "head"])
+            sets = shingle_sets(batch.column(1).to_pylist(), size)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            tokens = np.concatenate([*sets, np.zeros(1, np.uint64)])
+            starts = np.minimum(np.cumsum(sizes) - sizes, len(tokens) - 1)
+            sums = []
+            for salt in (20, 21):
+                mixed = mix(tokens, salt)
+                mixed[-1] = 0  # the one behind the last set
+                sums.append(np.where(sizes > 0, np.add.reduceat(mixed, starts), 0).view(np.int64) if len(sets) else [])
+            heads = pa.array([h.view(np.int64) for h in order.prefixes(sets, percent, 0)], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), pa.array(sizes), *(pa.array(x, pa.int64()) for x in sums), heads], names=["doc_id", "n", "h", "g", "head"])
 
     found = save(docs.mapInArrow(describe, "doc_id long, n long, h long, g long, head array<long>"), "sets")
-    same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    copies = found.drop("head").join(same.filter("copies > 1"), ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
+    same = found.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("count"))
+    same = save(same.filter("count > 1"), "same")
+    copies = join_groups(found.drop("head"), same, ["n", "h", "g"]).filter("doc_id <> first").select("doc_id", "first")
     copies = save(copies, "copies")
     tokens = found.filter("n > 0").join(_few(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
-    shared = tokens.groupBy("token").count().filter("count > 1").select("token")
+    shared = save(tokens.groupBy("token").count().filter("count > 1"), "shared")
+    hot = hot_keys(shared, ["token"])
     # a token's place in its document's prefix, and how many of the tokens before it others share
     before = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    tokens = save(tokens.join(shared, "token").withColumn("before", before), "tokens")
+    tokens = save(spread_join(tokens, shared.select("token"), ["token"], hot).withColumn("before", before), "tokens")
 
     def near(a: Column, b: Column) -> Column:
         """Whether documents with a common token can still agree enough.
@@ -254,7 +284,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     own = F.struct("doc_id", "n", "pos", "before")
     ranked = tokens.join(degree, "doc_id").select("token", F.struct("degree", (-F.col("doc_id")).alias("key"), own.alias("own")).alias("r"))
     middle = ranked.groupBy("token").agg(F.max("r").alias("r")).select("token", F.col("r.own").alias("x"))
-    stars = tokens.select("token", own.alias("y")).join(middle, "token").filter("x.doc_id <> y.doc_id").filter(near(F.col("x"), F.col("y")))
+    stars = spread_join(tokens.select("token", own.alias("y")), middle, ["token"], hot).filter("x.doc_id <> y.doc_id").filter(near(F.col("x"), F.col("y")))
     stars = save(stars.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
     links = _verified(stars, docs, level, size, percent)
     joined = components(links)
@@ -264,14 +294,14 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     rest = rest.select("token", own.alias("x"), F.coalesce("component_id", "doc_id").alias("c"))
     mixed = rest.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
     # a pair is taken at its first common token: with each token goes what its document has before it, while that is short
-    held = rest.join(mixed, "token").groupBy(F.col("x.doc_id").alias("doc_id"), "c")
+    held = spread_join(rest, mixed, ["token"], hot).groupBy(F.col("x.doc_id").alias("doc_id"), "c")
     held = held.agg(F.sort_array(F.collect_list(F.struct("x.pos", "token", "x"))).alias("held"))
     one = held.select("c", F.col("held.token").alias("all"), F.posexplode("held").alias("at", "h"))
     ahead = F.when(F.col("at") <= MAX_AHEAD, F.slice("all", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<long>"))
     rest = save(one.select("h.token", "h.x", "c", ahead.alias("ahead")), "rest")
     other = rest.select("token", F.col("x").alias("y"), F.col("c").alias("d"), F.col("ahead").alias("behind"))
     fresh = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("c") != F.col("d")) & ~F.arrays_overlap("ahead", "behind")
-    more = rest.join(other, "token").filter(fresh & near(F.col("x"), F.col("y")))
+    more = spread_join(rest, other, ["token"], hot, PAIR_SALTS).filter(fresh & near(F.col("x"), F.col("y")))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = save(more.join(stars, ["a", "b"], "left_anti"), "more")
     late = _verified(more, docs, level, size, percent)
