@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are cut; documents of which nothing is left go."""
-    cut = line_dedup.dedup(docs).filter("n_deleted = 0 or text <> ''")
-    n_chars = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    cut = line_dedup.dedup(docs, counts=("__lines", "__deleted")).filter("__deleted = 0 or text <> ''")
+    n_chars = F.when(F.col("__deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*(n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
