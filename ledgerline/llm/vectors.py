@@ -3,16 +3,19 @@
 Every tree splits the vectors of a label at the median of a random projection, again and again,
 until leaves are small.  Rows close to a split go to both sides (spill), so that a near pair
 rarely parts; several trees make up for the rest.  Vectors are compared with those of their leaf
-in double precision.  The trees are fitted on a bounded sample and index every row.
+in double precision.  The upper splits are fitted on one bounded sample; a leaf that is still too
+large is split further on a sample drawn inside it, round by round, so that leaves are as small in
+a table of any size.  Every row is indexed.
 
-Equal vectors are one class.  Leaves that stay large (a dense group no split can part) are cut
-into blocks, and pairs of blocks are compared, so that a task holds two blocks at most.  A pair
-counts in the first leaf that it shares.  Tasks return counts and local components, not pairs.
+Equal vectors are one class.  Leaves that no split can part (a dense group) are cut into blocks, and
+pairs of blocks are compared, so that a task holds two blocks at most.  A pair counts in the first
+leaf that it shares.  Tasks return counts and local components, not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,10 +23,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, repeats, save
+from .common import components, hot_keys, join_groups, repeats, save, spread_join
 
-#: The trees are fitted on at most so many vectors, those of smallest hash.
+#: The upper splits are fitted on at most so many vectors, those of smallest hash.
 MAX_SAMPLE = 20_000
+#: Vectors, about, that the further splits of a large leaf are fitted on, and levels that are split in one round.
+LEAF_SAMPLE, LEVELS = 2_000, 4
+#: Rows within this part of the usual distance of a pair at the threshold go to both sides of a split.
+SPILL = 0.5
+#: Large leaves whose splits are broadcast; beyond, they are joined by shuffles.
+MAX_BROADCAST_LEAVES = 50_000
+AT = ["label", "size", "leaf"]
+
+
+def margin_of(threshold: float, size: int) -> float:
+    """SPILL of the usual distance that a pair just at the threshold has on a random unit direction."""
+    return SPILL * float(np.sqrt(max(0.0, 2 - 2 * threshold) / size))
+
+
+def directions(size: int, n: int, *seed: int) -> np.ndarray:
+    """n random unit directions as columns."""
+    d = np.random.default_rng((*seed, size)).normal(size=(size, n))
+    return d / np.linalg.norm(d, axis=0)
+
+
+def splits_of(p: np.ndarray, small: int, margin: float) -> np.ndarray:
+    """Splits of a sample by its places p(rows, levels), node k's parts being nodes 2k + 1 and 2k + 2; NaN: none."""
+    out = np.full(2 ** p.shape[1] - 1, np.nan)
+    todo = [(0, np.arange(len(p)), 0)]
+    while todo:
+        k, rows, level = todo.pop()
+        if level < p.shape[1] and len(rows) > small:
+            at = p[rows, level]
+            split = float(np.median(at))
+            left, right = rows[at <= split + margin], rows[at >= split - margin]
+            if max(len(left), len(right)) <= 0.8 * len(rows):
+                out[k] = split
+                todo += [(2 * k + 1, left, level + 1), (2 * k + 2, right, level + 1)]
+    return out
+
+
+def parts_of(p: np.ndarray, splits: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and end nodes of rows with places p and splits of their own; some rows have several."""
+    rows, nodes = np.arange(len(p)), np.zeros(len(p), np.int64)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for level in range(p.shape[1]):
+        split = splits[rows, nodes]
+        over = np.isnan(split)
+        ends.append((rows[over], nodes[over]))
+        rows, nodes, split = rows[~over], nodes[~over], split[~over]
+        left, right = p[rows, level] <= split + margin, p[rows, level] >= split - margin
+        rows, nodes = np.r_[rows[left], rows[right]], np.r_[2 * nodes[left] + 1, 2 * nodes[right] + 2]
+    ends.append((rows, nodes))
+    return np.concatenate([r for r, _ in ends]), np.concatenate([n for _, n in ends])
 
 
 class Forest:
@@ -31,8 +83,7 @@ class Forest:
 
     def __init__(self, sample: list[tuple[int, np.ndarray]], total: int, threshold: float, trees: int, leaf: int, seed: int = 11):
         self.trees, self.depth = trees, 24
-        self.near = np.sqrt(max(0.0, 2 - 2 * threshold))
-        self.seed = seed
+        self.threshold, self.seed = threshold, seed
         self.small = max(8, round(leaf * min(1.0, len(sample) / max(1, total))))
         self.nodes: dict[tuple[int, int], list] = {}
         groups: dict[tuple[int, int], list] = {}
@@ -43,13 +94,11 @@ class Forest:
             self.nodes[key] = [self._grow(self._project(x, t), np.arange(len(x)), 0, [0], self._margin(key[1])) for t in range(trees)]
 
     def _margin(self, size: int) -> float:
-        """The usual distance that a pair just at the threshold has on a random unit direction."""
-        return float(self.near / np.sqrt(size))
+        return margin_of(self.threshold, size)
 
     def _project(self, x: np.ndarray, tree: int) -> np.ndarray:
         """Places of rows on the tree's directions, one a level."""
-        d = np.random.default_rng((self.seed, tree, x.shape[1])).normal(size=(x.shape[1], self.depth))
-        return x @ (d / np.linalg.norm(d, axis=0))
+        return x @ directions(x.shape[1], self.depth, self.seed, tree)
 
     def _grow(self, p: np.ndarray, rows: np.ndarray, level: int, leaves: list[int], margin: float):
         """A leaf's number, or (split, left, right)."""
@@ -88,6 +137,52 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= threshold
 
 
+def _unit(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_numpy())
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _split_further(members: DataFrame, own: DataFrame, threshold: float, leaf: int, rounds: int = 40) -> DataFrame:
+    """members(vec_id, label, size, tree, leaf) with every leaf of over 2 * leaf rows split, while a split parts it."""
+    done, left = [], members
+    for turn in range(1, rounds + 1):
+        large = save(left.groupBy(*AT).count().filter(F.col("count") > 2 * leaf), "large")
+        n = large.count()
+        if not n:
+            break
+        hot = hot_keys(large, AT)
+        few = F.broadcast if n <= MAX_BROADCAST_LEAVES else (lambda df: df)
+        done.append(left.join(few(large.select(*AT)), AT, "left_anti"))
+        chance = F.pmod(F.xxhash64("vec_id", F.lit(turn)), F.lit(1_000_000)) * F.col("count") < LEAF_SAMPLE * 1_000_000
+        sample = left.join(few(large), AT).filter(chance).join(own.select("vec_id", "v"), "vec_id")
+
+        def fit(frame: pd.DataFrame) -> pd.DataFrame:
+            first = frame.iloc[0]
+            size, small = int(first["size"]), max(8, round(leaf * min(1.0, len(frame) / first["count"])))
+            p = _unit(frame["v"]) @ directions(size, LEVELS, turn, int(first["tree"]))
+            splits = splits_of(p, small, margin_of(threshold, size))
+            return pd.DataFrame({"label": [first["label"]], "size": [size], "leaf": [first["leaf"]], "splits": [splits]})
+
+        splits = save(sample.groupBy(*AT).applyInPandas(fit, "label int, size int, leaf long, splits array<double>"), "splits")
+        rows = left.join(F.broadcast(splits), AT) if n <= MAX_BROADCAST_LEAVES else spread_join(left, splits, AT, hot)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                frame = batch.to_pandas()
+                for (size, tree), some in frame.groupby(["size", "tree"]):
+                    p = _unit(some["v"]) @ directions(int(size), LEVELS, turn, int(tree))
+                    at, node = parts_of(p, np.stack(some["splits"].to_numpy()), margin_of(threshold, int(size)))
+                    out = some[["vec_id", "label", "size", "tree", "leaf"]].iloc[at].assign(node=node)
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+        fields = "vec_id long, label int, size int, tree int, leaf long"
+        made = rows.join(own.select("vec_id", "v"), "vec_id").select("vec_id", "label", "size", "tree", "leaf", "splits", "v")
+        made = save(made.mapInArrow(part, fields + ", node long"), "parts")
+        done.append(made.filter("node = 0").drop("node"))  # no split parts these
+        left = made.filter("node > 0").withColumn("leaf", F.xxhash64("leaf", "node")).drop("node")
+    return reduce(DataFrame.unionByName, [*done, left])
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.98, trees: int = 6, leaf: int = 256, block: int = 512, max_sample: int = MAX_SAMPLE
 ) -> DataFrame:
@@ -116,21 +211,27 @@ def near_duplicates(
             frame = batch.to_pandas()
             frame["size"] = frame["v"].map(len)
             for (label, size), part in frame.groupby(["label", "size"]):
-                x = np.stack(part["v"].to_numpy())
-                at, leaves = forest.leaves(label, x / np.linalg.norm(x, axis=1, keepdims=True))
+                at, leaves = forest.leaves(label, _unit(part["v"]))
                 bounds = np.searchsorted(at, np.arange(len(part) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaves, pa.int32()))
-                made = [pa.array(part["vec_id"]), pa.array(part["label"], pa.int32()), pa.array(part["v"].tolist(), pa.list_(pa.float64())), pa.array(part["copies"]), lists]
-                yield pa.record_batch(made, names=["vec_id", "label", "v", "copies", "leaves"])
-
-    indexed = own.withColumn("label", F.col("label").cast("int"))
-    indexed = save(indexed.mapInArrow(index, "vec_id long, label int, v array<double>, copies long, leaves array<int>"), "indexed")
-    spread = indexed.select("*", F.size("v").alias("size"), F.explode("leaves").alias("leaf"))
-    at = ["label", "size", "leaf"]
-    blocks = spread.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    spread = spread.join(blocks, at).withColumn("mine", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaves, pa.int64()))
+                made = [pa.array(part["vec_id"]), pa.array(part["label"], pa.int32()), pa.array(np.full(len(part), size), pa.int32()), lists]
+                yield pa.record_batch(made, names=["vec_id", "label", "size", "leaves"])
+
+    placed = own.withColumn("label", F.col("label").cast("int")).mapInArrow(index, "vec_id long, label int, size int, leaves array<long>")
+    placed = save(placed, "placed")
+    members = placed.select("vec_id", "label", "size", F.explode("leaves").alias("leaf"))
+    if not members.groupBy(*AT).count().filter(F.col("count") > 2 * leaf).isEmpty():
+        tree = F.shiftright("leaf", 24).cast("int").alias("tree")
+        members = _split_further(members.select("vec_id", "label", "size", tree, "leaf"), own, threshold, leaf).drop("tree")
+        members = save(members, "members")
+        placed = members.groupBy("vec_id", "label", "size").agg(F.collect_list("leaf").alias("leaves"))  # a few a tree
+    blocks = members.groupBy(*AT).agg(F.count("*").alias("count"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = save(blocks.filter("count > 1"), "blocks")
+    indexed = placed.join(own.select("vec_id", "v", "copies"), "vec_id")
+    spread = indexed.select("*", F.explode("leaves").alias("leaf"))
+    spread = join_groups(spread, blocks, AT).withColumn("mine", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("vec_id", "label", "size", "leaf", "v", "copies", "leaves", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"))
+    spread = spread.select("vec_id", *AT, "v", "copies", "leaves", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame["v"].to_numpy())

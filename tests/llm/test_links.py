@@ -1,12 +1,14 @@
 """Decontamination, Jaccard join, embeddings, licenses, urls, line dedup against plain versions."""
 
 import itertools
+import math
 import random
 import re
-import shutil
+import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,16 @@ def test_short_items_and_unlucky_placements_are_found(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.matches, r["of"]) for r in decontaminate.overlaps(docs, bench).collect()} == want
 
 
+def test_whole_copies_of_a_long_item_are_verified_once(spark):
+    rng = random.Random(12)
+    item = text_of(rng, 3_000)
+    rows = [(i, " ".join(item)) for i in range(4)]
+    began = time.time()
+    found = decontaminate.overlaps(docs_of(spark, rows), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.matches, r["of"], r.item_start) for r in found.collect()} == {(i, 5, 20, 20, 0) for i in range(4)}
+    assert time.time() - began < 60
+
+
 # Jaccard join
 
 
@@ -169,6 +181,46 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def near_pairs(rng, n, far):
+    """n random unit vectors and a partner of each, of cosine 0.98 to 0.985."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u, r = unit(rng.normal(size=(n, far))), rng.normal(size=(n, far))
+    r = unit(r - (r * u).sum(axis=1, keepdims=True) * u)
+    c = rng.uniform(0.9801, 0.985, (n, 1))
+    return u, c * u + np.sqrt(1 - c * c) * r
+
+
+def test_recall_with_production_parameters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    u, v = near_pairs(rng, 1_000, 64)
+    rest = rng.normal(size=(38_000, 64))
+    x = np.concatenate([u, v, rest])
+    label = np.r_[np.arange(1_000) % 2, np.arange(1_000) % 2, np.arange(38_000) % 2]
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "label": label.astype(np.int32)})
+    path = f"{common.shared_dir(spark)}/recall.parquet"
+    frame.to_parquet(path)
+    table = spark.read.parquet(path)
+    for small in (False, True):
+        if small:  # upper splits on few vectors: leaves have to be split further
+            monkeypatch.setattr(vectors, "LEAF_SAMPLE", 500)
+        got = {r.vec_id: r for r in vectors.near_duplicates(table, **({"max_sample": 300} if small else {})).collect()}
+        found = sum(got[i].n_links == 1 and got[1_000 + i].component_id == i for i in range(1_000))
+        assert found >= 900 and all(got[i].n_links == 0 for i in range(2_000, 40_000))
+
+
+def test_leaves_are_as_small_in_larger_tables(spark):
+    rng = np.random.default_rng(6)
+    mean = []
+    for n in (2_000, 16_000):
+        rows = [(i, 0, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 16)))]
+        own = spark.createDataFrame(rows, "vec_id long, label int, v array<double>").cache()
+        members = own.select("vec_id", "label", F.size("v").alias("size"), F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"))
+        sizes = vectors._split_further(members, own, 0.98, 32).groupBy("leaf").count().toPandas()["count"].to_numpy()
+        assert sizes.max() <= 64
+        mean.append((sizes.astype(float) ** 2).sum() / sizes.sum())
+    assert mean[1] < 1.5 * mean[0]
+
+
 # licenses
 
 
@@ -196,6 +248,7 @@ def test_every_template_is_found_and_little_else(spark):
         assert r.coverage == 1.0
         got.setdefault(r.doc_id, []).append(r.license)
     assert {k: sorted(v) for k, v in got.items()} == want
+    assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
 def test_every_stretch_of_a_license_is_found():
@@ -220,6 +273,54 @@ def test_every_stretch_of_a_license_is_found():
     assert scanner.scan(f"{pad} {spaced} {spaced}") == [("MIT-notice", 1.0, 60, 91), ("MIT-notice", 1.0, 92, 123)]
 
 
+def plain_covered(template, words, share=0.9):
+    """Whether any stretch of the words covers the template, by the longest common subsequence of each stretch."""
+    n = len(template)
+    for start in {i for i, w in enumerate(words) if w in template}:
+        row = [0] * (n + 1)
+        for w in words[start : start + 2 * n + licenses.MAX_INSERTED]:
+            last = row
+            row = [0] * (n + 1)
+            for i, t in enumerate(template):
+                row[i + 1] = last[i] + 1 if t == w else max(row[i], last[i + 1])
+        if row[n] >= share * n:
+            return True
+    return False
+
+
+def test_edited_notices_against_all_stretches():
+    rng = random.Random(21)
+    some = {k: licenses.TEMPLATES[k] for k in ("CC0-1.0", "MIT-notice", "BSD-3-Clause", "ISC", "MPL-2.0", "Apache-2.0")}
+    scanner = licenses.Scanner(some, 0.9)
+    seen = {True: 0, False: 0}
+    for _ in range(150):
+        name = rng.choice(list(some))
+        words = licenses.words_of(some[name])
+        for _ in range(rng.randrange(5)):  # words changed, dropped and put in
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], ["other"], [words[i], *text_of(rng, rng.choice([1, 3, 20]))], ["copyright", words[i]]])
+        words = [*text_of(rng, rng.randrange(30)), *rng.sample(licenses.words_of(some[name]), 2), *words, *text_of(rng, rng.randrange(30))]
+        found = {hit[0] for hit in scanner.scan(" ".join(words))}
+        want = {k for k in some if plain_covered(licenses.words_of(some[k]), words)}
+        assert found == want, (name, words)
+        seen[name in want] += 1
+    assert min(seen.values()) > 20
+
+
+def test_notices_with_insertions_and_stray_words():
+    scanner, cc0 = licenses.Scanner(licenses.TEMPLATES, 0.9), licenses.TEMPLATES["CC0-1.0"]
+    for stray in ("neighboring", "x copyright possible neighboring", "neighboring copyright waived rights related"):
+        assert ("CC0-1.0", 1.0) in [hit[:2] for hit in scanner.scan(f"{stray} {cc0}")]
+    words = cc0.split()
+    for at in range(1, len(words)):
+        hits = scanner.scan(" ".join([*words[:at], *(f"new{i}" for i in range(20)), *words[at:]]))
+        assert [hit[0] for hit in hits] == ["CC0-1.0"] and hits[0][1] >= 0.9
+    for name in ("MIT-text", "BSD-3-Clause-text", "BSD-2-Clause-text", "GPL-3.0-notice"):
+        text = licenses.TEMPLATES[name].split()
+        text[30:30] = ["holder"] * 30
+        assert name in [hit[0] for hit in scanner.scan(" ".join(text))]
+
+
 def test_a_notice_after_an_earlier_key_word_is_found():
     scanner, of = licenses.Scanner(licenses.TEMPLATES, 0.9), licenses.TEMPLATES
     text = "Documentation for Foo, copyright 2020 by the Foo authors. " + of["MIT-notice"]
@@ -270,6 +371,62 @@ def test_names_are_segmented_and_topics_blocked(spark):
     assert {got[i] for i in range(200)} == {"allow"} and {got[1000 + i] for i in range(40)} == {"block"}
 
 
+def plain_split(counts, total, name):
+    """The cheapest split of a short name among all of them."""
+    best = None
+    for cuts in itertools.product([0, 1], repeat=len(name) - 1):
+        words, start = [], 0
+        for i, cut in enumerate([*cuts, 1]):
+            if cut:
+                words.append(name[start : i + 1])
+                start = i + 1
+        cost = sum(math.log(total / counts[w]) if w in counts else math.log(total) + 3 + 3.3 * len(w) for w in words)
+        best = min(best or (math.inf, None), (cost, words))
+    return best[0]
+
+
+def test_segmentation_against_all_splits():
+    rng = random.Random(13)
+    for _ in range(60):
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 90) for _ in range(12)}
+        name, words = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 11))), urls.Segmenter(counts)
+        cost = sum(words.cost.get(w, words.unknown + 3.3 * len(w)) for w in words.split(name))
+        assert "".join(words.split(name)) == name and cost == pytest.approx(plain_split(counts, sum(counts.values()) + 1, name))
+
+
+def test_scores_against_plain_naive_bayes(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    titles = {r.w: r["count"] for r in urls.title_words(pages).collect()}
+    usual = max(1, sum(titles.values()) // max(1, len(titles)))
+    segmenter = urls.Segmenter(titles | {w: max(usual, titles.get(w, 0)) for w in urls.TOPICS})
+    got = urls.judge(pages).collect()
+    words = [segmenter.words(r.host, r.path) for r in got]
+    verdict = {"/".join(k[:1]) + k[1]: k[2] for k in urls.RULES}
+    count = [{}, {}]
+    pages_of = [0, 0]
+    for r, some in zip(got, words, strict=True):
+        topic, rule = not set(urls.TOPICS).isdisjoint(some), verdict.get(r.rule)
+        if not (topic and rule == "allow"):
+            k = int(topic or rule == "block")
+            pages_of[k] += 1
+            for w in some:
+                count[k][w] = count[k].get(w, 0) + 1
+    n = len({*count[0], *count[1]})
+    total = [sum(c.values()) + urls.SMOOTH * n for c in count]
+    for r, some in zip(got, words, strict=True):
+        z = math.log((pages_of[1] + 1) / (pages_of[0] + 1))
+        z += sum(math.log((count[1].get(w, 0) + urls.SMOOTH) / total[1]) - math.log((count[0].get(w, 0) + urls.SMOOTH) / total[0]) for w in some if w in count[0] or w in count[1])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_ruled_urls_of_held_out_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    fold = F.crc32(F.encode("host", "UTF-8")) % 4 == 2
+    found = urls.judge(pages, teach=~fold).filter(fold).filter("rule is not null").select("verdict", "score").collect()
+    right = sum((r.score >= 0.5) == (r.verdict == "block") for r in found)
+    assert len(found) > 10 and right >= 0.8 * len(found), (right, len(found))
+
+
 def test_rare_words_count_beyond_those_that_tasks_hold(spark):
     titles = ["the garden roses", "cheap offer", "orchid"]
     pages = [(i, f"http://garden{i % 7}.example.com/roses/slug{chr(97 + i % 26)}{chr(97 + i % 17)}", f"<title>{titles[0]} word{chr(97 + i % 26)}</title>") for i in range(150)]
@@ -311,9 +468,28 @@ def test_line_dedup_against_all_pairs(spark):
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "five words are in this\n" * 30), (54, rows[3][1]), (55, "y " * 30_000), (56, "y " * 30_000)]
     got = line_dedup.dedup(docs_of(spark, rows))
     want = plain_line_dedup(rows)
-    assert got.columns == ["n_lines", "n_deleted", *DOCS.replace(" long", "").replace(" string", "").split(", ")]
+    assert got.columns == ["n_lines", "n_deleted", "doc_id", "text", "item_id", "words"]
+    assert line_dedup.dedup(docs_of(spark, rows), counts=("n", "m")).columns == ["n", "m", "doc_id", "text", "item_id", "words", "n_deleted"]
     texts = {r["doc_id"]: r["text"] for r in got.select("doc_id", "text").collect()}
     assert texts == want | {50: None}
     again = line_dedup.dedup(docs_of(spark, [*rows, rows[0], (None, rows[3][1])])).select("doc_id", "text").collect()
     assert len(again) == len(rows) + 2 and {r["doc_id"]: r["text"] for r in again if r["doc_id"] is not None} == texts
     assert line_dedup.dedup(docs_of(spark, [])).count() == 0
+
+
+def test_cutting_is_linear_in_lines(spark):
+    lines = [f"line {i} of a long text with some words" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own line", *lines[:50_000], "last line"]))]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60_000, 0, rows[0][1]), 2: (50_002, 50_000, "own line\nlast line")}
+    assert time.time() - began < 120
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_000, 7).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("count"), F.min("id").alias("first"))
+    assert [r.k for r in common.hot_keys(groups, ["k"]).collect()] == [7]
+    got = common.join_groups(rows, groups, ["k"])
+    assert {(r.k, r.id, r.first) for r in got.collect()} == {(7 if i < 2_000 else i, i, 0 if i < 2_000 else i) for i in range(3_000)}
+    assert got.count() == 3_000
