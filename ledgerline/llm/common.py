@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text, about, that a Python task holds as strings at a time (longer texts alone).
+TEXT_BYTES = 2 << 20
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of text, so that a task's memory does not grow with the batch's rows."""
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(held):
+            before = held[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(held, before + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b), ids of type long.
 

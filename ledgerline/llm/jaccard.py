@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, hot_keys, join_groups, repeats, save, spread_join
+from .common import by_bytes, components, hot_keys, join_groups, repeats, save, spread_join
 
 #: Hash buckets of the corpus-wide token counts (2^bits for either of two hashes); more for larger corpora.
 SKETCH_BITS = 21
@@ -156,16 +156,19 @@ def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(whole, np.int32)
-        for batch in batches:
-            held, waiting = [], 0
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            if held:
+                counts[:] += np.bincount(buckets(np.concatenate(held), bits).ravel(), minlength=whole).astype(np.int32)
+                held.clear()
+
+        for batch in by_bytes(batches):
             for made, _ in raw_shingles(batch.column(0).to_pylist(), size):
                 held.append(made)
-                waiting += len(made)
-                if waiting > 1 << 20:
-                    counts += np.bincount(buckets(np.concatenate(held), bits).ravel(), minlength=whole).astype(np.int32)
-                    held, waiting = [], 0
-            if held:
-                counts += np.bincount(buckets(np.concatenate(held), bits).ravel(), minlength=whole).astype(np.int32)
+                if sum(map(len, held)) > 1 << 20:
+                    flush()
+        flush()
         blocks = [counts[i * width : (i + 1) * width] for i in range(BLOCKS)]
         some = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
         yield pa.record_batch([pa.array([i for i, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["block", "counts"])
@@ -198,7 +201,7 @@ def _verified(pairs: DataFrame, text: DataFrame, level: Broadcast, size: int, pe
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each document the prefix under order 1, and the whole set."""
         order = level.value
-        for batch in batches:
+        for batch in by_bytes(batches):
             found = shingle_sets(batch.column(1).to_pylist(), size)
             heads = pa.array([h.view(np.int64) for h in order.prefixes(found, percent, 1)], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column(0), heads, pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "head", "s"])
@@ -246,7 +249,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, sketch_bits: int = S
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each document the set's size, its hash, and its prefix under the first order."""
         order = level.value
-        for batch in batches:
+        for batch in by_bytes(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens = np.concatenate([*sets, np.zeros(1, np.uint64)])

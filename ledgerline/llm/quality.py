@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 #: Bounds of the sample that the model is fitted on: trusted positives, unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 #: Standardised features are clipped there.
@@ -172,7 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts = batch.column(1).to_pylist()
             s = model.score(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES))
             made = [batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
@@ -185,7 +187,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     """The rows of docs that score() predicts 1, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
             yield batch.filter(pa.array(model.score(x) >= threshold))
 

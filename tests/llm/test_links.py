@@ -9,6 +9,7 @@ import time
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,9 +128,9 @@ def test_whole_copies_of_a_long_item_are_verified_once(spark):
 # Jaccard join
 
 
-def plain_shingles(text):
+def plain_shingles(text, size=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
-    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
 def test_jaccard_against_all_pairs(spark):
@@ -493,3 +494,11 @@ def test_hot_keys_are_spread(spark):
     got = common.join_groups(rows, groups, ["k"])
     assert {(r.k, r.id, r.first) for r in got.collect()} == {(7 if i < 2_000 else i, i, 0 if i < 2_000 else i) for i in range(3_000)}
     assert got.count() == 3_000
+
+
+def test_slices_by_bytes_of_text():
+    texts = ["ab", None, "", "x" * 50, "é" * 3, "c", None]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(common.by_bytes(iter([batch, batch.slice(0, 0)]), size=8))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [3, 1, 3]
