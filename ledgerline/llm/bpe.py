@@ -14,6 +14,8 @@ import numpy as np
 
 #: Pieces learned in one Python worker before the older ones go, but for those met again since (two times about 150 MB).
 MAX_PIECES = 700_000
+#: Longer pieces (texts without blanks) are not kept, so that the number of pieces bounds the memory.
+MAX_KEPT = 100
 #: Letters below this are letters in every Unicode version at hand; words of them alone need no pre-tokenizer.
 LETTERS_BELOW = "\u0500"
 #: The character that stands for each byte in the vocabulary: printable ones of Latin-1 for themselves, others from 256 on.
@@ -78,12 +80,20 @@ class Encoder:
         run = p[len(word) :]
         marks = self._marks.get(run)
         if marks is None:
-            marks = self._marks[run] = self._whole(run)
+            marks = self._whole(run)
+            if len(run) <= MAX_KEPT:
+                self._marks[run] = marks
         ids = self._known.get(word) or self._older.get(word)
         if ids is None:
-            ids = self._known[word] = self._line_end + self._word(letters) if start else self._word(" " + word)
+            ids = self._line_end + self._word(letters) if start else self._word(" " + word)
+            if len(word) <= MAX_KEPT:
+                self._known[word] = ids
         return ids + marks
 
+    def forget(self) -> None:
+        """Drop the pieces learned so far: what a task gathered does not stay in its Python worker."""
+        self._known, self._older, self._marks = {}, {}, {}
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -102,7 +112,9 @@ class Encoder:
                     ids = known.get(p) or older.get(p) or self._piece(p)
                     if ids is None:
                         return self._whole(text)
-                    found[i] = known[p] = ids
+                    found[i] = ids
+                    if len(p) <= MAX_KEPT:
+                        known[p] = ids
         return b"".join(found)[len(self._line_end) :]
 
 

@@ -80,7 +80,8 @@ def pack(
     arrow = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.encoder(path).ids
+        encoder = bpe.encoder(path)
+        encode = encoder.ids
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows, rests = [], []
@@ -123,6 +124,7 @@ def pack(
                     deal()
                 if len(rows) >= 5_000:
                     yield out()
+        encoder.forget()
         deal()
         yield out()
 
