@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, line_dedup, packing, quality, sql, token_files, urls, vectors
+from . import decontaminate, divergence, jaccard, language, licenses, line_dedup, packing, quality, resampling, sql, substring_dedup, token_files, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_pack_sequences, op3_url_filter, op4_language_id, op5_quality_classifier,
     op6_embedding_near_dup, op7_jaccard_join, op8_token_files, op9_license_scan, op10_line_dedup,
+    op11_substring_dedup, op12_source_divergence, op13_importance_resampling,
 )}
 ORACLE_SQL = {k: v for k, v in sql.ORACLE_SQL.items() if k in QUERIES}
