@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,16 @@ from . import words
 from .common import by_bytes, save
 from .jaccard import mix
 
-#: Cells of the sketch (2^bits, half of them for either hash); one bit a cell is broadcast.
-SKETCH_BITS = 28
+#: Cells of the sketch (2^bits) and its rows, each with a hash of its own; one bit a cell is broadcast.
+SKETCH_BITS, DEPTH = 28, 4
+#: Places of windows that were estimated to be repeated and are not, up to which they are broadcast; beyond, texts are shuffled.
+MAX_BROADCAST_PLACES = 2_000_000
 #: Cells that a partial sketch's row covers.
 BLOCK = 1 << 16
 #: Cells that a task holds before it hands out a partial sketch.
 HELD = 1 << 22
-CHUNK = 1 << 19
+#: Bytes of text that a task has as arrays at a time (longer texts alone).
+CHUNK = 1 << 17
 
 
 def anchors(h: np.ndarray, size: int, gram: int) -> np.ndarray:
@@ -51,38 +55,54 @@ def anchors(h: np.ndarray, size: int, gram: int) -> np.ndarray:
 
 
 def cells(anchor: np.ndarray, bits: int) -> np.ndarray:
-    """The sketch's two cells of each anchor's hash."""
-    shift = np.uint64(65 - bits)
-    return np.stack([mix(anchor, s) >> shift | np.uint64(s << (bits - 1)) for s in (0, 1)]).astype(np.int64)
+    """The sketch's DEPTH cells of each anchor's hash, each in a row of its own."""
+    row = bits - (DEPTH - 1).bit_length()
+    return np.stack([mix(anchor, s) >> np.uint64(64 - row) | np.uint64(s << row) for s in range(DEPTH)]).astype(np.int64)
 
 
 class Text:
-    """Some texts' words: `docs` gives each text's first word and the one behind its last."""
+    """The words of some texts in one array, `doc` the text of each, `first` each text's first word, `n` its number of words."""
 
     def __init__(self, texts: list[bytes]):
-        self.data, self.start, self.end, doc = words.spans(texts, words.BETWEEN_BLANKS)
-        self.bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.n = np.diff(self.bounds)
-
-    def each(self, size: int, salt: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-        """Texts with a window: their places and word hashes."""
-        h = words.hashes(self.data, self.start, self.end, salt)
-        for i in np.flatnonzero(self.n >= size):
-            yield i, h[self.bounds[i] : self.bounds[i + 1]]
-
-    def kept(self, i: int, gone: np.ndarray | None) -> bytes:
-        """The words of text i that are not gone, joined by one blank."""
-        at = np.arange(self.bounds[i], self.bounds[i + 1])
-        if gone is not None:
-            at = at[~gone]
-        data = self.data
-        return b" ".join([data[s:e].tobytes() for s, e in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)])
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], Text]]:
+        self.data, self.start, self.end, self.doc = words.spans(texts, words.BETWEEN_BLANKS)
+        self.n = np.bincount(self.doc, minlength=len(texts))
+        self.first = np.cumsum(self.n) - self.n
+
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        return words.hashes(self.data, self.start, self.end, salt)
+
+    def windows(self, size: int) -> np.ndarray:
+        """The words that windows within a text start at."""
+        reach = max(0, len(self.doc) - size + 1)
+        return np.flatnonzero(self.doc[:reach] == self.doc[len(self.doc) - reach :])
+
+    def covered(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Of each word whether it is in a window that begins at one of `starts`."""
+        change = np.zeros(len(self.doc) + 1, np.int64)
+        change[starts] += 1
+        change[starts + size] -= 1
+        return np.cumsum(change[:-1]) > 0
+
+    def kept(self, gone: np.ndarray) -> pa.Array:
+        """Each text's words that are not gone, joined by one blank."""
+        at = np.flatnonzero(~gone)
+        doc, start, end = self.doc[at], self.start[at], self.end[at]
+        last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
+        end = end + ~last  # the byte behind a word is white space
+        size = end - start
+        change = np.zeros(len(self.data) + 2, np.int8)
+        change[start] += 1
+        change[end] -= 1
+        body = self.data[np.cumsum(change[: len(self.data)], dtype=np.int8) > 0]
+        body[np.cumsum(size)[~last] - 1] = 0x20
+        ends = np.append(0, np.cumsum(np.bincount(doc, weights=size, minlength=len(self.n)).astype(np.int64)))
+        kind, width = (pa.string(), np.int32) if ends[-1] < 1 << 31 else (pa.large_string(), np.int64)
+        return pa.Array.from_buffers(kind, len(self.n), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(body)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Text]]:
     for batch in by_bytes(batches, size=CHUNK):
-        texts = words.blobs(batch.column("text"))
-        yield batch, texts, Text(texts)
+        yield batch, Text(words.blobs(batch.column("text")))
 
 
 def sketch(docs: DataFrame, size: int, gram: int, bits: int) -> np.ndarray:
@@ -101,10 +121,10 @@ def sketch(docs: DataFrame, size: int, gram: int, bits: int) -> np.ndarray:
             once, twice = [offsets(c[k == 1]) for c, k in parts], [offsets(c[k > 1]) for c, k in parts]
             return pa.record_batch([pa.array(block, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["block", "once", "twice"])
 
-        for _, _, text in _slices(batches):
-            for _, h in text.each(size):
-                at = np.unique(anchors(h, size, gram))
-                held.append(cells(words.runs(h, gram)[at], bits).ravel())
+        for _, text in _slices(batches):
+            h = text.hashes()
+            at = np.unique(anchors(h, size, gram)[text.windows(size)])
+            held.append(cells(words.runs(h, gram)[at], bits).ravel())
             if sum(map(len, held)) > HELD:
                 yield out()
         yield out()
@@ -127,20 +147,14 @@ def sketch(docs: DataFrame, size: int, gram: int, bits: int) -> np.ndarray:
     return found
 
 
-def _estimated(h: np.ndarray, several: np.ndarray, size: int, gram: int, bits: int) -> np.ndarray:
-    """Of each window whether its anchor is estimated to be repeated."""
-    place = anchors(h, size, gram)
-    at = cells(words.runs(h, gram), bits)
+def estimated(text: Text, several: np.ndarray, size: int, gram: int, bits: int) -> np.ndarray:
+    """The words that windows start at whose anchor is estimated to be repeated."""
+    h, starts = text.hashes(), text.windows(size)
+    place = anchors(h, size, gram)[starts]
+    chosen, back = np.unique(place, return_inverse=True)
+    at = cells(words.runs(h, gram)[chosen], bits)
     twice = (several[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0)
-    return twice[place]
-
-
-def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Of n words those in a window that begins at one of `starts`."""
-    change = np.zeros(n + 1, np.int64)
-    change[starts] += 1
-    change[starts + size] -= 1
-    return np.cumsum(change[:n]) > 0
+    return starts[twice[back]]
 
 
 def remove_repeated(docs: DataFrame, size: int = 35, gram: int = 24, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -158,51 +172,45 @@ def remove_repeated(docs: DataFrame, size: int = 35, gram: int = 24, sketch_bits
     level: Broadcast = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, gram, sketch_bits))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, text string"
 
-    def made(batch: pa.RecordBatch, keep: list[int], text: Text, gone: list) -> pa.RecordBatch:
-        kept = pa.array([text.kept(i, g) for i, g in zip(keep, gone, strict=True)], pa.binary()).cast(pa.string())
-        removed = pa.array([0 if g is None else int(g.sum()) for g in gone], pa.int64())
-        return pa.record_batch([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(text.n[keep], pa.int64()), removed, kept], names=["doc_id", "n_words", "n_removed", "text"])
+    def met(text: Text) -> np.ndarray:
+        return estimated(text, level.value, size, gram, sketch_bits)
 
-    def met(text: Text) -> dict[int, np.ndarray]:
-        """Starts of the windows to be grouped, by text."""
-        found = {int(i): np.flatnonzero(_estimated(h, level.value, size, gram, sketch_bits)) for i, h in text.each(size)}
-        return {i: s for i, s in found.items() if len(s)}
+    def made(batch: pa.RecordBatch, text: Text, gone: np.ndarray) -> pa.RecordBatch:
+        removed = np.bincount(text.doc[gone], minlength=len(text.n))
+        columns = [batch.column("doc_id"), pa.array(text.n), pa.array(removed), text.kept(gone).cast(pa.string())]
+        return pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "text"])
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, text in _slices(batches):
-            some = met(text)
-            keep = [i for i in range(len(texts)) if i not in some]
-            yield made(batch, keep, text, [None] * len(keep))
+        for batch, text in _slices(batches):
+            has = np.bincount(text.doc[met(text)], minlength=len(text.n)) > 0
+            yield made(batch, text, has[text.doc]).filter(pa.array(~has))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, text in _slices(batches):
-            yield batch.take(pa.array(sorted(met(text)), pa.int64()))
+        for batch, text in _slices(batches):
+            yield batch.filter(pa.array(np.bincount(text.doc[met(text)], minlength=len(text.n)) > 0))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, row, at) of each window to be grouped: its hashes and its place."""
-        for batch, _, text in _slices(batches):
-            some, found = met(text), ([], [])
-            for salt, out in enumerate(found):
-                for i, h in text.each(size, salt):
-                    if i in some:
-                        out.append(words.runs(h, size, salt)[some[i]])
-            if some:
-                rows = batch.column("row").to_numpy()[list(some)]
-                columns = [np.concatenate(x).view(np.int64) for x in found]
-                columns += [np.repeat(rows, [len(s) for s in some.values()]), np.concatenate(list(some.values())).astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "row", "at"])
+        for batch, text in _slices(batches):
+            starts = met(text)
+            doc = text.doc[starts]
+            found = [words.runs(text.hashes(salt), size, salt)[starts].view(np.int64) for salt in (0, 1)]
+            found += [batch.column("row").to_numpy()[doc], (starts - text.first[doc]).astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in found], names=["a", "b", "row", "at"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, text in _slices(batches):
-            some = met(text)
-            once = batch.column("once").to_pylist()
-            gone = [_covered(np.setdiff1d(some[i], once[i] or []), text.n[i], size) for i in range(len(texts))]
-            yield made(batch, list(range(len(texts))), text, gone)
+        for batch, text in _slices(batches):
+            once = batch.column("once")
+            doc = np.repeat(np.arange(len(text.n)), pc.fill_null(pc.list_value_length(once), 0).to_numpy(zero_copy_only=False))
+            starts = np.setdiff1d(met(text), text.first[doc] + once.flatten().to_numpy())
+            yield made(batch, text, text.covered(starts, size))
 
     some = save(docs.mapInArrow(touched, docs.schema).withColumn("row", F.monotonically_increasing_id()), "touched")
     grouped = some.mapInArrow(windows, "a long, b long, row long, at int").groupBy("a", "b")
     # what the sketch took for repeated and is not; hot windows meet in the partial counts
     once = grouped.agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).filter("n = 1")
-    once = save(once.groupBy("row").agg(F.collect_list("at").alias("once")), "once")
-    rest = some.join(once, "row", "left").select("doc_id", "text", "once")
+    once = save(once.select("row", "at"), "once")
+    few = once.count() <= MAX_BROADCAST_PLACES
+    once = once.groupBy("row").agg(F.collect_list("at").alias("once"))
+    rest = some.join(F.broadcast(once) if few else once, "row", "left").select("doc_id", "text", "once")
     return docs.mapInArrow(untouched, schema).unionByName(rest.mapInArrow(cut, schema))
