@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pieces learned in one Python worker before the older ones go, but for those met again since (two times about 150 MB).
-MAX_PIECES = 700_000
-#: Longer pieces (texts without blanks) are not kept, so that the number of pieces bounds the memory.
+#: Bytes, about, of pieces learned in one Python worker before the older ones go, but for those met again since; twice this is held at most.
+MAX_BYTES = 96 << 20
+#: Bytes that a kept piece takes besides its characters and ids.
+OVERHEAD = 200
+#: Longer pieces (texts without blanks) are not kept.
 MAX_KEPT = 100
 #: Letters below this are letters in every Unicode version at hand; words of them alone need no pre-tokenizer.
 LETTERS_BELOW = "\u0500"
@@ -39,7 +41,7 @@ def _visible(c: str) -> bool:
 class Encoder:
     """ids(text) -> little-endian unsigned 32-bit ids as bytes; None and "" give b""."""
 
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -47,7 +49,7 @@ class Encoder:
         self._model._resize_cache(0)  # the dictionary holds what the model's own cache would
         self._four = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._line_end = self._whole("\n")
-        self._max = max_pieces
+        self._max, self._held = max_bytes, 0
         self._known: dict[str, bytes] = {}  # ids of a piece after a blank, or of a line end and a piece
         self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
@@ -82,17 +84,21 @@ class Encoder:
         if marks is None:
             marks = self._whole(run)
             if len(run) <= MAX_KEPT:
-                self._marks[run] = marks
+                self._keep(self._marks, run, marks)
         ids = self._known.get(word) or self._older.get(word)
         if ids is None:
             ids = self._line_end + self._word(letters) if start else self._word(" " + word)
             if len(word) <= MAX_KEPT:
-                self._known[word] = ids
+                self._keep(self._known, word, ids)
         return ids + marks
 
+    def _keep(self, pieces: dict[str, bytes], p: str, ids: bytes) -> None:
+        pieces[p] = ids
+        self._held += OVERHEAD + len(p) + len(ids)
+
     def forget(self) -> None:
         """Drop the pieces learned so far: what a task gathered does not stay in its Python worker."""
-        self._known, self._older, self._marks = {}, {}, {}
+        self._known, self._older, self._marks, self._held = {}, {}, {}, 0
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -101,10 +107,9 @@ class Encoder:
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         found = list(map(known.get, pieces))
         if None in found:
-            if len(known) > self._max:
+            if self._held > self._max:
                 self._older, known = known, {}
-                self._known = known
-                self._marks = {} if len(self._marks) > self._max else self._marks
+                self._known, self._marks, self._held = known, {}, 0
             older = self._older
             for i, ids in enumerate(found):
                 if ids is None:
@@ -114,7 +119,7 @@ class Encoder:
                         return self._whole(text)
                     found[i] = ids
                     if len(p) <= MAX_KEPT:
-                        known[p] = ids
+                        self._keep(known, p, ids)
         return b"".join(found)[len(self._line_end) :]
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import save, shared_dir
+from .common import by_bytes, save, shared_dir
 
 #: Lengths of the four values of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -66,9 +66,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = bpe.encoder(path).ids
+        encoder = bpe.encoder(path)
+        ids_of = encoder.ids
         part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in by_bytes(batches):
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(np.frombuffer(ids_of(text), "<u4"), np.uint32(end_id))
@@ -81,6 +82,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     yield _batches(rows, names, kinds)
                     rows, held = [], 0
             yield _batches(rows, names, kinds)
+        encoder.forget()
 
     sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return sorted_docs.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, ids binary")

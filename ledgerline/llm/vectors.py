@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, hot_keys, join_groups, repeats, save, spread_join
 
@@ -163,7 +164,7 @@ def _split_further(members: DataFrame, own: DataFrame, threshold: float, leaf: i
             splits = splits_of(p, small, margin_of(threshold, size))
             return pd.DataFrame({"label": [first["label"]], "size": [size], "leaf": [first["leaf"]], "splits": [splits]})
 
-        splits = save(sample.groupBy(*AT).applyInPandas(fit, "label int, size int, leaf long, splits array<double>"), "splits")
+        splits = save(sample.groupBy(*AT).applyInPandas(fit, "label long, size int, leaf long, splits array<double>"), "splits")
         rows = left.join(F.broadcast(splits), AT) if n <= MAX_BROADCAST_LEAVES else spread_join(left, splits, AT, hot)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ def _split_further(members: DataFrame, own: DataFrame, threshold: float, leaf: i
                     out = some[["vec_id", "label", "size", "tree", "leaf"]].iloc[at].assign(node=node)
                     yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-        fields = "vec_id long, label int, size int, tree int, leaf long"
+        fields = "vec_id long, label long, size int, tree int, leaf long"
         made = rows.join(own.select("vec_id", "v"), "vec_id").select("vec_id", "label", "size", "tree", "leaf", "splits", "v")
         made = save(made.mapInArrow(part, fields + ", node long"), "parts")
         done.append(made.filter("node = 0").drop("node"))  # no split parts these
@@ -190,10 +191,18 @@ def near_duplicates(
 
     Vectors of equal, non-null label and equal size link at cosine >= threshold, in double
     precision.  Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing.  Of rows with equal vec_id the least (label, embedding) counts; rows
+    with nothing.  Labels may be of any type that can be joined.  Of rows with equal vec_id the least (label, embedding) counts; rows
     without vec_id are left out.
     """
     rows = vectors.filter("vec_id is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    if isinstance(vectors.schema["label"].dataType, T.IntegralType):
+        rows = rows.withColumn("label", F.col("label").cast("long"))
+    else:  # labels of other types are told by a number each
+        numbers = save(rows.select("label").filter("label is not null").distinct().withColumn("number", F.monotonically_increasing_id()), "labels")
+        rows = rows.join(numbers, "label", "left").select("vec_id", F.col("number").alias("label"), "v")
+    # squares of very small or large components leave the range of doubles
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("v", F.when(largest.between(1e-100, 1e100) | ~(largest > 0) | ~(largest < float("inf")), F.col("v")).otherwise(F.transform("v", lambda x: x / largest)))
     if repeats(rows, "vec_id"):
         rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("s")).select("vec_id", "s.*")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -214,10 +223,10 @@ def near_duplicates(
                 at, leaves = forest.leaves(label, _unit(part["v"]))
                 bounds = np.searchsorted(at, np.arange(len(part) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaves, pa.int64()))
-                made = [pa.array(part["vec_id"]), pa.array(part["label"], pa.int32()), pa.array(np.full(len(part), size), pa.int32()), lists]
+                made = [pa.array(part["vec_id"]), pa.array(part["label"], pa.int64()), pa.array(np.full(len(part), size), pa.int32()), lists]
                 yield pa.record_batch(made, names=["vec_id", "label", "size", "leaves"])
 
-    placed = own.withColumn("label", F.col("label").cast("int")).mapInArrow(index, "vec_id long, label int, size int, leaves array<long>")
+    placed = own.mapInArrow(index, "vec_id long, label long, size int, leaves array<long>")
     placed = save(placed, "placed")
     members = placed.select("vec_id", "label", "size", F.explode("leaves").alias("leaf"))
     if not members.groupBy(*AT).count().filter(F.col("count") > 2 * leaf).isEmpty():

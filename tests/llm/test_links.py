@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -502,3 +503,28 @@ def test_slices_by_bytes_of_text():
     parts = list(common.by_bytes(iter([batch, batch.slice(0, 0)]), size=8))
     assert [t for p in parts for t in p.column("text").to_pylist()] == texts
     assert [p.num_rows for p in parts] == [3, 1, 3]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_vectors_with_labels_of_any_type_and_far_norms(spark, kind):
+    label = lambda k: k + (1 << 40) if kind == "long" else f"label {k}"
+    rows = [(1, [1e-170, 2e-170], 0), (2, [1e160, 2e160], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0), (5, [3.0, 6.0], 1), (6, [1e-170, 2.1e-170], 1), (7, [1.0, 2.0], None)]
+    table = spark.createDataFrame([(i, v, None if k is None else label(k)) for i, v, k in rows], f"vec_id long, embedding array<double>, label {kind}")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(table).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True)}
+
+
+def test_vectors_in_many_leaves_on_the_given_table(spark):
+    """A leaf far below a label's rows: splits decide which vectors meet, with nearly all links found."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.filter("label is not null and embedding is not null").collect()
+    links = Counter()
+    for label in {r.label for r in rows}:
+        own = [r for r in rows if r.label == label]
+        x = np.array([r.embedding for r in own], float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near = x @ x.T >= 0.98
+        np.fill_diagonal(near, False)
+        links.update({r.vec_id: int(n) for r, n in zip(own, near.sum(axis=1), strict=True) if n})
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table, leaf=16).collect() if r.n_links}
+    assert all(n <= links[i] for i, n in got.items()) and sum(got.values()) >= 0.98 * sum(links.values()) > 0

@@ -80,3 +80,30 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
     want = [(1, a), (1, b), (2, c + " more"), (None, "no copy of any other text"), (3, None), (3, None), (None, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def write_tables(spark, folder, items, labels=()):
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality long").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_decontamination_with_repeated_and_null_ids(spark, tmp_path):
+    item = " ".join(f"secret{i}" for i in range(25))
+    write_tables(spark, tmp_path, [(1, item)])
+    rows = [(1, "before " + item), (1, "clean"), (None, item), (None, "clean too"), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(1, "clean", "x"), (None, "clean too", "x"), (2, None, "x"), (2, "", "x")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_stages_on_an_empty_table_and_without_labels(spark, tmp_path):
+    write_tables(spark, tmp_path, [(1, " ".join(f"w{i}" for i in range(25)))])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.save(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.count() == 0 and (name == "packing" or docs.columns == [c.split()[0] for c in schema.split(", ")])
+    some = spark.createDataFrame([(1, "no label says what this is", "en", "s", 26)], schema)
+    assert corpus_pipeline.keep_good(spark, some, str(tmp_path)).count() == 1

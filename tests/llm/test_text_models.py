@@ -83,6 +83,55 @@ def test_packing(spark, odd_docs, tokenizer):
         assert {p.padded_to for p in pieces} == {total if total & (total - 1) == 0 else 64}
 
 
+@pytest.mark.parametrize("length", [683, 600, 513, 1025, 1024, 2047, 5])
+def test_equal_lengths_leave_little_room(length):
+    lengths = [length] * 200
+    found = packing.divide(lengths, 2048, 682)
+    assert max(total for total, _ in found) <= 2048 and sum(total for total, _ in found) == sum(lengths)
+    assert len(found) <= -(-sum(lengths) // 2048) + 1
+    own = sorted(p for _, pieces in found for p in pieces)
+    for i in range(200):
+        at = 0
+        for _, start, n in (p for p in own if p[0] == i):
+            assert start == at and n > 0
+            at += n
+        assert at == length
+
+
+def test_whole_table_as_the_tokenizer_has_it(spark, sf_dir, tokenizer):
+    """op2 and op8 over all documents: every id once and in order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: np.array(expected_ids(tokenizer, r.text, 1), "<u4") for r in docs}
+    used = {}
+    for r in queries.op2_pack_sequences(spark, sf_dir).collect():
+        ids = want[r.doc_id]
+        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
+        used.setdefault(r.doc_id, []).append((r.start, r.length))
+    for doc_id, ids in want.items():
+        at = 0
+        for start, length in sorted(used[doc_id]):
+            assert start == at
+            at += length
+        assert at == len(ids)
+    start = 0
+    got = {r.doc_id: r for r in queries.op8_token_files(spark, sf_dir).collect()}
+    for doc_id in sorted(want):
+        ids = np.append(want[doc_id][:-1], np.uint32(0)).astype("<u4")
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_encoder_holds_a_bounded_number_of_bytes(tokenizer):
+    e = bpe.Encoder(bpe.default_path(), 5_000)
+    for i in range(40):
+        text = " ".join(f"word{i}x{j}!" for j in range(30))
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, (e._known, e._older, e._marks))) * bpe.OVERHEAD < 40_000
+    e.forget()
+    assert not e._known and not e._older and not e._held
+
+
 def test_packing_pads_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
     total = packing.pack(docs).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
