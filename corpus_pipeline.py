@@ -15,9 +15,10 @@ from ledgerline.llm.queries import fold
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled quality classifier accepts."""
+    """Documents that the positive-unlabelled quality classifier accepts; all, where there is nothing trusted to learn from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.accepted(docs, quality.fit(docs, labels.filter(~fold())))
+    model = quality.fit(docs, labels.filter(~fold()))
+    return quality.accepted(docs, model) if model.weights.any() else docs
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,17 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return cut.select(*(n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
+def not_told_apart(docs: DataFrame) -> bool:
+    """Whether some doc_id is null or stands in several rows."""
+    return repeats(docs, "doc_id") or bool(docs.filter("doc_id is null").limit(1).count())
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
 
     Rows with equal or null doc_id are documents of their own, those without id after all others.
     """
-    if repeats(docs, "doc_id") or docs.filter("doc_id is null").limit(1).count():
+    if not_told_apart(docs):
         rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
         rows = save(rows, "rows")
         found = jaccard.join(rows.select(F.col("__row").alias("doc_id"), "text"), size=5, percent=80)
@@ -43,8 +49,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a passage of a benchmark item go; rows with equal or null doc_id are judged one by one."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    if not_told_apart(docs):
+        rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        found = decontaminate.overlaps(rows.select(F.col("__row").alias("doc_id"), "text"), items)
+        gone = found.select(F.col("doc_id").alias("__row")).distinct()
+        return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    found = decontaminate.overlaps(docs, items)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
