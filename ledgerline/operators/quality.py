@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .validate import missing
+from .validate import missing, named, quoted
 
 Rule = dict
 
@@ -57,7 +57,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def out_of_range(c: str, lo: float | None, hi: float | None) -> Column:
     """Below lo or above hi; missing values are neither."""
     bad = F.lit(False)
-    value = F.col(c).cast("double")
+    value = named(c).cast("double")
     if lo is not None:
         bad = bad | (value < lo)
     if hi is not None:
@@ -75,13 +75,13 @@ def violates(rule: Rule) -> Column:
     if rule["rule"] == "between":
         return out_of_range(c, rule.get("min"), rule.get("max"))
     if rule["rule"] == "in":
-        return ~F.coalesce(F.col(c).isin(*rule["values"]), F.lit(False))
+        return ~F.coalesce(named(c).isin(*rule["values"]), F.lit(False))
     raise KeyError(rule["rule"])
 
 
 def breaks(left: str, op: str, right: str) -> Column:
     """True where a comparison doesn't hold or a side is missing."""
-    a, b = F.col(left), F.col(right)
+    a, b = named(left), named(right)
     holds = {">=": a >= b, "<=": a <= b, ">": a > b, "<": a < b}[op]
     return missing(left) | missing(right) | ~F.coalesce(holds, F.lit(False))
 
@@ -105,10 +105,10 @@ def counts(df: DataFrame, p: Profile, by: list[str]) -> DataFrame:
     rules, _ = _rule_columns(df, p)
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     # as SQL texts, since a wide table has hundreds of them
-    null = lambda c: f"(`{c}` is null or isnan(`{c}`))" if c in floating else f"(`{c}` is null)"
+    null = lambda c: f"({quoted(c)} is null or isnan({quoted(c)}))" if c in floating else f"({quoted(c)} is null)"
     any_of = lambda xs: " or ".join([*xs, "false"])
-    zero = lambda c: f"coalesce(`{c}` = 0, false)"
-    infinite = lambda c: f"({null(c)} or abs(cast(`{c}` as double)) = double('infinity'))"
+    zero = lambda c: f"coalesce({quoted(c)} = 0, false)"
+    infinite = lambda c: f"({null(c)} or abs(cast({quoted(c)} as double)) = double('infinity'))"
     null_key = any_of(null(k) for k in [*by, *p.keys] if k in df.columns)
     marked = df.withColumns({f"__r{i}": v for i, v in enumerate(rules.values())})
     exprs = {("size", "rows"): "count(*)", ("size", "rows_with_nulls"): f"count_if({any_of(map(null, data))})"}
@@ -120,44 +120,82 @@ def counts(df: DataFrame, p: Profile, by: list[str]) -> DataFrame:
     exprs |= {("keys", "null_key_rows"): f"count_if({null_key})"}
     exprs |= {("rules", "rows_with_violations"): f"count_if({any_of([null_key, *(f'__r{i}' for i in range(len(rules)))])})"}
     kinds = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-    exprs |= {(f"summary:{c}", n): f"{f}(case when not {null(c)} then cast(`{c}` as double) end)" for c in numeric for n, f in kinds.items()}
+    exprs |= {(f"summary:{c}", n): f"{f}(case when not {null(c)} then cast({quoted(c)} as double) end)" for c in numeric for n, f in kinds.items()}
     return _long(marked, exprs, by)
 
 
+def _text(value: str) -> str:
+    """A text in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _long(df: DataFrame, exprs: dict[tuple[str, str], str], by: list[str]) -> DataFrame:
     """One aggregation of SQL texts, its values as rows."""
-    agg = df.groupBy(*by).agg(*(F.expr(f"cast({e} as double) as m{i}") for i, e in enumerate(exprs.values())))
-    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(f"{quoted(s)}, {quoted(n)}, m{i}" for i, (s, n) in enumerate(exprs))
-    return agg.select(*by, F.expr(f"stack({len(exprs)}, {rows}) as (section, name, value)"))
+    keys = [named(c) for c in by]
+    agg = df.groupBy(*keys).agg(*(F.expr(f"cast({e} as double) as m{i}") for i, e in enumerate(exprs.values())))
+    rows = ", ".join(f"{_text(s)}, {_text(n)}, m{i}" for i, (s, n) in enumerate(exprs))
+    return agg.select(*keys, F.expr(f"stack({len(exprs)}, {rows}) as (section, name, value)"))
+
+
+#: A column of a group with more values has its quartiles found in brackets; rank error of the sketch that proposes them.
+SMALL, ACCURACY = 10_000, 10_000
+#: Groups up to which their brackets are broadcast; beyond, the join is Spark's to plan.
+MAX_BROADCAST_GROUPS = 100_000
 
 
-def quartiles(df: DataFrame, by: list[str]) -> DataFrame:
+def quartiles(df: DataFrame, by: list[str], small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
     """Exact quartiles of numeric columns, between neighbours where a rank falls between them.
 
-    Equal values are counted first, and ranks are running sums of the counts: nothing is held in memory.
+    Distributed selection: a mergeable sketch brackets each quartile of each column, values below a bracket are
+    counted and only those within it are ranked, so that no task orders a column.  Up to `small` values a bracket holds all.
+    A bracket that the exact counts contradict is an error.
     """
     numeric = [c for c in numeric_columns(df) if c not in by]
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    value = lambda c: f"cast(nanvl(`{c}`, null) as double)" if c in floating else f"cast(`{c}` as double)"
-    cells = F.expr(f"stack({len(numeric)}, " + ", ".join(f"'{c}', {value(c)}" for c in numeric) + ") as (c, x)")
-    values = df.select(*by, cells).filter("x is not null").groupBy(*by, "c", "x").count()
-    column = Window.partitionBy(*by, "c")
-    values = values.withColumn("upto", F.sum("count").over(column.orderBy("x"))).withColumn("n", F.sum("count").over(column))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
-    rank = {q: (F.col("n") - 1) * (q / 100) for q in (25, 50, 75)}
-    ends = [x for q, r in rank.items() for x in (at(F.floor(r)).alias(f"lo{q}"), at(F.ceil(r)).alias(f"hi{q}"), F.max(r - F.floor(r)).alias(f"part{q}"))]
-    found = values.groupBy(*by, "c").agg(*ends)
-    between = lambda q: F.col(f"lo{q}") + (F.col(f"hi{q}") - F.col(f"lo{q}")) * F.col(f"part{q}")
-    rows = F.explode(F.array(*(F.struct(F.lit(f"{q}%").alias("name"), between(q).alias("value")) for q in rank)))
-    return found.select(*by, F.concat(F.lit("summary:"), "c").alias("section"), rows.alias("r")).select(*by, "section", "r.*")
+    value = lambda c: f"cast(nanvl({quoted(c)}, null) as double)" if c in floating else f"cast({quoted(c)} as double)"
+    entries = F.expr(f"stack({len(numeric)}, " + ", ".join(f"{_text(c)}, {value(c)}" for c in numeric) + ") as (__c, __x)")
+    keys = [*(named(c) for c in by), F.col("__c")]
+    cells = df.select(*keys[:-1], entries).filter("__x is not null")
+    off = 5 / accuracy
+    ends = F.percentile_approx("__x", [q / 100 + side * off for q in (25, 50, 75) for side in (-1, 1)], accuracy)
+    stats = cells.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), ends.alias("__p"))
+    wide = F.array(F.struct("lo", "hi"))
+    narrow = F.array(*(F.struct(F.col("__p")[2 * i].alias("lo"), F.col("__p")[2 * i + 1].alias("hi")) for i in range(3)))
+    stats = stats.select(*keys, "__n", F.when(F.col("__n") <= small, wide).otherwise(narrow).alias("__brackets"))
+    few = df.select(*keys[:-1]).distinct().count() <= MAX_BROADCAST_GROUPS
+    names = [*by, "__c"]
+    stats = stats.toDF(*(f"__k{i}" for i in range(len(names))), "__n", "__brackets")
+    same = [named(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+    rows = cells.join(F.broadcast(stats) if few else stats, same)
+    rows = rows.select(*keys, "__n", F.posexplode("__brackets").alias("__b", "__r"), "__x").filter("__x <= __r.hi")
+    within = F.when(F.col("__x") >= F.col("__r.lo"), F.col("__x"))  # null for what is below
+    values = rows.groupBy(*keys, "__n", "__b", within.alias("__v")).count()
+    bracket = Window.partitionBy(*keys, "__b").orderBy(F.col("__v").asc_nulls_first())
+    values = values.withColumn("__upto", F.sum("count").over(bracket))
+    rank = {q: (F.col("__n") - 1) * (q / 100) for q in (25, 50, 75)}
+    at = lambda i: F.min(F.when(F.col("__upto") > i, F.col("__v")))
+    # the highest count below that a rank's bracket may have; a rank at or under it would be outside
+    below = F.coalesce(F.max(F.when(F.col("__v").isNull(), F.col("__upto"))), F.lit(0)).alias("below")
+    ends = [x for q, r in rank.items() for x in (at(F.floor(r)).alias(f"lo{q}"), at(F.ceil(r)).alias(f"hi{q}"))]
+    found = values.groupBy(*keys, "__n", "__b").agg(below, *ends)
+
+    def between(q: int) -> Column:
+        fine = (F.col("below") <= F.floor(rank[q])) & F.col(f"hi{q}").isNotNull()
+        part = rank[q] - F.floor(rank[q])
+        exact = F.col(f"lo{q}") + (F.col(f"hi{q}") - F.col(f"lo{q}")) * part
+        return F.when(fine, exact).otherwise(F.raise_error(F.lit(f"the bracket of the {q} % quantile does not hold it")).cast("double"))
+
+    serves = lambda i: (F.col("__n") <= small) | (F.col("__b") == i)
+    structs = [F.when(serves(i), F.struct(F.lit(f"{q}%").alias("name"), between(q).alias("value"))) for i, q in enumerate(rank)]
+    section = F.concat(F.lit("summary:"), "__c").alias("section")
+    return found.select(*keys[:-1], section, F.explode(F.array_compact(F.array(*structs))).alias("r")).select(*keys[:-1], "section", "r.*")
 
 
 def duplicates(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Rows after the first of each key (of equal rows, without keys); nulls are equal."""
     keys = [k for k in keys if k in df.columns and k not in by] or [c for c in df.columns if c not in by]
-    sizes = df.groupBy(*by, *keys).count()
-    return _long(sizes, {("keys", "duplicate_rows"): "sum(`count` - 1)"}, by)
+    sizes = df.groupBy(*map(named, [*by, *keys])).agg(F.count("*").alias("__count"))
+    return _long(sizes, {("keys", "duplicate_rows"): "sum(__count - 1)"}, by)
 
 
 def calendar(df: DataFrame, date: str, by: list[str], business_days: bool) -> DataFrame:
@@ -165,8 +203,9 @@ def calendar(df: DataFrame, date: str, by: list[str], business_days: bool) -> Da
 
     One table of days: what concerns a whole group stands at its first day.
     """
-    days = df.groupBy(*by, F.to_date(date).alias("d")).count()
-    order, whole = Window.partitionBy(*by).orderBy(F.col("d").asc_nulls_last()), Window.partitionBy(*by)
+    keys = [named(c) for c in by]
+    days = df.groupBy(*keys, F.to_date(named(date)).alias("d")).count()
+    order, whole = Window.partitionBy(*keys).orderBy(F.col("d").asc_nulls_last()), Window.partitionBy(*keys)
     days = days.withColumns({"gap": F.datediff("d", F.lag("d").over(order)), "k": F.row_number().over(order)})
     over = F.when(F.col("gap") > 1, F.col("gap"))
     group = {"gaps": F.count(over), "largest_gap": F.max(over), "first_day": F.min("d"), "last_day": F.max("d"), "seen": F.count_if((F.weekday("d") < 5) | F.lit(not business_days) & F.col("d").isNotNull())}
@@ -180,8 +219,8 @@ def calendar(df: DataFrame, date: str, by: list[str], business_days: bool) -> Da
     known = [entry("per_day", F.col("d"), F.col("count")), entry("per_weekday", F.weekday("d"), F.col("count")), entry("per_year", F.year("d"), F.col("count"))]
     first = F.array(*(entry("dates", n, x) for n, x in once.items()))
     entries = F.when(F.col("d").isNull(), F.array(unread)).when(F.col("k") == 1, F.concat(F.array(unread, *known), first)).otherwise(F.array(unread, *known))
-    rows = days.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
-    return rows.groupBy(*by, "section", "name").agg(F.sum("value").alias("value"))
+    rows = days.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    return rows.groupBy(*keys, "section", "name").agg(F.sum("value").alias("value"))
 
 
 def _business(day: Column) -> Column:
@@ -226,6 +265,12 @@ def report(df: DataFrame, profile: Profile | str, by: tuple[str, ...] = ("asset_
         parts.append(quartiles(df, by))
     if p.date in df.columns:
         parts.append(calendar(df, p.date, by, p.business_days))
+    return reduce(DataFrame.unionByName, [*parts, schema_rows(df, p, by)])
+
+
+def schema_rows(df: DataFrame, profile: Profile | str, by: tuple[str, ...] | list[str] = ("asset_id",)) -> DataFrame:
+    """What a report says of the table's columns, without its rows; the group's columns are null."""
+    p = PROFILES[profile] if isinstance(profile, str) else profile
     _, absent = _rule_columns(df, p)
     absent += [k for k in p.keys if k not in df.columns]
     head = [("schema", "columns", float(len(df.columns)))] + [("column", c, float(i)) for i, c in enumerate(df.columns)]
@@ -233,8 +278,7 @@ def report(df: DataFrame, profile: Profile | str, by: tuple[str, ...] = ("asset_
     wrong = dtype_mismatches(df, p.dtypes)
     head += [("dtype", f"{c} {p.dtypes[c]}", float(c in wrong)) for c in p.dtypes if c in df.columns]
     head = df.sparkSession.createDataFrame(head, "section string, name string, value double")
-    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by]
-    return reduce(DataFrame.unionByName, [*parts, head.select(*none, "*")])
+    return head.select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by), "*")
 
 
 def report_json(rows: DataFrame, by: tuple[str, ...] = ("asset_id",)) -> DataFrame:

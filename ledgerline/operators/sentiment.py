@@ -24,6 +24,31 @@ def daily_sentiment(scored: DataFrame) -> DataFrame:
     )
 
 
+def daily_moments(scored: DataFrame) -> DataFrame:
+    """Count, mean and sum of squared deviations by asset and UTC day: parts that merged_moments() adds up."""
+    n = F.count("sentiment_score")
+    found = scored.groupBy("asset_id", times.day_of(F.col("published_at")).alias("day"))
+    return found.agg(n.alias("n"), F.avg("sentiment_score").alias("mean"), (F.var_pop("sentiment_score") * n).alias("m2")).filter("n > 0")
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """One row a day of several parts, in any order: pairwise merging of means and squares, stable for close values."""
+    some = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))  # a part a batch
+
+    def add(a: F.Column, b: F.Column) -> F.Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+
+    both = parts.groupBy("asset_id", "day").agg(some.alias("p"))
+    rest = F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))
+    return both.select("asset_id", "day", F.aggregate(rest, F.col("p")[0], add).alias("m")).select("asset_id", "day", "m.*")
+
+
+def sentiment_of(moments: DataFrame) -> DataFrame:
+    """Daily sentiment of moments: the table that daily_sentiment() gives of all their articles."""
+    return moments.select("asset_id", "day", F.col("mean").alias("sentiment_score"), F.col("n").alias("n_articles"), F.sqrt(F.col("m2") / F.col("n")).alias("sentiment_std"))
+
+
 def checksum_scorer() -> Scorer:
     """A deterministic scorer for tests and dry runs: the text's digest spread over [-1, 1]."""
     return lambda batch: [int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 2001 / 1000 - 1 for t in batch]
@@ -82,7 +107,7 @@ def unscored(news: DataFrame, scored: DataFrame) -> DataFrame:
     return todo.withColumn("text", texts.scoring_text(F.col("headline"), F.col("summary")))
 
 
-def score_news(news: DataFrame, scored: DataFrame, factory: Callable[[], Scorer] = checksum_scorer, model_name: str = "checksum") -> DataFrame:
+def score_news(news: DataFrame, scored: DataFrame, factory: Callable[[], Scorer], model_name: str) -> DataFrame:
     """Rows to add to the scored table: only news that isn't in it."""
     columns = ("asset_id", "article_id", "published_at", "text")
     return score_text(unscored(news, scored).select(*columns), factory, model_name=model_name).drop("text")

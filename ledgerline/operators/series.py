@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import INDICATORS
+
 ASSET, TS = "asset_id", "ts"
-#: Rows that one block of a recurrence holds; (1 - alpha)^-BLOCK must stay within double range.
+#: Rows that one block of a recurrence holds, fewer for alpha near 1.
 BLOCK = 256
 
 
@@ -18,17 +20,19 @@ def by_time(asset: str = ASSET, ts: str = TS):
     return Window.partitionBy(asset).orderBy(ts)
 
 
-def next_log_return(df: DataFrame, price: str = "close", name: str = "target_return") -> DataFrame:
-    return df.withColumn(name, F.ln(F.lead(price).over(by_time()) / F.col(price)))
+def next_log_return(df: DataFrame, price: str = "close", name: str = "target_return", window=None) -> DataFrame:
+    """Null where a price is missing, zero or of another sign than the next one."""
+    ratio = F.try_divide(F.lead(price).over(window or by_time()), F.col(price))
+    return df.withColumn(name, F.when(ratio > 0, F.ln(ratio)))
 
 
-def percent_change(df: DataFrame, value: str = "close", name: str = "change") -> DataFrame:
-    return df.withColumn(name, F.try_divide(F.col(value), F.lag(value).over(by_time())) - 1)
+def percent_change(df: DataFrame, value: str = "close", name: str = "change", window=None) -> DataFrame:
+    return df.withColumn(name, F.try_divide(F.col(value), F.lag(value).over(window or by_time())) - 1)
 
 
-def rolling_std(df: DataFrame, value: str, name: str, rows: int = 20) -> DataFrame:
+def rolling_std(df: DataFrame, value: str, name: str, rows: int = 20, window=None) -> DataFrame:
     """Sample deviation of the last `rows` values; null until there are as many."""
-    w = by_time().rowsBetween(1 - rows, 0)
+    w = (window or by_time()).rowsBetween(1 - rows, 0)
     return df.withColumn(name, F.when(F.count(value).over(w) == rows, F.stddev_samp(value).over(w)))
 
 
@@ -41,6 +45,15 @@ def duplicate_times(df: DataFrame) -> DataFrame:
     return df.groupBy(ASSET, TS).count().filter("count > 1")
 
 
+def rising_times(df: DataFrame) -> DataFrame:
+    """df that fails when a row is computed whose asset has another one at its time, or that has no time."""
+    w = by_time()
+    fine = F.col(TS).isNotNull() & F.coalesce(F.lag(TS).over(w) < F.col(TS), F.row_number().over(w) == 1)
+    checked = df.withColumn("__fine", fine)
+    stop = F.raise_error(F.concat(F.lit("several bars at one time: "), F.coalesce(F.col(ASSET), F.lit("")), F.lit(" "), F.coalesce(F.col(TS).cast("string"), F.lit("none"))))
+    return checked.filter(F.when(F.col("__fine"), F.lit(True)).otherwise(stop)).drop("__fine")
+
+
 def sequence_blocks(df: DataFrame, keys: list[str], pos: str, n: int, value: str = "value", head: int = 0, tail: int = 0) -> DataFrame:
     """Consecutive rows in blocks of n as arrays, after trimming; an incomplete block is dropped."""
     total = F.count("*").over(Window.partitionBy(*keys))
@@ -65,6 +78,33 @@ class Ema:
         return Ema(name, value, length, 2 / (length + 1), first)
 
 
+def block_of(alpha: float) -> int:
+    """Rows of a block, so that (1 - alpha) to their power stays far within the range of doubles."""
+    return BLOCK if alpha >= 1 else max(1, min(BLOCK, int(600 / -math.log1p(-alpha))))
+
+
+def reach(r: float, rows: int) -> int:
+    """How many runs of so many rows back a value can matter in double precision, decaying by r a row."""
+    return max(1, math.ceil(40 / (-math.log(r) * rows)))
+
+
+def carried(rows: DataFrame, ends: dict[str, tuple[str, float, int]], window, distance: int) -> DataFrame:
+    """rows with the sum, for each name: (column, decay, steps), of the column one row back and then every `distance` rows, fading by decay.
+
+    A few steps are added up at once; many by doubling, each sum with the one that ends where it begins.
+    """
+    few = {n: e for n, e in ends.items() if e[2] <= 32}
+    sums = {n: reduce(lambda a, b: a + b, [F.coalesce(F.lag(c, 1 + k * distance).over(window), F.lit(0.0)) * decay**k for k in range(steps)]) for n, (c, decay, steps) in few.items()}
+    sums |= {n: F.coalesce(F.lag(c, 1).over(window), F.lit(0.0)) for n, (c, _, _) in ends.items() if n not in few}
+    rows = rows.withColumns(sums) if sums else rows
+    reached = 1
+    while longer := {n: e for n, e in ends.items() if n not in few and reached < e[2]}:
+        before = lambda n: F.coalesce(F.lag(n, reached * distance).over(window), F.lit(0.0))  # noqa: B023, E731
+        rows = rows.withColumns({n: F.col(n) + before(n) * e[1] ** reached for n, e in longer.items()})
+        reached *= 2
+    return rows
+
+
 def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
     """All recurrences in one blocked scan; df keeps its rows and columns.
 
@@ -72,12 +112,16 @@ def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
     is the weighted sum of earlier blocks' last values, of as many as can matter in double
     precision: at a block's first row they stand at fixed distances.  All windows are by asset, so
     the rows are shuffled once and joined with nothing.  Values are null before their seed's row,
-    and from the first null value on, as in the recurrence itself.  With alpha 1 the value stands for itself.
+    and from the first null value on, as in the recurrence itself.  Any alpha in (0, 1] will do; with 1 the
+    value stands for itself.
     """
+    if not all(0 < s.alpha <= 1 for s in specs):
+        raise ValueError("alpha must be above 0 and at most 1")
+    size = min(block_of(s.alpha) for s in specs)
     order = Window.partitionBy(ASSET).orderBy("__rn")
     rows = df.withColumn("__rn", F.row_number().over(by_time()) - 1)
-    rows = rows.withColumn("__block", F.floor(F.col("__rn") / BLOCK)).withColumn("__j", F.col("__rn") % BLOCK)
-    put, z, first, carry, out = {}, {}, {}, {}, {}
+    rows = rows.withColumn("__block", F.floor(F.col("__rn") / size)).withColumn("__j", F.col("__rn") % size)
+    put, z, ends, carry, out = {}, {}, {}, {}, {}
     inner = Window.partitionBy(ASSET, "__block").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     for s in specs:
@@ -92,13 +136,13 @@ def ema_family(df: DataFrame, specs: list[Ema]) -> DataFrame:
         put[f"__b_{s.name}"] = F.when(F.col("__rn") < seed, 0.0).when(F.col("__rn") == seed, mean).otherwise(s.alpha * F.col(s.value))
         scaled = F.col(f"__b_{s.name}") * F.pow(F.lit(r), -F.col("__j"))
         z[f"__z_{s.name}"] = F.pow(F.lit(r), F.col("__j")) * F.coalesce(F.sum(scaled).over(inner), F.lit(0.0))
-        decay = r**BLOCK
-        back = max(1, math.ceil(40 / -math.log(decay)))
-        ends = [F.coalesce(F.lag(f"__z_{s.name}", 1 + k * BLOCK).over(order), F.lit(0.0)) * decay**k for k in range(back)]
-        first[f"__f_{s.name}"] = F.when(F.col("__j") == 0, reduce(lambda a, b: a + b, ends))
-        carry[f"__c_{s.name}"] = F.first(f"__f_{s.name}", ignorenulls=True).over(inner)
+        ends[f"__f_{s.name}"] = (f"__z_{s.name}", r**size, reach(r, size))
+        carry[f"__c_{s.name}"] = F.first(F.when(F.col("__j") == 0, F.col(f"__f_{s.name}")), ignorenulls=True).over(inner)
         out[s.name] = F.when(fine, F.pow(F.lit(r), F.col("__j") + 1) * F.col(f"__c_{s.name}") + F.col(f"__z_{s.name}"))
-    for columns in (put, z, first, carry, out):
+    for columns in (put, z):
+        rows = rows.withColumns(columns) if columns else rows
+    rows = carried(rows, ends, order, size)
+    for columns in (carry, out):
         rows = rows.withColumns(columns) if columns else rows
     return rows.select(*df.columns, *(s.name for s in specs))
 
@@ -109,18 +153,28 @@ def indicators(candles: DataFrame) -> DataFrame:
     Rows before all of them exist are dropped, and so are rows where a flat series leaves one undefined.
     """
     c = candles.select(ASSET, TS, *(F.col(x).cast("double").alias(x) for x in ("open", "high", "low", "close")))
-    delta = F.col("close") - F.lag("close").over(by_time())
+    c = first_differences(c, by_time())
+    c = ema_family(c, INDICATOR_SPECS).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+    c = ema_family(c, [SIGNAL_SPEC])
+    return finished(c).select(ASSET, TS, *INDICATORS).na.drop("any")
+
+
+INDICATOR_SPECS = [Ema.of(f"ema_{n}", "close", n) for n in (10, 12, 26, 50, 100, 200)]
+INDICATOR_SPECS += [Ema("__g", "__gain", 14, 1 / 14, 1), Ema("__l", "__loss", 14, 1 / 14, 1)]
+SIGNAL_SPEC = Ema.of("macd_signal", "macd", 9, 25)
+
+
+def first_differences(c: DataFrame, window) -> DataFrame:
+    """What needs frames of prices: gains, losses and volatility."""
+    delta = F.col("close") - F.lag("close").over(window)
     c = c.withColumn("__gain", F.greatest(delta, F.lit(0.0))).withColumn("__loss", F.greatest(-delta, F.lit(0.0)))
-    c = rolling_std(percent_change(c, "close", "__change"), "__change", "volatility_20d")
-    specs = [Ema.of(f"ema_{n}", "close", n) for n in (10, 12, 26, 50, 100, 200)]
-    specs += [Ema("__g", "__gain", 14, 1 / 14, 1), Ema("__l", "__loss", 14, 1 / 14, 1)]
-    c = ema_family(c, specs).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    c = ema_family(c, [Ema.of("macd_signal", "macd", 9, 25)])
-    c = c.withColumn("rsi_14", 100 * F.try_divide(F.col("__g"), F.col("__g") + F.col("__l")))
-    c = c.withColumn("candle_range", F.col("high") - F.col("low")).withColumn("candle_body", F.abs(F.col("close") - F.col("open")))
-    from ..schemas import INDICATORS
+    return rolling_std(percent_change(c, "close", "__change", window), "__change", "volatility_20d", 20, window)
 
-    return c.select(ASSET, TS, *INDICATORS).na.drop("any")
+
+def finished(c: DataFrame) -> DataFrame:
+    """What needs no other row: RSI of the smoothed gains and losses, range and body."""
+    c = c.withColumn("rsi_14", 100 * F.try_divide(F.col("__g"), F.col("__g") + F.col("__l")))
+    return c.withColumns({"candle_range": F.col("high") - F.col("low"), "candle_body": F.abs(F.col("close") - F.col("open"))})
 
 
 def fit_scaler(df: DataFrame, features: list[str], fit_until=None) -> DataFrame:

@@ -9,9 +9,18 @@ from pyspark.sql import types as T
 from ..functions import texts
 
 
+def quoted(c: str) -> str:
+    """A column name in SQL: dots and backticks in it count as characters."""
+    return "`" + c.replace("`", "``") + "`"
+
+
+def named(c: str) -> Column:
+    return F.col(quoted(c))
+
+
 def missing(c: str) -> Column:
     """Null, or NaN on floating columns."""
-    return F.col(c).isNull() | (F.typeof(F.col(c)).isin("float", "double") & (F.col(c).cast("string") == "NaN"))
+    return named(c).isNull() | (F.typeof(named(c)).isin("float", "double") & (named(c).cast("string") == "NaN"))
 
 
 def blank(c: str) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import times
 from ..operators import keys, sentiment, series
+from ..sources import tables
 
 
 def training_table(
@@ -19,7 +20,8 @@ def training_table(
 
     Bars are cut to the range first, so an asset's last bar in it has no target and goes.  Days without
     news keep nulls.  Reports with fiscal dates within the range (less lookback_days) join from the
-    day they are known; of equal days the later fiscal date, then the quarterly report counts.
+    day they are known; of equal days the later fiscal date, then the quarterly report counts.  Several bars of an
+    asset at one time are an error when the table is computed.
     """
     ts = F.col("ts")
     bars = candles.filter((ts >= F.lit(start)) & times.before_day_end(ts, F.lit(end)))
@@ -33,13 +35,11 @@ def training_table(
     reports = reports.withColumn("known_from", times.effective_day(F.col("reported_date"), F.col("fiscal_date_end")))
     out = series.asof_backward(out, reports, "date", "known_from", list(schemas.MEASURES), ["fiscal_date_end", "report_type"]).drop("date")
     out = out.withColumn("day_of_week", times.day_of_week(ts)).withColumn("month", times.month(ts))
-    return series.time_index(series.next_log_return(out).na.drop(subset=["target_return"]))
+    return series.time_index(series.next_log_return(series.rising_times(out)).na.drop(subset=["target_return"]))
 
 
 def checked_training_table(candles: DataFrame, *args, **options) -> DataFrame:
-    """training_table() after checks that need an action: unique times, at least two bars an asset."""
-    if not series.duplicate_times(candles).isEmpty():
-        raise ValueError("an asset has several bars at one time")
+    """training_table() after a check that needs an action: some asset has two bars in the range."""
     out = training_table(candles, *args, **options)
     if out.isEmpty():
         raise ValueError("no asset has two bars in the range, so there is no target")
@@ -72,5 +72,32 @@ def sentiment_features(scored: DataFrame, stored_daily: DataFrame) -> DataFrame:
     return keys.upsert(stored_daily, fresh, ["asset_id", "day"])
 
 
+def ingest_news(spark: SparkSession, path: str, landing: DataFrame, staging: str) -> DataFrame:
+    """New landing rows merged into the stored news; returns them.  Nothing new changes nothing."""
+    stored = tables.scan(spark, path, schemas.NEWS)
+    fresh = tables.with_article_id(incremental_news(stored, landing))
+    if not fresh.isEmpty():
+        tables.merge(spark, path, fresh, schemas.NEWS, schemas.KEYS["news"], staging)
+    return fresh
+
+
+def score_stored_news(spark: SparkSession, news: DataFrame, path: str, factory, staging: str, model_name: str) -> None:
+    """News without a score in the stored table, scored and merged into it."""
+    fresh = sentiment.score_news(news, tables.scan(spark, path, schemas.SCORED_NEWS), factory, model_name)
+    tables.merge(spark, path, fresh.withColumn("ordinal", F.lit(0)), schemas.SCORED_NEWS, schemas.KEYS["scored_news"], staging)
+
+
+def add_scored_news(spark: SparkSession, path: str, scored: DataFrame, staging: str) -> None:
+    """Articles added to the stored moments of their days, however late; each article is to be added once.
+
+    A day's state is a count, a mean and a sum of squares, so its other articles are not read.
+    """
+    fresh = sentiment.daily_moments(scored)
+    stored = tables.scan(spark, path, schemas.DAILY_MOMENTS) if tables.exists(spark, path) else spark.createDataFrame([], schemas.DAILY_MOMENTS)
+    known = stored.join(fresh.select("asset_id", "day"), ["asset_id", "day"], "left_semi")
+    merged = sentiment.merged_moments(fresh.unionByName(known)).withColumn("ordinal", F.lit(0))
+    tables.merge(spark, path, merged, schemas.DAILY_MOMENTS, schemas.KEYS["daily_sentiment"], staging)
+
+
 def select_reports(reports: DataFrame, types: list[str], start: date, end: date) -> DataFrame:
     return reports.filter(F.col("report_type").isin(*types) & F.col("fiscal_date_end").between(F.lit(start), F.lit(end)))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import texts, times
-from ..operators import counters, datasets, keys, quality, sentiment, series, validate
-from ..sources import files, tables
+from ..operators import counters, datasets, keys, long_series, quality, sentiment, series, validate
+from ..sources import audits, files, tables
 from . import pipelines, sql, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,7 +135,36 @@ def q4_unscored_news(spark, sf_dir):
 def q4_scored_news(spark, sf_dir):
     """What has no score yet, scored by a Python model in bounded batches."""
     n = views.news(spark, sf_dir).withColumn("article_id", F.concat(F.lit("n"), F.col("ordinal").cast("string")))
-    return sentiment.score_news(n, views.scored_news(spark, sf_dir).filter("sentiment_score > 0.5"))
+    return sentiment.score_news(n, views.scored_news(spark, sf_dir).filter("sentiment_score > 0.5"), sentiment.checksum_scorer, "checksum")
+
+
+_SCORED_SQL = """SELECT asset_id, 'n' || ordinal AS article_id, published_at, v AS sentiment_score, abs(v) AS confidence, 'checksum' AS model_name FROM (
+  SELECT n.*, CAST('0x' || left(md5(CASE WHEN trim(headline) = '' AND trim(summary) = '' THEN ' '
+    ELSE concat_ws(' ', nullif(trim(headline), ''), nullif(trim(summary), '')) END), 6) AS BIGINT) % 2001 / 1000.0::DOUBLE - 1 AS v FROM news n)"""
+
+
+@register(sql.with_views(f"""
+    {_SCORED_SQL} WHERE 'n' || ordinal NOT IN (SELECT article_id FROM scored_news WHERE sentiment_score > 0.5)
+    UNION ALL SELECT * FROM scored_news WHERE sentiment_score > 0.5"""))
+def k3_scores_merged(spark, sf_dir):
+    """Q4 K3: what has no score yet, scored and merged into the stored scores."""
+    path, staging = scratch(spark, "scores"), scratch(spark, "staging")
+    n = views.news(spark, sf_dir).withColumn("article_id", F.concat(F.lit("n"), F.col("ordinal").cast("string")))
+    tables.write(views.scored_news(spark, sf_dir).filter("sentiment_score > 0.5"), path, schemas.SCORED_NEWS)
+    pipelines.score_stored_news(spark, n, path, sentiment.checksum_scorer, staging, "checksum")
+    return tables.scan(spark, path, schemas.SCORED_NEWS)
+
+
+@register(sql.with_views("SELECT asset_id, day, n_articles, round(sentiment_score, 12) AS sentiment_score, round(sentiment_std, 12) AS sentiment_std FROM daily"), days=("day",))
+def k4_late_news(spark, sf_dir):
+    """Articles in three batches, latest first, added to stored moments of their days."""
+    path, staging = scratch(spark, "moments"), scratch(spark, "staging")
+    scored = views.scored_news(spark, sf_dir).filter("sentiment_score between -1 and 1")
+    batch = F.pmod(F.xxhash64("article_id"), F.lit(3))
+    for k in (2, 0, 1):
+        pipelines.add_scored_news(spark, path, scored.filter(batch == k), staging)
+    daily = sentiment.sentiment_of(tables.scan(spark, path, schemas.DAILY_MOMENTS))
+    return daily.withColumns({c: F.round(c, 12) for c in ("sentiment_score", "sentiment_std")})
 
 
 @register(sql.with_views(f"SELECT asset_id, day, n_articles, {sql.rounded('sentiment_score', 'sentiment_std')} FROM daily"), days=("day",))
@@ -162,6 +191,32 @@ def q6_incremental_news(spark, sf_dir):
     return pipelines.incremental_news(n.filter(F.col("published_at") < F.lit(MID)), n).select("asset_id", "url", "ordinal", "published_at")
 
 
+@register(
+    sql.with_views("""
+    SELECT asset_id, id AS article_id, published_at, url FROM (
+      SELECT *, row_number() OVER (PARTITION BY asset_id, id ORDER BY fresh DESC, ordinal DESC) AS k FROM (
+        SELECT s.*, 0 AS fresh FROM stored s UNION ALL SELECT f.*, 1 FROM fresh f)) WHERE k = 1""",
+    more="""
+    named AS (SELECT *, coalesce(nullif(article_id, ''), nullif(url, '')) AS id FROM news WHERE coalesce(nullif(article_id, ''), nullif(url, '')) IS NOT NULL),
+    stored AS (SELECT asset_id, id, published_at, url, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, id ORDER BY ordinal DESC) AS k FROM named WHERE published_at < TIMESTAMP '1999-01-16') WHERE k = 1),
+    mark AS (SELECT asset_id, max(published_at) AS mark FROM stored GROUP BY 1),
+    fresh AS (
+      SELECT asset_id, id, published_at, url, ordinal FROM (
+        SELECT n.*, row_number() OVER (PARTITION BY n.url ORDER BY ordinal) AS k FROM named n JOIN mark USING (asset_id) WHERE n.published_at >= mark)
+      WHERE (url IS NULL OR k = 1) AND (url IS NULL OR (asset_id, url) NOT IN (
+        SELECT (s.asset_id, s.url) FROM stored s JOIN mark USING (asset_id) WHERE s.published_at >= mark - INTERVAL 1 DAY AND s.url IS NOT NULL)))""")
+)
+def q6_news_merged(spark, sf_dir):
+    """The new landing rows merged into the stored news, and the table read back; a second run adds nothing."""
+    path, staging = scratch(spark, "news"), scratch(spark, "staging")
+    n = tables.with_article_id(views.news(spark, sf_dir).filter("article_id is not null or url is not null"))
+    stored = keys.keep_last(n.filter(F.col("published_at") < F.lit(MID)), ["asset_id", "article_id"], ["ordinal"])
+    tables.write(stored, path, schemas.NEWS)
+    for _ in range(2):
+        pipelines.ingest_news(spark, path, n, staging)
+    return tables.scan(spark, path, schemas.NEWS).select("asset_id", "article_id", "published_at", "url")
+
+
 def _payloads(spark, sf_dir) -> DataFrame:
     """Statement payloads as JSON, made of the fundamentals."""
     f = views.fundamentals(spark, sf_dir)
@@ -195,7 +250,7 @@ def q8_candle_load(spark, sf_dir):
     landing = landing.withColumn("asset_id", texts.symbol(F.concat(F.lower("asset_id"), F.lit(".sa"))))
     path = scratch(spark, "candles")
     tables.write(files.landing_bars(landing), path, schemas.CANDLES, ("ts",))
-    df = tables.candles(spark, path)
+    df = tables.candles(spark, path, ordered=True)
     return df.filter((F.col("ts") >= F.lit(START)) & times.before_day_end(F.col("ts"), F.lit(END)))
 
 
@@ -316,6 +371,67 @@ def q11_audit(spark, sf_dir):
     return rounded(back.unionByName(spark.createDataFrame(there, columns)), "value")
 
 
+_CHANGED = "changed AS (SELECT * REPLACE (CASE WHEN asset_id = 'A2' THEN volume + 1 ELSE volume END AS volume) FROM candles)"
+
+
+@register(sql.with_views(f"""
+    SELECT asset_id, section, name, round(value, 6) AS value FROM ({sql.long_report('changed', 'asset_id', 'ts', ['ts'], _PRICES, _CANDLE_COLUMNS, _BELOW | _COMPARE, True, _CANDLE_COLUMNS, ('ts timestamp', 'close double', 'volume bigint'))})
+    UNION ALL SELECT 'A2', 'audited', 'again', 1.0""", more=_CHANGED))
+def q11_renewed_audit(spark, sf_dir):
+    """A stored table audited, one asset rewritten, and audited again by reading that asset only."""
+    path, state = scratch(spark, "audited"), scratch(spark, "audits")
+    c = views.candles(spark, sf_dir)
+    tables.write(c, path, None, ("ts",))
+    audits.audit_changed(spark, path, "candles", state)
+    tables.write(c.filter("asset_id = 'A2'").withColumn("volume", F.col("volume") + 1), path, None, ("ts",))
+    rows, again = audits.audit_changed(spark, path, "candles", state)
+    again = again.select("asset_id", F.lit("audited").alias("section"), F.lit("again").alias("name"), F.lit(1.0).alias("value"))
+    return rounded(rows.unionByName(again), "value")
+
+
+# one asset with most of all bars
+
+#: Rows of a piece in these queries; the default holds all bars of the given tables.
+SMALL_PIECE = 1_024
+_HOT_SQL = """hot AS (SELECT CASE WHEN asset_id = 'A0' THEN 'A0' ELSE 'HOT' END AS asset_id, ts + to_hours(CAST(right(asset_id, 1) AS INT)) AS ts,
+  open, high, low, "close", volume FROM candles)"""
+
+
+def _hot_asset() -> F.Column:
+    return F.when(F.col("asset_id") == "A0", "A0").otherwise("HOT")
+
+
+def _hot_candles(spark, sf_dir) -> DataFrame:
+    """Candles of which one asset has four fifths, its bars hours apart."""
+    hours = F.make_dt_interval(hours=F.right("asset_id", F.lit(1)).cast("int"))
+    return views.candles(spark, sf_dir).withColumn("ts", F.col("ts") + hours).withColumn("asset_id", _hot_asset())
+
+
+@register(f"WITH RECURSIVE {sql.VIEWS.strip()}, {_HOT_SQL}, {sql.INDICATORS.strip().replace('FROM candles', 'FROM hot')} SELECT asset_id, ts, {sql.rounded(*sql.NAMES)} FROM indicators")
+def w4_long_series(spark, sf_dir):
+    """Indicators in pieces of a series, recurrences composed over the pieces."""
+    return rounded(long_series.indicators(_hot_candles(spark, sf_dir), SMALL_PIECE), *sql.NAMES)
+
+
+@register(sql.with_views('SELECT asset_id, ts, row_number() OVER w - 1 AS time_idx, round(ln(lead("close") OVER w / "close"), 6) AS target_return FROM hot WINDOW w AS (PARTITION BY asset_id ORDER BY ts)', more=_HOT_SQL))
+def w8_long_index(spark, sf_dir):
+    """Time index and target of a series in pieces."""
+    c = long_series.next_log_return(_hot_candles(spark, sf_dir).select("asset_id", "ts", "close"), piece=SMALL_PIECE)
+    return rounded(long_series.numbered(c, "time_idx").select("asset_id", "ts", "time_idx", "target_return"), "target_return")
+
+
+@register(sql.with_views("""
+    SELECT n.asset_id, n.ordinal, h.ts AS bar, h."close" AS price, CASE WHEN h.volume % 2 = 0 THEN h.volume END AS volume
+    FROM (SELECT CASE WHEN asset_id = 'A0' THEN 'A0' ELSE 'HOT' END AS asset_id, ordinal, published_at FROM news) n
+    ASOF LEFT JOIN hot h ON h.asset_id = n.asset_id AND n.published_at >= h.ts""", more=_HOT_SQL))
+def c3_long_asof(spark, sf_dir):
+    """Every article with the last bar before it, in cells of an asset and month."""
+    n = views.news(spark, sf_dir).select(_hot_asset().alias("asset_id"), "ordinal", "published_at")
+    bars = _hot_candles(spark, sf_dir).select("asset_id", F.col("ts").alias("bar"), F.col("close").alias("price"), F.when(F.col("volume") % 2 == 0, F.col("volume")).alias("volume"))
+    found = long_series.asof_backward(n, bars, "published_at", "bar", ["bar", "price", "volume"], ["price"])
+    return found.select("asset_id", "ordinal", "bar", "price", "volume")
+
+
 # scans
 
 

@@ -9,11 +9,14 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# Names and types of the tables' columns, the indicators' names and the keys below.
 CANDLES = _schema(asset_id=_S, ts=_TS, open=T.FloatType(), high=T.FloatType(), low=T.FloatType(), close=T.FloatType(), volume=_L)
 NEWS = _schema(asset_id=_S, article_id=_S, published_at=_TS, headline=_S, summary=_S, source=_S, url=_S, language=_S)
 SCORED_NEWS = _schema(asset_id=_S, article_id=_S, published_at=_TS, sentiment_score=_D, confidence=_D, model_name=_S)
 DAILY_SENTIMENT = _schema(asset_id=_S, day=_DAY, sentiment_score=_D, n_articles=_L, sentiment_std=_D)
 MEASURES = ("revenue", "net_income", "operating_cash_flow", "total_shareholder_equity", "total_liabilities")
+#: State of daily sentiment that late articles can be added to: count, mean and sum of squared deviations.
+DAILY_MOMENTS = _schema(asset_id=_S, day=_DAY, n=_L, mean=_D, m2=_D)
 FUNDAMENTALS = _schema(
     asset_id=_S, report_type=_S, fiscal_date_end=_DAY, reported_date=_DAY, **dict.fromkeys(MEASURES, _D), source=_S
 )

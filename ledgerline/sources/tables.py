@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions import texts
-from ..operators import keys, validate
+from ..functions import texts, times
+from ..operators import keys, series, validate
 
 
 #: Tasks, and files at most, that one asset's rows are written by.
@@ -25,16 +25,37 @@ def scan(spark: SparkSession, path: str, schema: T.StructType, assets: list[str]
     return df.filter(F.col("asset_id").isin(assets)) if assets else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def reports_of(spark: SparkSession, path: str) -> DataFrame:
+    """Reports kept by asset; an asset_id is text, whatever it looks like."""
+    kind = T.StructType([T.StructField(c, T.StringType()) for c in ("section", "name")] + [T.StructField("value", T.DoubleType()), T.StructField("asset_id", T.StringType())])
+    return spark.read.schema(kind).parquet(path)
+
+
 def between(df: DataFrame, column: str, start, end) -> DataFrame:
-    """Rows from start to end, both included; a None bound is open."""
+    """Rows from start to end, both included; a None bound is open.
+
+    A start after the end is an error, and so are times that are no instants; bounds without zone are UTC.
+    """
+    if start is not None and end is not None:
+        utc = lambda b: b.replace(tzinfo=UTC) if isinstance(b, datetime) and b.tzinfo is None else b
+        if utc(start) > utc(end):
+            raise ValueError(f"start {start} is after end {end}")
+    if not isinstance(df.schema[column].dataType, T.DateType):
+        times.require_instants(df, column)
     if start is not None:
         df = df.filter(F.col(column) >= F.lit(start))
     return df if end is None else df.filter(F.col(column) <= F.lit(end))
 
 
-def candles(spark: SparkSession, path: str, assets=None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Prices, stored narrow and widened on load."""
+def candles(spark: SparkSession, path: str, assets=None, start: datetime | None = None, end: datetime | None = None, ordered: bool = False) -> DataFrame:
+    """Prices, stored narrow and widened on load; `ordered` gives each asset's bars by time, of which a repeated one is an error."""
     df = between(scan(spark, path, schemas.CANDLES, assets), "ts", start, end)
+    df = series.rising_times(df).sortWithinPartitions("asset_id", "ts") if ordered else df
     return df.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")})
 
 
@@ -102,14 +123,13 @@ def write(df: DataFrame, path: str, schema: T.StructType | None = None, order: t
 def merge(spark: SparkSession, path: str, batch: DataFrame, schema: T.StructType, key: list[str], staging: str) -> DataFrame:
     """Upsert a batch (with `ordinal`) into a table: only the batch's assets are read and replaced.
 
-    The result is written to the staging folder first, since it reads what it replaces.
+    The result is written to the staging folder first, since it reads what it replaces.  An empty batch is an error.
     """
-    assets = [r[0] for r in batch.select("asset_id").distinct().collect()]
-    if not assets:
-        return batch.drop("ordinal")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    stored = scan(spark, path, schema, assets) if exists else spark.createDataFrame([], schema)
+    if batch.isEmpty():
+        raise ValueError("nothing to merge")
+    stored = spark.createDataFrame([], schema)
+    if exists(spark, path):  # the batch's assets prune the table's partitions as the plan runs
+        stored = scan(spark, path, schema).join(batch.select("asset_id").distinct(), "asset_id", "left_semi")
     merged = validate.conform(keys.upsert(stored, batch, key), schema)
     at = f"{staging}/{uuid.uuid4().hex}"
     merged.write.parquet(at)

@@ -22,7 +22,8 @@ def stream_news(spark: SparkSession, landing: str, table: str, checkpoint: str,
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = tables.with_article_id(keys.keep_first_by_url(batch))
         valid, _ = validate.split_valid(rows, "news")
-        tables.merge(spark, table, valid, schemas.NEWS, schemas.KEYS["news"], staging)
+        if not valid.isEmpty():
+            tables.merge(spark, table, valid, schemas.NEWS, schemas.KEYS["news"], staging)
 
     stream = spark.readStream.schema(schema).parquet(landing).withColumn("language", F.coalesce("language", F.lit("en")))
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -57,8 +57,8 @@ def test_assembly(spark, bars, daily, reports):
     assert len(none) == 1 and none[0].sentiment_score is None and none[0].revenue is None
     with pytest.raises(ValueError, match="no asset has two bars"):
         pipelines.checked_training_table(bars, wide, daily, reports, date(2024, 1, 1), date(2024, 1, 1))
-    with pytest.raises(ValueError, match="several bars"):
-        pipelines.checked_training_table(bars.union(bars), wide, daily, reports, date(2024, 1, 1), date(2024, 1, 3))
+    with pytest.raises(Exception, match="several bars"):
+        pipelines.checked_training_table(bars.union(bars), wide, daily, reports, date(2024, 1, 1), date(2024, 1, 3)).collect()
 
 
 def test_recurrences_of_length_one_with_nulls_and_over_blocks(spark):
@@ -276,7 +276,7 @@ def test_daily_sentiment_and_scoring(spark):
     assert (out[0].n_articles, out[1].sentiment_std) == (3, 0.0) and out[0].sentiment_score == pytest.approx(0.4)
     n = news(spark, [(i, at(i)) for i in (1, 2, 3)]).withColumn("article_id", F.col("url"))
     stored = spark.createDataFrame([("A", "https://x/1", at(1), 0.0, None, None), ("A", "https://x/3", at(3), 0.0, None, None)], schemas.SCORED_NEWS)
-    got = sentiment.score_news(n, stored).withColumn("want", sentiment.checksum_score(F.lit("h s"))).collect()
+    got = sentiment.score_news(n, stored, sentiment.checksum_scorer, "checksum").withColumn("want", sentiment.checksum_score(F.lit("h s"))).collect()
     assert [r.article_id for r in got] == ["https://x/2"] and got[0].sentiment_score == pytest.approx(got[0].want)
     assert got[0].confidence == abs(got[0].sentiment_score)
     with pytest.raises(Exception, match="one score"):
