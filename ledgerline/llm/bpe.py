@@ -126,8 +126,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for this vocabulary file, built once per Python worker."""
+def encoder(path: str, max_bytes: int = MAX_BYTES) -> Encoder:
+    """The worker's encoder for this vocabulary file, built once per Python worker; the bound is the last caller's."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path]._max = max_bytes
     return _encoders[path]

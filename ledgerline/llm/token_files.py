@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import by_bytes, save, shared_dir
 
+#: Bytes, about, of pieces that the encoder keeps a generation: nothing else in these tasks needs much memory.
+MAX_BYTES = 150 << 20
 #: Lengths of the four values of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -66,8 +68,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.encoder(path)
-        ids_of = encoder.ids
+        ids_of = bpe.encoder(path, MAX_BYTES).ids
         part, start = TaskContext.get().partitionId(), 0
         for batch in by_bytes(batches):
             rows, held = [], 0
@@ -82,7 +83,6 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     yield _batches(rows, names, kinds)
                     rows, held = [], 0
             yield _batches(rows, names, kinds)
-        encoder.forget()
 
     sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return sorted_docs.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, ids binary")
