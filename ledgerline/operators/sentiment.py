@@ -59,23 +59,54 @@ def checksum_score(text: F.Column) -> F.Column:
     return F.conv(F.left(F.md5(F.encode(text, "UTF-8")), F.lit(6)), 16, 10).cast("long") % 2001 / 1000.0 - 1
 
 
-def score_text(df: DataFrame, factory: Callable[[], Scorer], text: str = "text", model_name: str = "model", batch: int = 32) -> DataFrame:
+def budgeted(sizes: list[int], most: int, budget: int | None) -> Iterator[list[int]]:
+    """Places of texts dealt to batches: at most `most` a batch, and texts times the longest of them within the budget.
+
+    With a budget, texts of like sizes go together, the longest first; one that alone exceeds the budget is a batch of its own.
+    Without one, batches follow the order.
+    """
+    order = range(len(sizes)) if budget is None else sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    batch: list[int] = []
+    for i in order:
+        if batch and (len(batch) == most or (budget is not None and (len(batch) + 1) * sizes[batch[0]] > budget)):
+            yield batch
+            batch = []
+        batch.append(i)
+    if batch:
+        yield batch
+
+
+def score_text(
+    df: DataFrame,
+    factory: Callable[[], Scorer],
+    text: str = "text",
+    model_name: str = "model",
+    batch: int = 32,
+    budget: int | None = None,
+    size: Callable[[str], int] = len,
+) -> DataFrame:
     """df with sentiment_score, confidence and model_name from a user's model.
 
-    The model is built once a task from `factory` and called on lists of at most `batch` texts.
-    A wrong number of scores fails the task.
+    The model is built once a task from `factory` and called on lists of at most `batch` texts; with a budget also of at most
+    that padded size (number of texts times the largest `size`), from the texts of one Arrow batch.  Scores stay with
+    their rows, and rows in their order.  A null text has size 0.  A wrong number of scores fails the task.
     """
+    if batch < 1 or (budget is not None and budget < 1):
+        raise ValueError("batch and budget must be positive")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
         for frame in frames:
-            values, scores = frame[text].tolist(), []
-            for i in range(0, len(values), batch):
-                part = scorer(values[i : i + batch])
-                if len(part) != len(values[i : i + batch]):
+            values = frame[text].tolist()
+            scores = [0.0] * len(values)
+            sizes = [0 if v is None else size(v) for v in values] if budget is not None else [0] * len(values)
+            for places in budgeted(sizes, batch, budget):
+                part = scorer([values[i] for i in places])
+                if len(part) != len(places):
                     raise ValueError("the scorer must return one score a text")
-                scores += part
+                for i, score in zip(places, part, strict=True):
+                    scores[i] = score
             yield frame.assign(sentiment_score=pd.Series(scores, dtype=float, index=frame.index), confidence=pd.Series(scores, dtype=float, index=frame.index).abs(), model_name=model_name)
 
     return df.mapInPandas(run, f"{fields}, sentiment_score double, confidence double, model_name string")
@@ -107,10 +138,10 @@ def unscored(news: DataFrame, scored: DataFrame) -> DataFrame:
     return todo.withColumn("text", texts.scoring_text(F.col("headline"), F.col("summary")))
 
 
-def score_news(news: DataFrame, scored: DataFrame, factory: Callable[[], Scorer], model_name: str) -> DataFrame:
-    """Rows to add to the scored table: only news that isn't in it."""
+def score_news(news: DataFrame, scored: DataFrame, factory: Callable[[], Scorer], model_name: str, **batches) -> DataFrame:
+    """Rows to add to the scored table: only news that isn't in it.  `batches` are score_text()'s bounds."""
     columns = ("asset_id", "article_id", "published_at", "text")
-    return score_text(unscored(news, scored).select(*columns), factory, model_name=model_name).drop("text")
+    return score_text(unscored(news, scored).select(*columns), factory, model_name=model_name, **batches).drop("text")
 
 
 def accuracy(df: DataFrame, logits: str, label: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import texts, times
 from ..operators import counters, datasets, keys, long_series, quality, sentiment, series, validate
-from ..sources import audits, files, tables
+from ..sources import audits, digests, files, tables, versions
+from ..streaming import fresh
 from . import pipelines, sql, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +176,29 @@ def q5_daily_sentiment(spark, sf_dir):
     return rounded(pipelines.sentiment_features(scored, old), "sentiment_score", "sentiment_std")
 
 
+#: Most characters of a padded batch in w15_budgeted_scores.
+BUDGET = 40_000
+
+
+def _budgeted_scorer() -> sentiment.Scorer:
+    """Checksum scores; a batch of several texts beyond the budget is an error."""
+    score = sentiment.checksum_scorer()
+
+    def checked(batch: list[str]) -> list[float]:
+        if len(batch) > 1 and len(batch) * max(map(len, batch)) > BUDGET:
+            raise ValueError("batch over the budget")
+        return score(batch)
+
+    return checked
+
+
+@register("SELECT doc_id, v AS sentiment_score, abs(v) AS confidence FROM (SELECT doc_id, CAST('0x' || left(md5(coalesce(text, '')), 6) AS BIGINT) % 2001 / 1000.0::DOUBLE - 1 AS v FROM documents)")
+def w15_budgeted_scores(spark, sf_dir):
+    """Texts of very uneven lengths scored in batches of like lengths under a budget of characters."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sentiment.score_text(docs, _budgeted_scorer, batch=64, budget=BUDGET).select("doc_id", "sentiment_score", "confidence")
+
+
 @register(
     sql.with_views("""
     SELECT asset_id, url, ordinal, published_at FROM (
@@ -217,6 +241,30 @@ def q6_news_merged(spark, sf_dir):
     return tables.scan(spark, path, schemas.NEWS).select("asset_id", "article_id", "published_at", "url")
 
 
+@register(
+    sql.with_views("""
+    SELECT asset_id, article_id, url, published_at FROM one WHERE r = 1
+    UNION ALL
+    SELECT asset_id, article_id, url, published_at FROM two WHERE r = 1""",
+    more="""
+    named AS (SELECT *, coalesce(nullif(url, ''), article_id) AS k FROM news WHERE coalesce(nullif(url, ''), article_id) IS NOT NULL),
+    one AS (SELECT *, row_number() OVER (PARTITION BY asset_id, k ORDER BY published_at, ordinal) AS r FROM named WHERE published_at < TIMESTAMP '1999-01-16'),
+    newest AS (SELECT date_trunc('milliseconds', max(published_at)) - INTERVAL 1 DAY AS late FROM one),
+    held AS (SELECT asset_id, k, date_trunc('milliseconds', published_at) + INTERVAL 1 DAY AS until FROM one, newest WHERE r = 1 AND date_trunc('milliseconds', published_at) + INTERVAL 1 DAY > late),
+    two AS (
+      SELECT n.*, row_number() OVER (PARTITION BY n.asset_id, n.k ORDER BY published_at, ordinal) AS r FROM named n CROSS JOIN newest LEFT JOIN held h ON h.asset_id = n.asset_id AND h.k = n.k
+      WHERE published_at > late AND (until IS NULL OR date_trunc('milliseconds', published_at) >= until))""")
+)
+def q6_streamed_news(spark, sf_dir):
+    """Older news, then after a restart all news, overlapping and late rows among them, by a stream with keyed state."""
+    landing, path, state = scratch(spark, "landing"), scratch(spark, "fresh"), scratch(spark, "state")
+    n = views.news(spark, sf_dir).filter("article_id is not null or url is not null").select(*fresh.LANDING.fieldNames())
+    for part in (n.filter(F.col("published_at") < F.lit(MID)), n):
+        part.write.mode("append").parquet(landing)
+        fresh.stream_fresh_news(spark, landing, path, state).awaitTermination()
+    return tables.scan(spark, path, schemas.NEWS).select("asset_id", "article_id", "url", "published_at")
+
+
 def _payloads(spark, sf_dir) -> DataFrame:
     """Statement payloads as JSON, made of the fundamentals."""
     f = views.fundamentals(spark, sf_dir)
@@ -521,6 +569,45 @@ def a9_news_items(spark, sf_dir):
     return found.select("asset_id", "published_at", "article_id")
 
 
+@register(
+    sql.with_views("""
+    SELECT asset_id, feed_no, pos AS ordinal, CASE WHEN ordinal % 10 = 7 THEN 'no object' WHEN ordinal % 10 = 3 THEN 'no time' END AS reason,
+      CASE WHEN ordinal % 10 NOT IN (3, 7) THEN coalesce(url, strftime(p, '%Y%m%dT%H%M%S') || ':' || left(h, 80)) END AS article_id FROM items WHERE feed_no % 8 NOT IN (3, 5, 6)
+    UNION ALL
+    SELECT DISTINCT asset_id, feed_no, CAST(NULL AS BIGINT), CASE feed_no % 8 WHEN 3 THEN 'unreadable' WHEN 5 THEN 'no list' ELSE 'no payload' END, NULL FROM items WHERE feed_no % 8 IN (3, 5, 6)""",
+    more="""
+    items AS (
+      SELECT *, ordinal // 50 AS feed_no, row_number() OVER (PARTITION BY asset_id, ordinal // 50 ORDER BY ordinal) - 1 AS pos, date_trunc('second', published_at) AS p,
+        CASE WHEN trim(headline) = '' AND trim(summary) = '' THEN ' ' ELSE trim(headline) END AS h FROM news)""")
+)
+def a8_feed_outcomes(spark, sf_dir):
+    """JSON feeds of which some are cut off, without a list or null, and items that are no objects or have no time, each with its reason."""
+    n = views.news(spark, sf_dir)
+    time = F.when(F.col("ordinal") % 10 != 3, F.date_format("published_at", "yyyyMMdd'T'HHmmss")).otherwise("soon")
+    item = F.to_json(F.struct(time.alias("time_published"), F.col("headline").alias("title"), "summary", "source", "url"))
+    item = F.struct("ordinal", F.when(F.col("ordinal") % 10 == 7, F.lit('"moved"')).otherwise(item).alias("item"))
+    feeds = n.groupBy("asset_id", F.floor(F.col("ordinal") / PAYLOAD).alias("feed_no")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    text, kind = F.concat(F.lit('{"feed": ['), F.array_join("items.item", ", "), F.lit("]}")), F.col("feed_no") % 8
+    text = F.when(kind == 3, F.left(text, F.length(text) - 1)).when(kind == 5, '{"feeds": []}').when(kind != 6, text)
+    out = files.feed_outcomes(feeds.withColumn("payload", text), by=("asset_id", "feed_no"))
+    good, bad, _ = files.split_outcomes(out, ("asset_id", "feed_no"))
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+    return both.select("asset_id", "feed_no", F.col("ordinal").cast("long"), "reason", "article_id")
+
+
+@register(
+    sql.with_views("""
+    SELECT asset_id, CASE WHEN ordinal % 10 = 7 THEN 'no object' WHEN ordinal % 6 = 2 THEN 'no time' ELSE 'fine' END AS reason, count(*) AS n FROM news GROUP BY 1, 2""")
+)
+def a9_item_counters(spark, sf_dir):
+    """News and quarantined items of JSON arrays, counted by reason."""
+    n = views.news(spark, sf_dir)
+    item = F.struct("ordinal", F.when(F.col("ordinal") % 6 != 2, F.unix_timestamp("published_at")).alias("datetime"), "headline", "summary", "source", "url")
+    item = F.when(F.col("ordinal") % 10 == 7, F.lit("[1]")).otherwise(F.to_json(item))
+    lists = n.groupBy("asset_id", F.floor(F.col("ordinal") / PAYLOAD).alias("no")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("payload"))
+    return files.split_outcomes(files.item_outcomes(lists))[2]
+
+
 @register("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier")
 def a12_csv_set(spark, sf_dir):
     """CSV files written, one without a required column skipped, united by name."""
@@ -544,6 +631,16 @@ def a14_provenance(spark, sf_dir):
     return files.provenance(spark, path).filter(F.col("path").endswith(".txt")).select(nation, "length", "sha256")
 
 
+@register("SELECT c_nationkey AS nation, strlen(t) AS length, sha256(t) AS sha256 FROM (SELECT c_nationkey, string_agg(c_custkey || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY 1)")
+def a14_file_digests(spark, sf_dir):
+    """The same by a data source that reads files in chunks, of 1,000 bytes here."""
+    path = scratch(spark, "lines")
+    c = views.table(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    c.select("c_nationkey", F.concat_ws("|", "c_custkey", "c_name").alias("line")).write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("nation")
+    return digests.digests(spark, path, chunk=1000).filter(F.col("path").endswith(".txt")).select(nation, "length", "sha256")
+
+
 # keys and sinks
 
 
@@ -575,6 +672,22 @@ def k5_fundamentals_merge(spark, sf_dir):
     return tables.scan(spark, path, schemas.FUNDAMENTALS).select("asset_id", "report_type", "fiscal_date_end", "revenue")
 
 
+@register(
+    sql.with_views("""
+    SELECT 1 AS version, asset_id, report_type, fiscal_date_end, revenue FROM fundamentals WHERE year(fiscal_date_end) < 1999
+    UNION ALL SELECT 2, asset_id, report_type, fiscal_date_end, CASE WHEN asset_id = 'A0' THEN revenue ELSE revenue * 2 END FROM fundamentals WHERE asset_id <> 'A0' OR year(fiscal_date_end) < 1999"""),
+    days=("fiscal_date_end",),
+)
+def k5_versioned_reports(spark, sf_dir):
+    """K1 K5: a table in versions, to which all assets but one are merged; both versions read after that."""
+    root, f = scratch(spark, "versions"), views.fundamentals(spark, sf_dir)
+    versions.write(spark, root, f.filter(F.year("fiscal_date_end") < 1999), schemas.FUNDAMENTALS, ("fiscal_date_end",))
+    batch = f.filter("asset_id <> 'A0'").withColumn("revenue", F.col("revenue") * 2).withColumn("ordinal", F.lit(0))
+    versions.merge(spark, root, batch, schemas.FUNDAMENTALS, schemas.KEYS["fundamentals"], ("fiscal_date_end",))
+    both = [versions.read(spark, root, schemas.FUNDAMENTALS, n).withColumn("version", F.lit(n)) for n in (1, 2)]
+    return keys.union_all(*both).select("version", "asset_id", "report_type", "fiscal_date_end", "revenue")
+
+
 @register(
     "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_name END AS p_name, "
     "CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE p_size END AS p_size FROM part"

@@ -52,41 +52,61 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
-_FEED = "array<struct<time_published string, title string, summary string, source string, url string>>"
+def _items(payloads: DataFrame, column: str, at: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, ordinal, item, reason, raw): one row an element of each payload's array, and one a payload that has no array.
 
+    Payloads are parsed as VARIANT, so an odd item leaves its neighbours alone.  An empty array has no rows.
+    """
+    whole = F.try_parse_json(F.col(column))
+    array = F.try_variant_get(whole, at, "array<variant>")
+    broken = F.when(F.col(column).isNull(), "no payload").when(whole.isNull(), "unreadable").when(array.isNull(), "no list")
+    lost = F.when(broken.isNotNull(), F.col(column))
+    marked = payloads.select(*by, lost.alias("lost"), broken.alias("broken"), array.alias("items"))
+    rows = marked.select(*by, "lost", "broken", F.posexplode_outer("items").alias("ordinal", "item")).filter("ordinal is not null or broken is not null")
+    plain = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    reason = F.coalesce("broken", F.when(~plain, "no object"))
+    return rows.select(*by, "ordinal", "item", reason.alias("reason"), F.when(F.col("broken").isNull(), F.coalesce(F.to_json("item"), F.lit("null"))).otherwise(F.col("lost")).alias("raw"))
+
+
+def _texts_of(names: str) -> list[Column]:
+    return [F.try_variant_get("item", f"$.{n}", "string").alias(n) for n in names.split()]
 
-def news_feed(payloads: DataFrame, column: str = "payload", default_source: str = "alpha_vantage") -> DataFrame:
-    """News rows of JSON payloads {"feed": [...]}, beside the payload's asset_id.
 
-    Items that are no objects or have no valid time are skipped.
+def feed_outcomes(payloads: DataFrame, column: str = "payload", default_source: str = "alpha_vantage", by: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+    """Every item of JSON payloads {"feed": [...]}: news columns and ordinal beside the payload's `by` columns, reason and raw.
+
+    reason is null for news rows.  Else the row is for the quarantine, and raw holds its JSON: "no payload" (null),
+    "unreadable" (no JSON, also with a key given twice in an object), "no list" (no feed that is an array) for whole payloads, "no object" and
+    "no time" (missing or unreadable) for items.  News rows and reasons add up to all items and all payloads without items.
     """
-    feed = F.from_json(F.col(column), f"feed {_FEED}").getField("feed")
-    items = payloads.select("asset_id", F.posexplode(feed).alias("ordinal", "i")).filter("i is not null").select("asset_id", "ordinal", "i.*")
+    items = _items(payloads, column, "$.feed", by)
+    i = items.select("*", *_texts_of("time_published title summary source url"))
     headline, summary = texts.news_texts(F.col("title"), F.col("summary"))
-    out = items.withColumn("published_at", times.parse_compact(F.col("time_published"))).filter("published_at is not null")
-    return out.select(
-        "asset_id",
+    when = times.parse_compact(F.col("time_published"))
+    return i.select(
+        *by,
         texts.fallback_id(F.col("url"), F.col("time_published"), headline).alias("article_id"),
-        "published_at",
+        when.alias("published_at"),
         headline.alias("headline"),
         summary.alias("summary"),
         texts.source_or(F.col("source"), default_source).alias("source"),
         texts.filled(F.col("url")).alias("url"),
         F.lit("en").alias("language"),
         "ordinal",
+        F.coalesce("reason", F.when(when.isNull(), "no time")).alias("reason"),
+        "raw",
     )
 
 
-def news_items(payloads: DataFrame, column: str = "payload", limit: int | None = None, default_source: str = "finnhub") -> DataFrame:
-    """News rows of JSON arrays with epoch-second times; the first `limit` of each payload."""
-    kind = "array<struct<id string, datetime long, headline string, summary string, source string, url string>>"
-    items = payloads.select("asset_id", F.posexplode(F.from_json(F.col(column), kind)).alias("ordinal", "i"))
+def item_outcomes(payloads: DataFrame, column: str = "payload", limit: int | None = None, default_source: str = "finnhub", by: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+    """The same of JSON arrays of items with epoch-second times; of each array the first `limit` items."""
+    items = _items(payloads, column, "$", by)
     if limit is not None:
-        items = items.filter(F.col("ordinal") < limit)
-    items = items.filter("i.datetime is not null").select("asset_id", "ordinal", "i.*")
+        items = items.filter(F.col("ordinal").isNull() | (F.col("ordinal") < limit))
+    i = items.select("*", *_texts_of("id headline summary source url"), F.try_variant_get("item", "$.datetime", "long").alias("datetime"))
     headline, summary = texts.news_texts(F.col("headline"), F.col("summary"))
-    return items.select(
-        "asset_id",
+    return i.select(
+        *by,
         F.coalesce(texts.filled(F.col("id")), texts.filled(F.col("url")), F.col("datetime").cast("string")).alias("article_id"),
         times.parse_epoch(F.col("datetime")).alias("published_at"),
         headline.alias("headline"),
@@ -95,9 +115,29 @@ def news_items(payloads: DataFrame, column: str = "payload", limit: int | None =
         texts.filled(F.col("url")).alias("url"),
         F.lit("en").alias("language"),
         "ordinal",
+        F.coalesce("reason", F.when(F.col("datetime").isNull(), "no time")).alias("reason"),
+        "raw",
     )
 
 
+def split_outcomes(outcomes: DataFrame, by: tuple[str, ...] = ("asset_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """News rows; the quarantine (by, ordinal, reason, raw); and counters (by, reason, n), with the reason "fine" for news."""
+    good = outcomes.filter("reason is null").drop("reason", "raw")
+    bad = outcomes.filter("reason is not null").select(*by, "ordinal", "reason", "raw")
+    counts = outcomes.groupBy(*by, F.coalesce("reason", F.lit("fine")).alias("reason")).agg(F.count("*").alias("n"))
+    return good, bad, counts
+
+
+def news_feed(payloads: DataFrame, column: str = "payload", default_source: str = "alpha_vantage") -> DataFrame:
+    """News rows of JSON payloads {"feed": [...]}; what feed_outcomes() has a reason against is skipped."""
+    return split_outcomes(feed_outcomes(payloads, column, default_source))[0]
+
+
+def news_items(payloads: DataFrame, column: str = "payload", limit: int | None = None, default_source: str = "finnhub") -> DataFrame:
+    """News rows of JSON arrays with epoch-second times; what item_outcomes() has a reason against is skipped."""
+    return split_outcomes(item_outcomes(payloads, column, limit, default_source))[0]
+
+
 # Fields of the statement payloads by measure.
 STATEMENTS = {
     "income": {"revenue": "totalRevenue", "net_income": "netIncome"},
