@@ -10,14 +10,15 @@ from ..functions import texts, times
 from ..operators import keys, validate
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV files with headers.  Where no field holds a line end, multi_line=False lets large files be split over tasks."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def csv_set(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
+def csv_set(spark: SparkSession, paths: list[str], required: list[str], multi_line: bool = True) -> DataFrame:
     """Union of the files that have the required columns; others are skipped."""
-    frames = [csv(spark, p) for p in paths]
+    frames = [csv(spark, p, multi_line=multi_line) for p in paths]
     fine = [f for f in frames if set(required) <= set(f.columns)]
     if not fine:
         raise ValueError("no file has the required columns")

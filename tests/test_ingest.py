@@ -116,9 +116,9 @@ def test_digests_of_files_larger_than_a_chunk(spark, tmp_path):
     found = {r.path[len(str(tmp_path)) + 1 :]: (r.length, r.sha256) for r in df.collect()}
     assert found == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in data.items() if "skipped" not in n}
     assert df.rdd.getNumPartitions() > 1
-    want = {r.path.split("/")[-1]: r.modified for r in files.provenance(spark, str(tmp_path)).collect()}
-    got = {r.path.split("/")[-1]: r.modified for r in df.collect()}
-    assert {n.replace("%20", " ") for n in want} == set(got) and all(abs(want[n] - got[n]) < timedelta(seconds=1) for n in want if n in got)
+    want = {r.path.split("/")[-1].replace("%20", " "): (r.length, r.sha256, r.modified) for r in files.provenance(spark, str(tmp_path)).collect()}
+    got = {r.path.split("/")[-1]: (r.length, r.sha256, r.modified) for r in df.collect()}
+    assert want and all(want[n][:2] == got[n][:2] and abs(want[n][2] - got[n][2]) < timedelta(seconds=1) for n in want)
     (tmp_path / "none").mkdir()
     assert digests.digests(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError, match="positive"):
@@ -163,3 +163,16 @@ def test_versions_stay_readable(spark, tmp_path):
     assert rows(versions.read(spark, root, schema)) == now and versions.forget(spark, root) == 0
     with pytest.raises(ValueError, match="no version 1"):
         versions.read(spark, root, schema, 1)
+
+
+def test_csv_files_are_split_where_lines_are_rows(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    files.write_csv(spark.range(20_000).select("id", F.lit('a "b", c').alias("t")).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        whole, split = files.csv(spark, path), files.csv(spark, path, multi_line=False)
+        assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 2
+        assert split.count() == whole.count() == 20_000 and {r.t for r in split.select("t").distinct().collect()} == {'a "b", c'}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
