@@ -4,22 +4,30 @@ Trusted positives and unlabelled web text are described by style features of the
 logistic model minimises the non-negative unbiased risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; the class prior is the least ratio of the
 unlabelled to the positive share above a score threshold of a first fit.
+
+All documents are unlabelled text: means and spreads, the counts behind the prior and every step on the
+risk are sums over their features, which are written once.  A first fit on a bounded sample gives the
+scores along which the prior is counted and the point that the steps begin at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, save
 
-#: Bounds of the sample that the model is fitted on: trusted positives, unlabelled documents.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
+#: Bound of the trusted positives that the model is fitted on.
+MAX_POSITIVE = 4_000
+#: Bound of the unlabelled documents of the first fit; the model itself is fitted on all.
+MAX_FIRST = 8_000
+#: Steps on the risk over all documents, at most, and the lengths tried of each.
+STEPS, LENGTHS = 12, (1.0, 0.5, 0.25, 0.125, 0.03, 0.0)
 #: Standardised features are clipped there.
 CLIP = 12
 SYMBOLS = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"
@@ -66,14 +74,27 @@ def _features_of(docs: DataFrame, keys: str) -> DataFrame:
     kept = [k.split()[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch(
-                [*(batch.column(k) for k in kept), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))],
-                names=[*kept, "features"],
-            )
+            made = pa.array([r.tolist() for r in rows], pa.list_(pa.float32()))
+            yield pa.record_batch([*(batch.column(k) for k in kept), made], names=[*kept, "features"])
+
+    return docs.select(*kept, "text").mapInArrow(run, f"{keys}, features array<float>")
 
-    return docs.select(*kept, "text").mapInArrow(run, f"{keys}, features array<double>")
+
+def _total(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of of(x), flat arrays, over blocks x of all features: added up in each task, then place by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            part = of(np.asarray(batch.column(0).flatten(), float).reshape(-1, N_FEATURES))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["place", "x"])
+
+    sums = rows.select("features").mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x"))
+    return np.array([r.x for r in sums.orderBy("place").collect()])
 
 
 @dataclass
@@ -110,60 +131,104 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, share: float = 0.4) -> float:
-    """Least ratio of unlabelled to positive documents scored above a threshold, as an upper bound.
+def _cuts(positive: np.ndarray, share: float = 0.4) -> np.ndarray:
+    """Thresholds with at least this share of the positives above them."""
+    return np.quantile(positive, np.linspace(0, 1 - share, 100))
+
 
-    Every true ratio is at least the prior.  Each measured one is raised by one and a half standard errors:
-    of too low a prior trusted documents would pay, of too high a one little changes.
+def _prior(positive: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int) -> float:
+    """The class prior from positive scores and the counts of n unlabelled ones at or above each cut.
+
+    It is the least ratio of the unlabelled to the positive share above a cut, as an upper bound: every true ratio is
+    at least the prior.  Each measured one is raised by one and a half standard errors: of too low a prior trusted
+    documents would pay, of too high a one little changes.
     """
     best = 0.98
-    for cut in np.quantile(positive, np.linspace(0, 1 - share, 100)):
-        u, p = (unlabelled >= cut).sum(), (positive >= cut).sum()
+    for cut, u in zip(cuts, above, strict=True):
+        p = (positive >= cut).sum()
         if u and p:
-            best = min(best, (u / len(unlabelled)) / (p / len(positive)) * (1 + 1.5 * np.sqrt(1 / u + 1 / p)))
+            best = min(best, (u / n) / (p / len(positive)) * (1 + 1.5 * np.sqrt(1 / u + 1 / p)))
     return float(max(best, 0.05))
 
 
-def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """Fit on feature rows; without either kind of rows the model scores everything 0.5."""
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
-    mean, scale = unlabelled.mean(axis=0), np.maximum(unlabelled.std(axis=0), 1e-6)
-    p, u = (np.clip((x - mean) / scale, -CLIP, CLIP) for x in (positive, unlabelled))
-    first = _descend(p, u, 0.5)
-    score = lambda w, x: np.c_[x, np.ones(len(x))] @ w
-    prior = estimate_prior(score(first, p), score(first, u))
-    w = _descend(p, u, prior)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from scores of both kinds; see _prior()."""
+    cuts = _cuts(positive)
+    return _prior(positive, cuts, np.array([(unlabelled >= c).sum() for c in cuts]), len(unlabelled))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def _minimise(total: Callable, n: int, p: np.ndarray, prior: float, w: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights of the least non-negative risk over n unlabelled rows, from w; total(of) sums of(x) over them.
+
+    With logistic loss the unbiased risk is convex, so Newton's step is at hand; where it would bring the unlabelled part
+    below zero, its gradient counts less (by a factor from 0 to 1), so that the step ends on the bound.  The length is
+    the best of LENGTHS; steps end when none lowers the risk.
+    """
+    k = p.shape[1]
+    decay = 0.25 / len(p) * np.r_[np.ones(k - 1), 0]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def slopes(x: np.ndarray) -> np.ndarray:
+        z = x @ w
+        s = sigmoid(z)
+        return np.r_[np.logaddexp(0, z).sum(), s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()]
+
+    for _ in range(steps):
+        sums = total(slopes) / n
+        pull = sums[1 : k + 1]
+        part = sums[0] - prior * np.logaddexp(0, p @ w).mean()
+        part_slope = pull - prior * (sigmoid(p @ w) @ p) / len(p)
+        slope = pull - prior * p.mean(axis=0) + decay * w
+        bend = sums[k + 1 :].reshape(k, k) + np.diag(decay + 1e-9)
+        a, b = np.linalg.solve(bend, slope), np.linalg.solve(bend, part_slope)
+        less = np.clip((part_slope @ a - part) / max(part_slope @ b, 1e-12), 0, 1)
+        tried = np.array([w - t * (a - less * b) for t in LENGTHS])
+        soft = total(lambda x, tried=tried: np.logaddexp(0, x @ tried.T).sum(axis=0)) / n
+        parts = soft - prior * np.logaddexp(0, p @ tried.T).mean(axis=0)
+        risks = prior * np.logaddexp(0, -(p @ tried.T)).mean(axis=0) + np.maximum(parts, 0) + tried**2 @ decay / 2
+        best = int(np.argmin(risks))
+        w = tried[best]
+        if risks[-1] - risks[best] < 1e-6:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_first: int = MAX_FIRST) -> Model:
     """Fit from docs(doc_id, text) and trusted labels(doc_id, quality).
 
-    Positives are documents with quality 1 in every label row.  The unlabelled sample is drawn
-    from all documents.  Both are the documents of smallest hash, at most the given numbers.
+    Positives are documents with quality 1 in every label row, of which those of smallest hash, at most max_positive,
+    are used.  All documents are the unlabelled text, also those without id.  Without either kind of rows the model
+    scores everything 0.5.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", F.lit(1).alias("p"))
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     rank = F.abs(F.xxhash64(F.col("doc_id"), F.lit(5)) % 1_000_000)
-    n_docs, n_good = docs.count(), good.count()
-
-    def chosen(n: int, bound: int) -> int:
-        """Hashes below this hold the bound and a margin, or all."""
-        return min(1_000_000, int(1_000_000 * (1.2 * bound + 200) / max(n, 1)))
-
-    ranked = docs.withColumn("rank", rank)
-    some_u = ranked.filter(F.col("rank") < chosen(n_docs, max_unlabelled)).withColumn("p", F.lit(0))
-    some_p = ranked.filter(F.col("rank") < chosen(n_good, max_positive)).join(
-        good.filter(rank < chosen(n_good, max_positive)), "doc_id"
-    )
-    columns = ["rank", "doc_id", "p", "text"]
-    rows = {}
-    for kind, frame, bound in ((0, some_u, max_unlabelled), (1, some_p, max_positive)):
-        x = _features_of(frame.select(*columns), "rank long, doc_id long, p int")
-        found = x.orderBy("rank", "doc_id").limit(bound).select("features").toPandas()["features"]
-        rows[kind] = np.array(found.tolist(), float).reshape(-1, N_FEATURES)
-    return fit_arrays(rows[1], rows[0])
+    rows = save(_features_of(docs.select(rank.alias("rank"), "doc_id", "text"), "rank long, doc_id long"), "features")
+
+    def least(n: int, bound: int) -> Column:
+        """Ranks that hold the bound and a margin, or all."""
+        return F.col("rank") < min(1_000_000, int(1_000_000 * (1.2 * bound + 200) / max(n, 1)))
+
+    def chosen(frame: DataFrame, bound: int) -> np.ndarray:
+        found = frame.orderBy("rank", "doc_id").limit(bound).select("features").toPandas()["features"]
+        return np.array(found.tolist(), float).reshape(-1, N_FEATURES)
+
+    n, n_good = rows.count(), good.count()
+    some_good = good.withColumn("rank", rank).filter(least(n_good, max_positive)).select("doc_id")
+    positive = chosen(rows.filter(least(n_good, max_positive)).join(some_good, "doc_id", "left_semi"), max_positive)
+    if not len(positive):
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
+    sums = _total(rows, lambda x: np.r_[x.sum(axis=0), (x * x).sum(axis=0)]) / n
+    mean = sums[:N_FEATURES]
+    scale = np.maximum(np.sqrt(np.maximum(sums[N_FEATURES:] - mean**2, 0)), 1e-6)
+    even = lambda x: np.c_[np.clip((x - mean) / scale, -CLIP, CLIP), np.ones(len(x))]
+    total = lambda of: _total(rows, lambda x: of(even(x)))
+    p, some = even(positive), even(chosen(rows.filter(least(n, max_first)), max_first))
+    first = _descend(p[:, :-1], some[:, :-1], 0.5)
+    cuts = _cuts(p @ first)
+    above = total(lambda x: ((x @ first)[:, None] >= cuts).sum(axis=0).astype(float))
+    prior = _prior(p @ first, cuts, above, n)
+    w = _minimise(total, n, p, prior, _descend(p[:, :-1], some[:, :-1], prior))
+    return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

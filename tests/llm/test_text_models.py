@@ -193,6 +193,42 @@ def test_prior_is_estimated():
     assert abs(quality.estimate_prior(p, u) - 0.7) < 0.06
 
 
+def plain_risk(w, p, u, prior):
+    """The non-negative unbiased risk with decay, term by term."""
+    loss = lambda z: np.log1p(np.exp(-np.clip(z, -500, 500)))
+    part = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+    return prior * loss(p @ w).mean() + max(0, part) + 0.125 / len(p) * (w[:-1] ** 2).sum()
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.75])  # too low, right, so high that the bound is met
+def test_risk_is_as_low_as_long_plain_descent_brings_it(prior):
+    rng = np.random.default_rng(1)
+    p = np.c_[rng.normal(1.5, 1, (500, 3)), np.ones(500)]
+    u = np.c_[np.r_[rng.normal(1.5, 1, (1200, 3)), rng.normal(-1.5, 1, (800, 3))], np.ones(2000)]
+    blocks = np.array_split(u, 7)
+    w = quality._minimise(lambda of: sum(of(b) for b in blocks), len(u), p, prior, np.zeros(4), steps=40)
+    risk, best = plain_risk(w, p, u, prior), np.inf
+    plain, rate = np.zeros(4), 0.5
+    for _ in range(3000):  # descent by differences, shorter where it does not help
+        here = plain_risk(plain, p, u, prior)
+        slope = np.array([(plain_risk(plain + d, p, u, prior) - plain_risk(plain - d, p, u, prior)) / 2e-5 for d in 1e-5 * np.eye(4)])
+        after = plain - rate * slope
+        plain, rate = (after, rate * 1.1) if plain_risk(after, p, u, prior) < here else (plain, rate / 2)
+        best = min(best, here)
+    assert risk <= best + 1e-3
+
+
+def test_every_document_counts_as_unlabelled(spark):
+    """Means, spreads and prior are those of all rows, however small the first fit's sample; rows without id are among them."""
+    texts = [f"Plain words of text number {i}, told in one calm sentence." for i in range(60)] + ["BUY!!! $$$ 99 99 99 " * (1 + i % 5) for i in range(40)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_first=20)
+    x = np.array([quality.features(t) for t in texts])
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-5) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), atol=1e-3)
+    assert model.score(x[:60]).min() > model.score(x[60:]).max()
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op4_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
