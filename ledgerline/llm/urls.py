@@ -4,6 +4,7 @@ Host names are cut into words by Viterbi search under a unigram model of the pag
 Pages that a rule blocks, or whose words hold a listed topic word, teach multinomial naive Bayes the
 blocked class, all others the allowed one, but for pages with a topic word that a rule allows, which
 teach nothing; it judges the urls that no rule fits by all their host and path words.
+Letters are those of any script, also percent-encoded in paths and in Punycode in hosts.
 All words count: the most frequent ones are looked up in the tasks, the rest, if any, by joins.
 """
 
@@ -12,12 +13,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import hot_keys, save, spread_join
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -35,7 +37,20 @@ TOPICS = (
 MAX_WORDS, MAX_FEATURES = 50_000, 50_000
 #: Added to each word's count in each class.
 SMOOTH = 0.1
-_PART = re.compile(r"[a-z]+|[0-9]+")
+_PART = re.compile(r"[^\W\d_]+|\d+")
+
+
+def _readable(host: str) -> str:
+    """The host lower-cased, its labels out of Punycode where they are in it."""
+    if "xn--" not in host:
+        return host.lower()
+    labels = []
+    for label in host.lower().split("."):
+        try:
+            labels.append(label[4:].encode("ascii").decode("punycode") if label.startswith("xn--") else label)
+        except (UnicodeError, OverflowError):  # no Punycode after all
+            labels.append(label)
+    return ".".join(labels)
 
 
 def host_of(url: str) -> Column:
@@ -77,15 +92,18 @@ class Segmenter:
             return self.seen[name]
         more = {w: math.log(self.total / n) for w, n in others.items()} if others else {}
         best, back = [0.0], [0]
+        stretch = 0  # where the cheapest unknown stretch begins, whatever its end
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - max(self.longest, 24)), end):
-                word = name[start:end]
-                cost = self.cost.get(word) or more.get(word) or self.unknown + 3.3 * len(word)
-                options.append((best[start] + cost, start))
-            cost, start = min(options)
+            cost, start = best[stretch] + self.unknown + 3.3 * (end - stretch), stretch
+            for at in range(max(0, end - self.longest), end):
+                word = name[at:end]
+                known = self.cost.get(word) or more.get(word)
+                if known and best[at] + known < cost:
+                    cost, start = best[at] + known, at
             best.append(cost)
             back.append(start)
+            if cost - 3.3 * end < best[stretch] - 3.3 * stretch:
+                stretch = end
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -97,28 +115,28 @@ class Segmenter:
 
     def words(self, host: str, path: str, others: list[tuple[str, int]] | None = None) -> list[str]:
         """Segmented host and path words; numbers count as one word."""
-        out = [w for part in _PART.findall(host) for w in (self.split(part, dict(others or ())) if part[0].isalpha() else ["0"])]
-        return out + ["/" + w if w[0].isalpha() else "/0" for w in _PART.findall(path.lower())]
+        out = [w for part in _PART.findall(_readable(host)) for w in (self.split(part, dict(others or ())) if part[0].isalpha() else ["0"])]
+        return out + ["/" + w if w[0].isalpha() else "/0" for w in _PART.findall(unquote(path).lower())]
 
 
 def title_words(pages: DataFrame) -> DataFrame:
     """(w, count) of all title words over all pages."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title>(.*?)</title>", 1))
-    return pages.select(F.explode(F.split(title, r"[^a-z]+")).alias("w")).filter("length(w) > 1").groupBy("w").count()
+    return pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("w")).filter("length(w) > 1").groupBy("w").count()
 
 
 def _host_words(hosts: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
-    """(host, others): for each distinct host the words(w, count), of these lengths, that its names hold, as (w, count)."""
+    """(host, others): for each of distinct hosts the words(w, count), of these lengths, that its names hold, as (w, count)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for host in batch.column(0).to_pylist():
-                names = [p for p in _PART.findall(host) if p[0].isalpha()]
+                names = [p for p in _PART.findall(_readable(host)) if p[0].isalpha()]
                 found = {p[i : i + n] for p in names for n in lengths for i in range(len(p) - n + 1)}
                 yield pa.record_batch([pa.array([host] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "w"])
 
-    held = hosts.distinct().mapInArrow(pieces, "host string, w string").join(words, "w")
-    return held.groupBy("host").agg(F.collect_list(F.struct("w", "count")).alias("others"))
+    held = hosts.mapInArrow(pieces, "host string, w string").join(words, "w")
+    return hosts.join(held.groupBy("host").agg(F.collect_list(F.struct("w", "count")).alias("others")), "host", "left")
 
 
 def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_words: int = MAX_WORDS, teach: Column | None = None) -> DataFrame:
@@ -149,7 +167,9 @@ def judge(pages: DataFrame, rules=RULES, max_features: int = MAX_FEATURES, max_w
     segmenter = Segmenter(counts | topic, total, max(longest, *map(len, TOPICS)))
     if rest is not None:
         lengths = [r[0] for r in rest.select(F.length("w")).distinct().collect()]
-        urls = urls.join(_host_words(urls.select("host"), rest, lengths), "host", "left").select("page_id", "host", "path", "others")
+        hosts = save(urls.groupBy("host").count(), "hosts")
+        urls = spread_join(urls, _host_words(hosts.select("host"), rest, lengths), ["host"], hot_keys(hosts, ["host"]))
+        urls = urls.select("page_id", "host", "path", "others")
         urls = save(urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "urls")
     else:
         urls = urls.withColumn("others", F.lit(None).cast("array<struct<w: string, count: bigint>>"))

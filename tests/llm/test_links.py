@@ -443,6 +443,26 @@ def test_rare_words_count_beyond_those_that_tasks_hold(spark):
     assert plain(urls.judge(table, max_features=10_000, max_words=0).collect()) == want
 
 
+def test_letters_of_any_script():
+    words = urls.Segmenter({"grün": 50, "haus": 60, "новости": 20, "дня": 20})
+    want = ["grün", "haus", "de", "/für", "/über", "/0"]
+    assert words.words("grünhaus.de", "/f%C3%BCr/Über/22") == want == words.words("GRÜNHAUS.de", "/für/%c3%9cber/7")
+    puny = "xn--" + "grünhaus".encode("punycode").decode()
+    assert words.words(f"{puny}.de", "/für/über/22") == want
+    assert words.words("новостидня.xn--\u00ff", "/%zz%ff") == ["новости", "дня", "xn", "ÿ", "/zz"]
+    assert words.split("q" * 60 + "haus") == ["q" * 60, "haus"]  # an unknown stretch is one, however long
+
+
+def test_a_host_with_most_pages_and_rare_words(spark):
+    pages = [(i, "http://roseorchid.example.com/a/b", "<title>rose</title>") for i in range(3000)]
+    pages += [(3000 + i, f"http://tulip{chr(97 + i % 26)}casino.example.com/{i}", "<title>orchid tulip blüte</title>") for i in range(60)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    plain = lambda rows: sorted((r.page_id, r.verdict, round(r.score, 9)) for r in rows)
+    want = plain(urls.judge(table).collect())
+    assert plain(urls.judge(table, max_words=1).collect()) == want and len(want) == len(pages)
+    assert [v for i, v, _ in want] == ["allow"] * 3000 + ["block"] * 60
+
+
 # line dedup
 
 
