@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import times
@@ -59,11 +61,21 @@ def incremental_news(stored: DataFrame, landing: DataFrame, window_days: int = 1
 
     The stored side is cut to the days around the mark before the anti join.
     """
-    mark = stored.groupBy("asset_id").agg(F.max("published_at").alias("mark"))
-    fresh = landing.join(mark, "asset_id", "left").filter(F.col("mark").isNull() | (F.col("published_at") >= F.col("mark"))).drop("mark")
-    fresh = keys.keep_first_by_url(fresh)
-    near = stored.join(mark, "asset_id").filter(F.col("published_at") >= F.col("mark") - F.make_dt_interval(F.lit(window_days)))
-    return fresh.join(near.select("asset_id", "url"), ["asset_id", "url"], "left_anti")
+    return _unstored(stored, _since_mark(stored, landing), window_days)
+
+
+def _marks(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("asset_id").agg(F.max("published_at").alias("mark"))
+
+
+def _since_mark(stored: DataFrame, landing: DataFrame) -> DataFrame:
+    marked = landing.join(_marks(stored), "asset_id", "left")
+    return marked.filter(F.col("mark").isNull() | (F.col("published_at") >= F.col("mark"))).drop("mark")
+
+
+def _unstored(stored: DataFrame, rows: DataFrame, window_days: int) -> DataFrame:
+    near = stored.join(_marks(stored), "asset_id").filter(F.col("published_at") >= F.col("mark") - F.make_dt_interval(F.lit(window_days)))
+    return keys.keep_first_by_url(rows).join(near.select("asset_id", "url"), ["asset_id", "url"], "left_anti")
 
 
 def sentiment_features(scored: DataFrame, stored_daily: DataFrame) -> DataFrame:
@@ -72,15 +84,35 @@ def sentiment_features(scored: DataFrame, stored_daily: DataFrame) -> DataFrame:
     return keys.upsert(stored_daily, fresh, ["asset_id", "day"])
 
 
-def ingest_news(spark: SparkSession, path: str, landing: DataFrame, staging: str) -> DataFrame:
-    """New landing rows merged into the stored news; returns them.  Nothing new changes nothing."""
-    stored = tables.scan(spark, path, schemas.NEWS)
-    fresh = tables.with_article_id(incremental_news(stored, landing))
+#: What tells a landing row that an earlier run has passed over.
+_PASSED = T.StructType([schemas.NEWS[c] for c in ("asset_id", "url", "published_at")])
+
+
+def ingest_news(spark: SparkSession, path: str, landing: DataFrame, staging: str, window_days: int = 1) -> DataFrame:
+    """New landing rows merged into the stored news; returns them.  Nothing new changes nothing.
+
+    A row that is passed over, since its url came first in another row or was stored near the mark, would seem new once the
+    marks have moved.  Such rows are kept beside the table, as far as they are not before the new marks, and stay passed over.
+    """
+    stored, passed = tables.scan(spark, path, schemas.NEWS), f"{path.rstrip('/')}.passed"
+    rows = _since_mark(stored, landing)
+    if tables.exists(spark, passed):
+        rows = _without(rows, spark.read.schema(_PASSED).parquet(passed))
+    fresh = tables.staged(tables.with_article_id(_unstored(stored, rows, window_days)), staging)
     if not fresh.isEmpty():
+        marks = _marks(stored.select("asset_id", "published_at").unionByName(fresh.select("asset_id", "published_at")))
+        again = _since_mark(marks.withColumnRenamed("mark", "published_at"), rows.filter("url is not null").select(*_PASSED.names))
+        _without(again, fresh).write.mode("append").parquet(passed)  # before the merge: a run that fails between is repeated alike
         tables.merge(spark, path, fresh, schemas.NEWS, schemas.KEYS["news"], staging)
     return fresh
 
 
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows that no other row equals in asset, url and time."""
+    others = others.select(*(F.col(c).alias(f"__{c}") for c in _PASSED.names))
+    return rows.join(others, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _PASSED.names)), "left_anti")
+
+
 def score_stored_news(spark: SparkSession, news: DataFrame, path: str, factory, staging: str, model_name: str) -> None:
     """News without a score in the stored table, scored and merged into it."""
     fresh = sentiment.score_news(news, tables.scan(spark, path, schemas.SCORED_NEWS), factory, model_name)

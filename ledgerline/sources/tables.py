@@ -120,6 +120,13 @@ def write(df: DataFrame, path: str, schema: T.StructType | None = None, order: t
     out.parquet(path)
 
 
+def staged(df: DataFrame, staging: str) -> DataFrame:
+    """df written once to the staging folder and read again, for what reads it several times or replaces what it reads."""
+    at = f"{staging}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def merge(spark: SparkSession, path: str, batch: DataFrame, schema: T.StructType, key: list[str], staging: str) -> DataFrame:
     """Upsert a batch (with `ordinal`) into a table: only the batch's assets are read and replaced.
 

@@ -59,6 +59,21 @@ def test_stream_equals_the_batch_form_where_no_row_is_between(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 10
 
 
+def test_a_second_batch_run_adds_no_row_that_the_first_passed_over(spark, tmp_path):
+    path, staging = str(tmp_path / "news"), str(tmp_path / "staging")
+    stored = [("A", "a", 0, "u", 1), ("B", "b", 0, "v", 2), ("C", "c", 0, None, 3)]
+    tables.write(landing_rows(spark, stored), path, schemas.NEWS)
+    rows = [*stored, ("B", "b1", 1, "w", 4), ("B", "b2", 60, None, 5), ("A", "a1", 61, "w", 6), ("A", "a2", 60, None, 7), ("A", "a3", 62, "u", 8), ("C", "c1", 50, "x", 9), ("C", "c2", 50, "x", 10)]
+    once = {"a", "b", "c", "b1", "b2", "a2", "c1"}  # w came first in B, u is stored near A's mark
+    for _ in range(3):
+        pipelines.ingest_news(spark, path, landing_rows(spark, rows), staging)
+        assert {r.article_id for r in tables.news(spark, path).collect()} == once
+    later = [*rows, ("A", "a4", 63, "w", 11), ("C", "c3", 51, None, 12)]  # w again, at another time
+    assert {r.article_id for r in pipelines.ingest_news(spark, path, landing_rows(spark, later), staging).collect()} >= {"a4", "c3"}
+    pipelines.ingest_news(spark, path, landing_rows(spark, later), staging)
+    assert {r.article_id for r in tables.news(spark, path).collect()} == once | {"a4", "c3"}
+
+
 def test_stream_refuses_rows_without_key(spark, tmp_path):
     landing_rows(spark, [("A", "", 1, None, 1)]).write.parquet(str(tmp_path / "landing"))
     with pytest.raises(Exception, match="without asset, time or key"):
