@@ -2,6 +2,7 @@
 
     root/data/version=<name>/asset_id=<asset>/*.parquet     what one write has written, never changed
     root/log/<number>                                       the folder that holds each asset as of that version
+    root/staged/                                            batches being merged; forget() drops them
 
 A reader takes the log's newest file once and sees that version to its end, whatever is written meanwhile.  A write that
 fails leaves folders that no log names.  Of two writers at a time the later rename fails, and nothing of its own counts.
@@ -90,12 +91,14 @@ def write(spark: SparkSession, root: str, df: DataFrame, schema: T.StructType, o
 
 
 def merge(spark: SparkSession, root: str, batch: DataFrame, schema: T.StructType, key: list[str], order: tuple[str, ...] = ()) -> int:
-    """Upsert a batch (with `ordinal`) as a new version; only the batch's assets are written, and nothing is staged."""
+    """Upsert a batch (with `ordinal`) as a new version; only the batch's assets are written, batch and result are staged."""
     before = (versions(spark, root) or [0])[-1]
+    batch = tables.staged(batch, f"{root}/staged")
     stored = spark.createDataFrame([], schema)
     if before:
         stored = read(spark, root, schema, before).join(batch.select("asset_id").distinct(), "asset_id", "left_semi")
-    return write(spark, root, keys.upsert(stored, batch, key), schema, order, before)
+    merged = tables.staged(validate.conform(keys.upsert(stored, batch, key), schema), f"{root}/staged")
+    return write(spark, root, merged, schema, order, before)
 
 
 def forget(spark: SparkSession, root: str, keep: int = 1) -> int:
@@ -109,6 +112,7 @@ def forget(spark: SparkSession, root: str, keep: int = 1) -> int:
     live = {f"{folder}/{asset}" for number in known[-keep:] for asset, folder in _log(spark, root, number).items()}
     for number in known[:-keep]:
         fs.delete(_path(spark, root, "log", f"{number:012d}"), False)
+    fs.delete(_path(spark, root, "staged"), True)
     gone = 0
     for folder in _names(spark, root, "data"):
         assets = [n for n in _names(spark, root, "data", folder) if n.startswith("asset_id=")]
