@@ -664,7 +664,7 @@ def k2_news_upsert(spark, sf_dir):
 def k5_fundamentals_merge(spark, sf_dir):
     """K5: two-column key; a stored table merged in place, only the batch's assets rewritten."""
     path, staging = scratch(spark, "reports"), scratch(spark, "staging")
-    f = views.fundamentals(spark, sf_dir)
+    f = saved(views.fundamentals(spark, sf_dir), "fundamentals")
     tables.write(f.filter(F.year("fiscal_date_end") < 1999), path, schemas.FUNDAMENTALS)
     batch = f.withColumn("revenue", F.col("revenue") * 2).withColumn("ordinal", F.lit(1))
     batch = batch.unionByName(f.withColumn("ordinal", F.lit(0)))
@@ -680,7 +680,7 @@ def k5_fundamentals_merge(spark, sf_dir):
 )
 def k5_versioned_reports(spark, sf_dir):
     """K1 K5: a table in versions, to which all assets but one are merged; both versions read after that."""
-    root, f = scratch(spark, "versions"), views.fundamentals(spark, sf_dir)
+    root, f = scratch(spark, "versions"), saved(views.fundamentals(spark, sf_dir), "fundamentals")
     versions.write(spark, root, f.filter(F.year("fiscal_date_end") < 1999), schemas.FUNDAMENTALS, ("fiscal_date_end",))
     batch = f.filter("asset_id <> 'A0'").withColumn("revenue", F.col("revenue") * 2).withColumn("ordinal", F.lit(0))
     versions.merge(spark, root, batch, schemas.FUNDAMENTALS, schemas.KEYS["fundamentals"], ("fiscal_date_end",))

@@ -77,14 +77,15 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents(F.col("l_tax")).alias("tax"),
     ).join(o, "l_orderkey")
 
-    def reports(kind: str, unit: str, months: int) -> DataFrame:
-        end = F.date_sub(F.add_months(F.trunc("d", unit), months), 1)
-        agg = lines.groupBy("asset_id", end.alias("fiscal_date_end")).agg(
-            *((F.sum(c) / 100.0).alias(name) for c, name in (("revenue", "revenue"), ("net", "net_income"), ("flow", "operating_cash_flow"), ("tax", "total_shareholder_equity"))),
-            F.count("*").cast("double").alias("total_liabilities"),
-        )
-        reported = F.when(F.month("fiscal_date_end") % 2 == 0, F.date_add("fiscal_date_end", 30))
-        equity = F.when(F.year("fiscal_date_end") % 3 != 0, F.col("total_shareholder_equity"))
-        return agg.select("asset_id", F.lit(kind).alias("report_type"), "fiscal_date_end", reported.alias("reported_date"), "revenue", "net_income", "operating_cash_flow", equity.alias("total_shareholder_equity"), "total_liabilities", F.lit("lines").alias("source"))
-
-    return reports("annual", "year", 12).unionByName(reports("quarterly", "quarter", 3))
+    # sums of whole cents are exact, so years are added up from their quarters: the lines are joined and shuffled once
+    names = ("revenue", "net", "flow", "tax")
+    end = lambda unit, d, months: F.date_sub(F.add_months(F.trunc(d, unit), months), 1)
+    quarters = lines.groupBy("asset_id", end("quarter", "d", 3).alias("quarter")).agg(*(F.sum(c).alias(c) for c in names), F.count("*").alias("n"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("report_type"), e.alias("fiscal_date_end")) for k, e in (("annual", end("year", "quarter", 12)), ("quarterly", F.col("quarter")))))
+    agg = quarters.select("asset_id", F.inline(kinds), *names, "n").groupBy("asset_id", "report_type", "fiscal_date_end").agg(
+        *((F.sum(c) / 100.0).alias(name) for c, name in zip(names, ("revenue", "net_income", "operating_cash_flow", "total_shareholder_equity"), strict=True)),
+        F.sum("n").cast("double").alias("total_liabilities"),
+    )
+    reported = F.when(F.month("fiscal_date_end") % 2 == 0, F.date_add("fiscal_date_end", 30))
+    equity = F.when(F.year("fiscal_date_end") % 3 != 0, F.col("total_shareholder_equity"))
+    return agg.select("asset_id", "report_type", "fiscal_date_end", reported.alias("reported_date"), "revenue", "net_income", "operating_cash_flow", equity.alias("total_shareholder_equity"), "total_liabilities", F.lit("lines").alias("source"))

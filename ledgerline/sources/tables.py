@@ -106,8 +106,8 @@ def training(spark: SparkSession, path: str, assets=None) -> DataFrame:
 def write(df: DataFrame, path: str, schema: T.StructType | None = None, order: tuple[str, ...] = (), mode: str = "overwrite", extras: bool = False) -> None:
     """Replace the partitions of the assets in df (mode overwrite), or fail if the table exists (error).
 
-    Empty input is an error.  An asset's rows are dealt to FILES_AN_ASSET tasks, by years where the order is in time, so that no
-    task holds all of an asset with very many rows, and sorted within files.
+    Empty input is an error; it is looked for first, so save a costly df before.  An asset's rows are dealt to FILES_AN_ASSET
+    tasks, by years where the order is in time, so that no task holds all of an asset with very many rows, and sorted within files.
     """
     df = validate.conform(df, schema, extras) if schema else df
     if df.isEmpty():
@@ -130,17 +130,16 @@ def staged(df: DataFrame, staging: str) -> DataFrame:
 def merge(spark: SparkSession, path: str, batch: DataFrame, schema: T.StructType, key: list[str], staging: str) -> DataFrame:
     """Upsert a batch (with `ordinal`) into a table: only the batch's assets are read and replaced.
 
-    The result is written to the staging folder first, since it reads what it replaces.  An empty batch is an error.
+    The batch is written to the staging folder first, since it is read several times, and the result, since it reads what
+    it replaces.  An empty batch is an error.
     """
+    batch = staged(batch, staging)
     if batch.isEmpty():
         raise ValueError("nothing to merge")
     stored = spark.createDataFrame([], schema)
     if exists(spark, path):  # the batch's assets prune the table's partitions as the plan runs
         stored = scan(spark, path, schema).join(batch.select("asset_id").distinct(), "asset_id", "left_semi")
-    merged = validate.conform(keys.upsert(stored, batch, key), schema)
-    at = f"{staging}/{uuid.uuid4().hex}"
-    merged.write.parquet(at)
-    merged = spark.read.schema(schema).parquet(at)
+    merged = staged(validate.conform(keys.upsert(stored, batch, key), schema), staging)
     write(merged, path, schema)
     return merged
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.operators import sentiment
-from ledgerline.plans import pipelines
+from ledgerline.plans import pipelines, views
 from ledgerline.sources import digests, files, tables, versions
 from ledgerline.streaming import fresh
 
@@ -74,6 +74,32 @@ def test_a_second_batch_run_adds_no_row_that_the_first_passed_over(spark, tmp_pa
     assert {r.article_id for r in tables.news(spark, path).collect()} == once | {"a4", "c3"}
 
 
+def test_a_merge_computes_its_batch_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = landing_rows(spark, [("A", "a", 1, "u", 1), ("B", "b", 1, None, 2)]).coalesce(1)
+    batch = rows.mapInArrow(counted, rows.schema)
+    root, path = str(tmp_path / "versions"), str(tmp_path / "news")
+    tables.write(rows, path, schemas.NEWS)
+    versions.write(spark, root, rows, schemas.NEWS)
+    tables.merge(spark, path, batch, schemas.NEWS, schemas.KEYS["news"], str(tmp_path / "staging"))
+    assert calls.value == 2
+    versions.merge(spark, root, batch, schemas.NEWS, schemas.KEYS["news"])
+    assert calls.value == 4 and versions.read(spark, root, schemas.NEWS).count() == 2
+    versions.forget(spark, root)
+    assert not tables.exists(spark, f"{root}/staged") and versions.read(spark, root, schemas.NEWS).count() == 2
+
+
+def test_reports_join_their_lines_once(spark, sf_dir):
+    plan = views.fundamentals(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_stream_refuses_rows_without_key(spark, tmp_path):
     landing_rows(spark, [("A", "", 1, None, 1)]).write.parquet(str(tmp_path / "landing"))
     with pytest.raises(Exception, match="without asset, time or key"):
