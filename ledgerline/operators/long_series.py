@@ -117,27 +117,53 @@ def indicators(candles: DataFrame, piece: int = PIECE, unit: str = UNIT) -> Data
     return series.finished(rows).select(ASSET, TS, *INDICATORS).na.drop("any")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: str, right_on: str, payload: list[str], ties: list[str], unit: str = UNIT) -> DataFrame:
+#: Units into which a cell with too many rows is cut.
+FINER = ("DAY", "HOUR", "MINUTE")
+
+
+def _crowded(rows: DataFrame, unit: str, piece: int) -> DataFrame:
+    """(asset_id, __cell, __unit) of the cells with more than `piece` rows: the coarsest finer unit no part of which has more, else the finest.
+
+    Fewer rows than one in `piece` of rows(asset_id, __at).  They are counted by minute first.
+    """
+    minutes = rows.groupBy(ASSET, F.date_trunc(FINER[-1], "__at").alias("__minute")).count().withColumn("__cell", F.date_trunc(unit, "__minute"))
+    sizes = {u: F.sum("count").over(Window.partitionBy(ASSET, "__cell", F.date_trunc(u, "__minute"))).alias(u) for u in FINER[:-1]}
+    cells = minutes.select(ASSET, "__cell", "count", *sizes.values()).groupBy(ASSET, "__cell")
+    cells = cells.agg(F.sum("count").alias("__n"), *(F.max(u).alias(u) for u in sizes)).filter(F.col("__n") > piece)
+    fits = F.coalesce(*(F.when(F.col(u) <= piece, F.lit(u)) for u in sizes), F.lit(FINER[-1]))
+    return cells.select(ASSET, "__cell", fits.alias("__unit"))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, on: str, right_on: str, payload: list[str], ties: list[str], unit: str = UNIT, piece: int = PIECE) -> DataFrame:
     """Left rows with the payload of the latest right row at or before them, as series.asof_backward().
 
-    Both sides meet in cells of asset and calendar unit.  The last right row of each cell goes, as a whole, into the
-    later cells up to the next one that has a right row: a row for each asset and cell, not the asset's rows.
+    Both sides meet in cells of asset and calendar unit; a cell with more than `piece` rows is cut into days, hours or minutes,
+    of which an asset's minute is one task's.  The last right row of each cell goes, as a whole, to the head of the later
+    cells up to the next one that has a right row: a row for each asset and cell, not the asset's rows.
     """
-    cell = lambda c: F.date_trunc(unit, F.col(c)).alias("__cell")
     tie = [F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)]
-    tagged = left.select(ASSET, cell(on), F.col(on).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
-    known = right.filter(F.col(right_on).isNotNull() & F.col(ASSET).isNotNull()).select(ASSET, cell(right_on), F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.struct(*payload).alias("__right"), *tie)
+    timed = F.col(ASSET).isNotNull() & F.col(on).isNotNull()  # other rows meet no right row
+    tagged = left.filter(timed).select(ASSET, F.col(on).cast("timestamp").alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    known = right.filter(F.col(right_on).isNotNull() & F.col(ASSET).isNotNull()).select(ASSET, F.col(right_on).cast("timestamp").alias("__at"), F.lit(0).alias("__side"), F.struct(*payload).alias("__right"), *tie)
+    times = known.select(ASSET, "__at").unionByName(tagged.select(ASSET, "__at"))
+    crowded = F.broadcast(_crowded(times, unit, piece))
+
+    def celled(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__cell", F.date_trunc(unit, "__at")).join(crowded, [ASSET, "__cell"], "left")
+        finer = F.coalesce(*(F.when(F.col("__unit") == u, F.date_trunc(u, "__at")) for u in FINER), "__cell")
+        return rows.withColumn("__cell", finer).drop("__unit")
+
+    known, tagged = celled(known), celled(tagged)
     order = ["__at", "__side", *(f"__t{i}" for i in range(len(ties)))]
     ends = known.groupBy(ASSET, "__cell").agg(F.max_by("__right", F.struct(*(c for c in order if c != "__side"))).alias("__end"))
     cells = ends.unionByName(tagged.select(ASSET, "__cell").distinct(), allowMissingColumns=True)
     cells = cells.groupBy(ASSET, "__cell").agg(F.first("__end", ignorenulls=True).alias("__end"))
     earlier = Window.partitionBy(ASSET).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(ASSET, "__cell", F.last("__end", ignorenulls=True).over(earlier).alias("__from"))
-    both = known.unionByName(tagged, allowMissingColumns=True)
+    heads = cells.select(ASSET, "__cell", F.lit(-1).alias("__side"), F.last("__end", ignorenulls=True).over(earlier).alias("__right"))
+    heads = heads.filter("__right is not null")
+    both = known.unionByName(heads, allowMissingColumns=True).unionByName(tagged, allowMissingColumns=True)
+    # a head has no time and comes first
     w = Window.partitionBy(ASSET, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
-    # rows without asset or time meet no right row
-    same = [carried[ASSET].eqNullSafe(cells[ASSET]), carried["__cell"].eqNullSafe(cells["__cell"])]
-    found = carried.join(cells, same, "left").withColumn("__known", F.coalesce("__last", "__from"))
-    timed = F.col("__at").isNotNull()
-    return found.select("__left.*", *(F.when(timed, F.col(f"__known.{p}")).alias(p) for p in payload))
+    found = both.withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
+    found = found.select("__left.*", *(F.col(f"__last.{p}").alias(p) for p in payload))
+    return found.unionByName(left.filter(~timed), allowMissingColumns=True)

@@ -114,6 +114,23 @@ def test_asof_in_cells(spark):
     assert got.count() == len(left)
 
 
+def test_asof_cuts_crowded_cells(spark):
+    x = spark.range(6_000).select(F.lit("H").alias("asset_id"), (F.lit(DAY).cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 20)).alias("at"), "id")
+    y = x.filter("id % 700 = 3").select("asset_id", F.col("at").alias("since"), F.col("id").alias("k"))
+    got = long_series.asof_backward(x, y, "at", "since", ["k"], ["k"], piece=100).withColumn("task", F.spark_partition_id())
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r.id: r.k for r in rows} == {i: None if i < 3 else (i - 3) // 700 * 700 + 3 for i in range(6_000)} and len(rows) == 6_000
+    assert max(sum(r.task == n for r in rows) for n in {r.task for r in rows}) < 3_000  # two days of one asset in one month
+    crowd = long_series._crowded(x.select("asset_id", F.col("at").alias("__at")), "MONTH", 100).collect()
+    assert [c["__unit"] for c in crowd] == ["MINUTE"]
+    assert [c["__unit"] for c in long_series._crowded(x.select("asset_id", F.col("at").alias("__at")), "MONTH", 200).collect()] == ["HOUR"]
+
+
 def test_zero_and_missing_prices_have_no_return(spark):
     rows = [("A", DAY + dt.timedelta(days=i), p) for i, p in enumerate([1.0, 0.0, 2.0, None, 3.0, -3.0, -6.0])]
     c = spark.createDataFrame(rows, "asset_id string, ts timestamp, close double")
