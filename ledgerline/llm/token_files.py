@@ -25,6 +25,8 @@ from .common import by_bytes, save, shared_dir
 
 #: Bytes, about, of pieces that the encoder keeps a generation: nothing else in these tasks needs much memory.
 MAX_BYTES = 150 << 20
+#: Ids, about, that are coded or decoded at a time.
+SLICE = 1 << 20
 #: Lengths of the four values of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -42,9 +44,12 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values that encode() wrote."""
-    length = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    return _values(LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n], data)
+
+
+def _values(length: np.ndarray, data: bytes) -> np.ndarray:
     at = np.cumsum(length) - length
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)).astype(np.uint32)
     value = raw[at]
     for j in (1, 2, 3):
         longer = np.flatnonzero(length > j)
@@ -54,6 +59,58 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return value
 
 
+def encode_all(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """encode() of several arrays that stand in one: their control bytes and data bytes, each with the places where they end, from 0."""
+    ranks = ranks.astype("<u4", copy=False)
+    length = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    padded = _ends(-(-sizes // 4))
+    code = np.zeros(padded[-1] * 4, np.uint8)
+    code[np.arange(len(ranks)) + np.repeat(padded[:-1] * 4 - _ends(sizes)[:-1], sizes)] = length - 1
+    code = code.reshape(-1, 4)
+    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+    return control, padded, data, np.append(0, np.cumsum(length, dtype=np.int64))[_ends(sizes)]
+
+
+def decode_all(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The values of several arrays whose control bytes and data bytes stand one after the other."""
+    per = -(-sizes // 4)
+    length = LENGTHS[np.frombuffer(control, np.uint8)].ravel()
+    spare = per * 4 - sizes  # values of the last control byte of each that are none
+    kept = np.ones(len(length), bool)
+    for j in range(1, 4):
+        kept[_ends(per)[1:][spare >= j] * 4 - j] = False
+    return _values(length[kept], data)
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def _blobs(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """Bytes of a binary column without nulls, one value after the other, and their sizes."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]] if len(column) else memoryview(b""), np.diff(ends)
+
+
+def _column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of `values` between `ends`, which count bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE ids by their n_tokens, so that memory does not grow with a batch's rows."""
+    for batch in batches:
+        held = np.cumsum(batch.column("n_tokens").to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(held):
+            end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + SLICE, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _batches(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -92,17 +149,25 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
+def _all_wide(blobs: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of all rows in one array."""
+    data, sizes = _blobs(blobs)
+    if (sizes == 2 * n).all():
+        return np.frombuffer(data, "<u2")
+    ends = _ends(sizes)
+    return np.concatenate([_wide(data[a:b], k).astype("<u4", copy=False) for a, b, k in zip(ends, ends[1:], n, strict=False)])
+
+
 def frequency_ranks(ids: DataFrame) -> DataFrame:
     """(rank, id, n) over all ids, the most frequent first, ties by id; at most one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for blob, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                one = np.bincount(_wide(blob.as_py(), n))
-                if len(one) > len(counts):
-                    counts = np.append(counts, np.zeros(len(one) - len(counts), np.int64))
-                counts[: len(one)] += one
+        for batch in _slices(batches):
+            one = np.bincount(_all_wide(batch.column("ids"), batch.column("n_tokens").to_numpy()))
+            if len(one) > len(counts):
+                counts = np.append(counts, np.zeros(len(one) - len(counts), np.int64))
+            counts[: len(one)] += one
         used = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
 
@@ -125,14 +190,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
     rank_of = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, np.uint32)
     rank_of[table["id"]] = table["rank"]
     names = ["part", "doc_id", "start_in_part", "n_tokens", "control", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for part, doc_id, start, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((part, doc_id, start, n, *encode(rank_of[_wide(blob, n)])))
-            yield _batches(rows, names, kinds)
+        for batch in _slices(batches):
+            n = batch.column("n_tokens").to_numpy()
+            control, ends, data, data_ends = encode_all(rank_of[_all_wide(batch.column("ids"), n)], n)
+            yield pa.record_batch([*batch.columns[:4], _column(control, ends), _column(data, data_ends)], names=names)
 
     coded = ids.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, control binary, data binary")
     coded.sortWithinPartitions("part", "doc_id", "start_in_part").write.partitionBy("part").parquet(f"{folder}/tokens")
@@ -143,15 +206,15 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     table = spark.read.parquet(f"{folder}/ranks").toPandas().sort_values("rank")
     id_of = table["id"].to_numpy(np.uint32)
     names = ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-    kinds = [pa.int32(), *[pa.int64()] * 4, *([pa.binary()] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for part, doc_id, start, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = id_of[decode(control, data, n)].astype("<u4").tobytes()
-                rows.append((part, doc_id, start, n, zlib.crc32(ids), *([ids] if with_ids else [])))
-            yield _batches(rows, names, kinds)
+        for batch in _slices(batches):
+            n = batch.column("n_tokens").to_numpy()
+            control, data = (_blobs(batch.column(c))[0] for c in ("control", "data"))
+            ids, ends = id_of[decode_all(control, data, n)].astype("<u4", copy=False), _ends(n) * 4
+            raw = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
+            crc = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
+            yield pa.record_batch([*batch.columns[:4], crc, *([_column(ids, ends)] if with_ids else [])], names=names)
 
     schema = "part int, doc_id long, start_in_part long, n_tokens long, control binary, data binary"
     coded = spark.read.schema(schema).parquet(f"{folder}/tokens")

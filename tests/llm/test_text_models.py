@@ -146,6 +146,17 @@ def test_variable_length_coding(values):
     assert token_files.decode(control, data, len(values)).tolist() == values
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=9))
+def test_coding_of_many_documents_at_once(lists):
+    sizes, values = np.array([*map(len, lists)], np.int64), np.array(sum(lists, []), np.uint32)
+    control, ends, data, data_ends = token_files.encode_all(values, sizes)
+    one_by_one = [token_files.encode(np.array(x, np.uint32)) for x in lists]
+    assert token_files._column(control, ends).to_pylist() == [c for c, _ in one_by_one]
+    assert token_files._column(data, data_ends).to_pylist() == [d for _, d in one_by_one]
+    assert token_files.decode_all(control.tobytes(), data.tobytes(), sizes).tolist() == values.tolist()
+
+
 def test_token_files(spark, odd_docs, tokenizer):
     docs = odd_docs.filter("doc_id is null or doc_id <> 5")
     rows = token_files.round_trip(docs.repartition(3)).collect()
