@@ -49,10 +49,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _daily(scored: DataFrame) -> DataFrame:
+    return sentiment.daily_sentiment(scored.filter("sentiment_score between -1 and 1"))
+
+
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.candles(spark, sf_dir)
-    scored = views.scored_news(spark, sf_dir).filter("sentiment_score between -1 and 1")
-    return pipelines.training_table(c, series.indicators(c), sentiment.daily_sentiment(scored), views.fundamentals(spark, sf_dir), START, END)
+    return pipelines.training_table(c, series.indicators(c), _daily(views.scored_news(spark, sf_dir)), views.fundamentals(spark, sf_dir), START, END)
 
 
 _TRAINING_SQL = f"""
@@ -342,7 +345,7 @@ def _profiled(spark, sf_dir) -> dict[str, DataFrame]:
         "candles": views.candles(spark, sf_dir),
         "news_raw": views.news(spark, sf_dir).select("asset_id", *_NEWS),
         "scored_news": scored,
-        "sentiment_daily": sentiment.daily_sentiment(scored.filter("sentiment_score between -1 and 1")),
+        "sentiment_daily": _daily(scored),
         "technical_indicators": series.indicators(views.candles(spark, sf_dir)),
         "fundamentals": views.fundamentals(spark, sf_dir),
         "dataset_tft": _training(spark, sf_dir),
@@ -406,11 +409,21 @@ _AUDIT_SQL = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", * FROM ({body})"
 _FOUND = " UNION ALL ".join(f"SELECT '{n}', NULL, 'report', 'exists', {v}" for n, v in (("audit", 1.0), ("other", 0.0)))
 
 
+def _audited(spark, sf_dir) -> dict[str, DataFrame]:
+    """The seven tables, saved; what is made of other tables is made of the saved ones."""
+    found = _profiled(spark, sf_dir)
+    found = {n: saved(df, n) for n, df in found.items() if n in ("candles", "news_raw", "scored_news", "fundamentals")}
+    found["sentiment_daily"] = saved(_daily(found["scored_news"]), "sentiment_daily")
+    found["technical_indicators"] = saved(series.indicators(found["candles"]), "technical_indicators")
+    parts = [found[n] for n in ("candles", "technical_indicators", "sentiment_daily", "fundamentals")]
+    found["dataset_tft"] = saved(pipelines.training_table(*parts, START, END).select("asset_id", *_TRAIN), "dataset_tft")
+    return found
+
+
 @register(sql.with_views(f"{_AUDIT_SQL} UNION ALL {_FOUND}", True, _TRAINING_SQL))
 def q11_audit(spark, sf_dir):
     """Reports of all seven tables, written as a report of one run, looked up by prefix and read back."""
-    found = _profiled(spark, sf_dir)
-    found = {n: saved(df.select("asset_id", *_TRAIN) if n == "dataset_tft" else df, n) for n, df in found.items()}
+    found = _audited(spark, sf_dir)
     rows, path = quality.audit(found), scratch(spark, "reports")
     files.write_report(rows, path, "audit", F.lit("20240101_000000"))
     there = [(p, None, "report", "exists", float(files.report_exists(spark, path, p))) for p in ("audit", "other")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.operators import sentiment
-from ledgerline.plans import pipelines, views
+from ledgerline.plans import pipelines, queries, views
 from ledgerline.sources import digests, files, tables, versions
 from ledgerline.streaming import fresh
 
@@ -100,6 +100,18 @@ def test_reports_join_their_lines_once(spark, sf_dir):
     assert plan.count("Join ") == 1
 
 
+def test_an_audit_reads_the_large_tables_for_their_own_views_only(spark, sf_dir, monkeypatch):
+    read = {}
+
+    def saved(df, name):
+        read[name] = {t for t in ("orders", "lineitem", "events") if any(f.endswith(f"/{t}.parquet") for f in df.inputFiles())}
+        return spark.createDataFrame([], df.schema)
+
+    monkeypatch.setattr(queries, "saved", saved)
+    assert len(queries._audited(spark, sf_dir)) == len(read) == 7
+    assert {n: t for n, t in read.items() if t} == {"candles": {"orders"}, "news_raw": {"events"}, "scored_news": {"events"}, "fundamentals": {"orders", "lineitem"}}
+
+
 def test_stream_refuses_rows_without_key(spark, tmp_path):
     landing_rows(spark, [("A", "", 1, None, 1)]).write.parquet(str(tmp_path / "landing"))
     with pytest.raises(Exception, match="without asset, time or key"):
