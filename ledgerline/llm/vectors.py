@@ -145,7 +145,7 @@ def _unit(v: pd.Series) -> np.ndarray:
 
 def _split_further(members: DataFrame, own: DataFrame, threshold: float, leaf: int, rounds: int = 40) -> DataFrame:
     """members(vec_id, label, size, tree, leaf) with every leaf of over 2 * leaf rows split, while a split parts it."""
-    done, left = [], members
+    done, left = [], members.withColumn("label", F.col("label").cast("long"))  # as the functions below return it
     for turn in range(1, rounds + 1):
         large = save(left.groupBy(*AT).count().filter(F.col("count") > 2 * leaf), "large")
         n = large.count()
